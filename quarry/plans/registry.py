@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "quarry.plans.lexical",
+    "quarry.plans.retrieval",
 ]
 
 
