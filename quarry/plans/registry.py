@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "quarry.plans.lexical",
     "quarry.plans.retrieval",
+    "quarry.plans.cleaning",
 ]
 
 
