@@ -8,6 +8,7 @@ _MODULES = [
     "quarry.plans.lexical",
     "quarry.plans.retrieval",
     "quarry.plans.cleaning",
+    "quarry.plans.knowledge",
 ]
 
 
