@@ -48,3 +48,30 @@ def global_positions(df: DataFrame, order_cols, out: str = "pos", base: int = 0,
     """Positions in one total order over the whole table (a stable sort's index)."""
     return positions_within(df.withColumn("__g", F.lit(0)), ["__g"], order_cols, out, base,
                             num_partitions).drop("__g")
+
+
+def running_sum_within(df: DataFrame, group_cols, order_cols, value_col: str, out: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value_col`` inside each group under ``order_cols``
+    (a total order), computed like ``positions_within``: per-partition running
+    sums plus the tiny table of per-(partition, group) totals as offsets."""
+    group_cols = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _as_cols(group_cols) + _as_cols(order_cols)
+    s = df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id())
+    w = (Window.partitionBy("__pid", *group_cols).orderBy(*_as_cols(order_cols))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = s.withColumn("__local", F.sum(value_col).over(w))
+    totals = s.groupBy("__pid", *group_cols).agg(F.sum(value_col).alias("__t"))
+    before = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(before), F.lit(0)))
+    off = offsets.select(F.col("__pid").alias("__opid"), "__off",
+                         *[F.col(g).alias(f"__o_{i}") for i, g in enumerate(group_cols)])
+    cond = F.col("__pid") == F.col("__opid")
+    for i, g in enumerate(group_cols):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__o_{i}"))
+    return (local.join(off, cond)
+                 .drop("__opid", *[f"__o_{i}" for i in range(len(group_cols))])
+                 .withColumn(out, F.col("__off") + F.col("__local"))
+                 .drop("__pid", "__local", "__off"))

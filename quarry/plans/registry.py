@@ -9,6 +9,7 @@ _MODULES = [
     "quarry.plans.retrieval",
     "quarry.plans.cleaning",
     "quarry.plans.knowledge",
+    "quarry.plans.answering",
 ]
 
 

@@ -199,3 +199,13 @@ SELECT qid, 'comments' AS collection, rk::BIGINT AS rk, doc_id, score FROM hr WH
 UNION ALL
 SELECT qid, collection, rk::BIGINT AS rk, doc_id, score FROM nr WHERE rk <= 5""",
 }
+
+# multi-collection rows as CTEs (``mc``), for oracles that build on them
+MULTI_CTES = HYBRID_CTES + f""",
+nn AS (SELECT q.qid, 'c' || e.label::VARCHAR AS collection, e.vec_id AS doc_id,
+              round({sqdist('q.embedding', 'e.embedding')}, 6) AS score
+       FROM {QVEC} q CROSS JOIN embeddings e),
+nr AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score, doc_id) AS rk FROM nn),
+mc AS (SELECT qid, 'comments' AS collection, rk::BIGINT AS rk, doc_id, score FROM hr WHERE rk <= 15
+       UNION ALL
+       SELECT qid, collection, rk::BIGINT AS rk, doc_id, score FROM nr WHERE rk <= 5)"""
