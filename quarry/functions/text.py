@@ -58,3 +58,8 @@ def is_truthy_text(c) -> Column:
 def py_str(c) -> Column:
     """Python f-string rendering of an optional value (None prints as 'None')."""
     return F.coalesce(col_of(c).cast("string"), F.lit("None"))
+
+
+def py_strip(c) -> Column:
+    """Python ``str.strip()``: remove leading and trailing whitespace (all kinds)."""
+    return F.regexp_replace(col_of(c), f"^{WHITESPACE_RUN}|{WHITESPACE_RUN}$", "")

@@ -10,6 +10,7 @@ _MODULES = [
     "quarry.plans.cleaning",
     "quarry.plans.knowledge",
     "quarry.plans.answering",
+    "quarry.plans.memory",
 ]
 
 
