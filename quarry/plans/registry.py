@@ -11,6 +11,7 @@ _MODULES = [
     "quarry.plans.knowledge",
     "quarry.plans.answering",
     "quarry.plans.memory",
+    "quarry.plans.sources",
 ]
 
 
