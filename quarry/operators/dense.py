@@ -257,3 +257,30 @@ def fused_candidates(corpus_with_hits: DataFrame, block, bounds: dict,
 
     return corpus_with_hits.mapInArrow(
         kernel, "qid long, doc_id long, b double, sn double, score double")
+
+
+# ------------------------------------------------------------ approximate
+
+def knn_lsh(corpus: DataFrame, questions: DataFrame, k: int = 5, bucket_length: float = 0.5,
+            num_tables: int = 4, threshold: float = 2.0, seed: int = 7,
+            id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
+    """Approximate k-NN: random-projection LSH candidates (pairs sharing a bucket in
+    any hash table, within ``threshold`` Euclidean distance), exactly re-ranked
+    by squared L2.  Opt-in: it may miss true neighbours, and candidate pruning
+    changes whole-corpus normalisers, so fusion keeps the exact path."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def vec(c):
+        return array_to_vector(F.transform(F.col(c), lambda x: x.cast("double")))
+
+    c = corpus.select(F.col(id_col).alias("doc_id"), vec(vec_col).alias("features"))
+    q = questions.select("qid", vec("embedding").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
+                                        bucketLength=bucket_length, numHashTables=num_tables,
+                                        seed=seed).fit(c)
+    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
+    cand = pairs.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.doc_id").alias("doc_id"),
+                        F.round(F.col("dist") * F.col("dist"), 6).alias("distance"))
+    w = Window.partitionBy("qid").orderBy(F.asc("distance"), F.asc("doc_id"))
+    return cand.withColumn("rk", F.row_number().over(w).cast("bigint")).filter(F.col("rk") <= k)

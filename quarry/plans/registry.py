@@ -12,6 +12,7 @@ _MODULES = [
     "quarry.plans.answering",
     "quarry.plans.memory",
     "quarry.plans.sources",
+    "quarry.plans.indexing",
 ]
 
 
