@@ -13,6 +13,7 @@ _MODULES = [
     "quarry.plans.memory",
     "quarry.plans.sources",
     "quarry.plans.indexing",
+    "quarry.plans.legacy",
 ]
 
 
