@@ -32,21 +32,24 @@ DEFAULT_ROUTES = [
 ]
 
 
-def lexical_norm_hits(collection: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, doc_id, b): BM25 over the collection's texts, max-normalised per question."""
-    idx = lx.build_bm25_index(collection.select("doc_id", "text"))
+def lexical_norm_hits(collection: DataFrame, questions: DataFrame,
+                      index: lx.BM25Index | None = None) -> DataFrame:
+    """(qid, doc_id, b): BM25 over the collection's texts, max-normalised per question.
+    Pass a prebuilt (persisted) ``index`` to skip the build."""
+    idx = index or lx.build_bm25_index(collection.select("doc_id", "text"))
     s = lx.bm25_scores(idx, questions, text_col="question")
     return lx.max_normalise(s).select("qid", "doc_id", F.col("score_norm").alias("b"))
 
 
 def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float = ALPHA,
                       threshold: float = THRESHOLD, k: int = TOP_K,
-                      routed: DataFrame | None = None, route_col: str = "match") -> DataFrame:
+                      routed: DataFrame | None = None, route_col: str = "match",
+                      index: lx.BM25Index | None = None) -> DataFrame:
     """Unranked (qid, doc_id, b, sn, score) rows, a superset of every question's top-k.
 
     ``routed`` (qid, route_value) pre-filters each routed question to documents
     whose ``route_col`` equals its value (after whole-corpus normalisation)."""
-    hits = lexical_norm_hits(collection, questions)
+    hits = lexical_norm_hits(collection, questions, index)
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("qid", "b")).alias("hits"))
     cols = ["doc_id", F.col("embedding").alias("v")]
     if routed is not None:
@@ -78,12 +81,14 @@ def rank_fused(cands: DataFrame, threshold: float = THRESHOLD, k: int | None = T
 
 
 def hybrid_search(collection: DataFrame, questions: DataFrame, alpha: float = ALPHA,
-                  threshold: float = THRESHOLD, k: int = TOP_K) -> DataFrame:
+                  threshold: float = THRESHOLD, k: int = TOP_K,
+                  index: lx.BM25Index | None = None) -> DataFrame:
     """(qid, rk, doc_id, score, bm25_norm, sem_norm) -- top-k per question.
 
     ``collection``: (doc_id, text, embedding, ...); ``questions``: (qid, question,
     embedding)."""
-    return rank_fused(hybrid_candidates(collection, questions, alpha, threshold, k), threshold, k)
+    cands = hybrid_candidates(collection, questions, alpha, threshold, k, index=index)
+    return rank_fused(cands, threshold, k)
 
 
 # --------------------------------------------------------------- routing

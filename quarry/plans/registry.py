@@ -14,6 +14,7 @@ _MODULES = [
     "quarry.plans.sources",
     "quarry.plans.indexing",
     "quarry.plans.legacy",
+    "quarry.plans.streams",
 ]
 
 
