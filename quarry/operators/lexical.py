@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.sizing import bounded_broadcast, one_row_join
+from quarry.functions.sizing import fits, one_row_join
 from quarry.functions.text import tokens
 
 # Okapi BM25 defaults of the library the reference calls.
@@ -29,9 +29,16 @@ B = 0.75
 EPSILON = 0.25
 
 
+# Note on explode: an inner ``explode(tokens(text))`` makes Catalyst infer the
+# filter ``size(tokens(text)) > 0`` and push it down to the scan, evaluating the
+# tokenizer twice (once before any repartition).  ``explode_outer`` plus a null
+# filter on the produced term keeps the tokenizer a single projection.
+
+
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, token): one row per token occurrence, 0-based position."""
-    return docs.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
+    return (docs.select(id_col, F.posexplode_outer(tokens(text_col)).alias("pos", "token"))
+                .filter(F.col("token").isNotNull()))
 
 
 def term_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +49,8 @@ def term_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
     toks = toks.withColumn("dl", F.coalesce(F.size("toks"), F.lit(0)).cast("bigint"))
-    return (toks.select("doc_id", "dl", F.explode("toks").alias("term"))
+    return (toks.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
+                .filter(F.col("term").isNotNull())
                 .groupBy("doc_id", "term", "dl")
                 .agg(F.count(F.lit(1)).alias("tf")))
 
@@ -93,10 +101,25 @@ def bm25_idf(postings: DataFrame, stats: DataFrame, epsilon: float = EPSILON) ->
 
 
 def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     k1: float = K1, b: float = B, epsilon: float = EPSILON) -> BM25Index:
-    stats = corpus_stats(docs, id_col, text_col)
-    post = term_postings(docs, id_col, text_col)
-    idf = bm25_idf(post, stats, epsilon)
+                     k1: float = K1, b: float = B, epsilon: float = EPSILON,
+                     materialized: bool = True) -> BM25Index:
+    """Build the index.  With ``materialized`` (default) the postings, statistics and
+    idf are written once to the shared folder and every consumer reads them, so
+    tokenisation and the term aggregation run exactly once."""
+    from quarry.session import materialize
+
+    def keep(df, name):
+        return materialize(df, name) if materialized else df
+
+    # clustered by document: scoring's map-side partial sum per (question, doc) is
+    # then complete inside each task, so only finished pairs are shuffled
+    post = keep(term_postings(docs, id_col, text_col).repartition("doc_id"), "bm25-postings")
+    # corpus size counts documents without tokens too; token total from postings
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    tot = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    stats = keep(one_row_join(n, tot).withColumn(
+        "avgdl", F.col("n_tokens").cast("double") / F.col("n_docs")), "bm25-stats")
+    idf = keep(bm25_idf(post, stats, epsilon), "bm25-idf")
     weighted = one_row_join(post, stats.select("avgdl")).select(
         "term", "doc_id", "tf", "dl",
         (F.col("tf") * (k1 + 1)
@@ -107,7 +130,8 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def question_terms(questions: DataFrame, qid_col: str = "qid", text_col: str = "question") -> DataFrame:
     """(qid, term, qtf): repeated query terms count once per repetition."""
-    return (questions.select(F.col(qid_col).alias("qid"), F.explode(tokens(text_col)).alias("term"))
+    return (questions.select(F.col(qid_col).alias("qid"), F.explode_outer(tokens(text_col)).alias("term"))
+                     .filter(F.col("term").isNotNull())
                      .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
@@ -116,8 +140,10 @@ def bm25_scores(index: BM25Index, questions: DataFrame, qid_col: str = "qid",
     """(qid, doc_id, score) for every (question, document) pair with at least one term
     hit.  Pairs without a hit score 0 and are not emitted."""
     qt = question_terms(questions, qid_col, text_col)
+    # size check on the cheap question side; the idf join can only shrink it
+    small = fits(qt, max_broadcast_rows)
     qt = qt.join(index.idf.select("term", "idf"), "term")  # terms outside the vocabulary add 0
-    qt = bounded_broadcast(qt, max_broadcast_rows)
+    qt = F.broadcast(qt) if small else qt
     hits = index.postings.select("term", "doc_id", "w").join(qt, "term")
     return (hits.groupBy("qid", "doc_id")
                 .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("score")))
@@ -140,8 +166,10 @@ def top_k_with_padding(scores: DataFrame, questions: DataFrame, docs: DataFrame,
     hits; the first k zero-score documents by id lie within the first
     ``k + (#non-zero hits)`` ids, so padding is drawn from that bounded prefix.
     """
-    s = scores.withColumn("score", F.round("score", 6))
-    nonzero = s.filter(F.col("score") != 0)
+    from quarry.session import materialize
+    # materialised once: the bound below and the final ranking both read it
+    nonzero = materialize(scores.withColumn("score", F.round("score", 6)).filter(F.col("score") != 0),
+                          "bm25-nonzero")
     per_q = (questions.select(F.col(qid_col).alias("qid"))
              .join(nonzero.groupBy("qid").agg(
                  F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"),

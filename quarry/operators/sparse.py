@@ -18,11 +18,19 @@ from quarry.operators.lexical import rank_within
 TOP_K = 5
 
 
-def sparse_weights(token_logits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, weight > 0) from (id, term, logit) rows, one per token occurrence."""
+def sparse_weights(token_logits: DataFrame, id_col: str = "doc_id",
+                   distinct_terms: bool = False) -> DataFrame:
+    """(id, term, weight > 0) from (id, term, logit) rows, one per token occurrence.
+
+    ``distinct_terms``: the input already has one row per (id, term) (e.g. it is
+    derived from postings), so the max is the row itself -- a map-only
+    projection that keeps the input's partitioning (no shuffle)."""
     w = F.log1p(F.greatest(F.col("logit").cast("double"), F.lit(0.0)))
-    return (token_logits.groupBy(id_col, "term").agg(F.max(w).alias("weight"))
-                        .filter(F.col("weight") > 0))
+    if distinct_terms:
+        out = token_logits.select(id_col, "term", w.alias("weight"))
+    else:
+        out = token_logits.groupBy(id_col, "term").agg(F.max(w).alias("weight"))
+    return out.filter(F.col("weight") > 0)
 
 
 def sparse_scores(doc_w: DataFrame, q_w: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ordering import global_positions, positions_within
-from quarry.functions.sizing import bounded_broadcast
 
 # Defaults of the reference's champion build and its role order.
 DEFAULT_TITLE = "Unknown"
@@ -14,11 +13,12 @@ DEFAULT_ROLES = ("Unknown",)
 ROLE_ORDER = ("Top", "Jungle", "Mid", "Bot", "Support")
 
 
-def left_join_defaults(left: DataFrame, right: DataFrame, key, defaults: dict,
-                       max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def left_join_defaults(left: DataFrame, right: DataFrame, key, defaults: dict) -> DataFrame:
     """Left lookup; every column named in ``defaults`` is coalesced to its default
-    (a Column or a literal).  The lookup side is broadcast only if it fits."""
-    out = left.join(bounded_broadcast(right, max_broadcast_rows), key, "left")
+    (a Column or a literal).  The lookup side can be as large as the left side, so
+    no static broadcast: AQE switches to a broadcast join at runtime when the
+    measured lookup side is small."""
+    out = left.join(right, key, "left")
     for c, v in defaults.items():
         out = out.withColumn(c, F.coalesce(F.col(c), v if isinstance(v, Column) else F.lit(v)))
     return out

@@ -14,6 +14,7 @@ from quarry.operators import prompts as pr
 from quarry.operators.stats import guarded_rate
 from quarry.plans import bindings as bd
 from quarry.plans.retrieval import MULTI_CTES
+from quarry.session import materialize
 from quarry.sources.tables import load
 
 COLLECTIONS = ["comments"] + [f"c{i}" for i in range(10)]
@@ -54,7 +55,7 @@ def q_retrieval_debug(spark, sf):
 def q_eval_prompts(spark, sf):
     """Every benchmark question through retrieval -> fallback -> prompt (no cache,
     no memory): the message that would be sent, or the canned refusal."""
-    rows = retrieved_rows(spark, sf)
+    rows = materialize(retrieved_rows(spark, sf), "eval-rows")  # read by two branches
     qs = bd.questions(spark, sf)
     prompts = pr.prompt_build(pr.prompt_sections(rows, pr.section_table(spark, SECTIONS)), qs)
     fb = pr.fallback_flag(rows, qs)

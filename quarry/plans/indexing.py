@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import collections as co
 from quarry.operators import dense as dn
 from quarry.operators import lexical as lx
+from quarry.functions.sizing import bounded_broadcast
 from quarry.operators import sparse as sp
 from quarry.plans import bindings as bd
 from quarry.plans.sqlfrag import COMMENTS, QUESTIONS, bm25_ctes, tok
@@ -57,26 +58,31 @@ def q_stale_by_hash(spark, sf):
     return co.stale_by_hash(stored, expected)
 
 
-def token_logits(spark, sf, texts, id_col):
-    """Per-token logits standing in for a sparse encoder's output: idf(term) - 1
-    under the document corpus's BM25 statistics."""
-    idx = lx.build_bm25_index(bd.comments(spark, sf))
-    toks = texts.select(F.col(id_col), F.explode(lx.tokens("text")).alias("term"))
-    return toks.join(idx.idf.select("term", (F.col("idf") - 1).alias("logit")), "term")
+def token_logits(idx, occurrences, id_col):
+    """Token logits standing in for a sparse encoder's output: idf(term) - 1 under
+    the document corpus's BM25 statistics.  ``occurrences`` (id, term) holds one
+    row per distinct (text, term): every occurrence of a term in a text carries
+    the same logit, so the max over occurrences needs only one of them."""
+    logit = idx.idf.select("term", (F.col("idf") - 1).alias("logit"))
+    return occurrences.select(id_col, "term").join(bounded_broadcast(logit), "term")
 
 
-def doc_weights(spark, sf):
-    return sp.sparse_weights(token_logits(spark, sf, bd.comments(spark, sf), "doc_id"))
+def _weights(spark, sf):
+    idx = lx.build_bm25_index(bd.comments(spark, sf))
+    dw = sp.sparse_weights(token_logits(idx, idx.postings, "doc_id"), distinct_terms=True)
+    return idx, dw
 
 
 def q_sparse_weights(spark, sf):
-    return doc_weights(spark, sf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    _, dw = _weights(spark, sf)
+    return dw.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def q_sparse_top5(spark, sf):
     qs = bd.questions(spark, sf)
-    qw = sp.sparse_weights(token_logits(spark, sf, qs.withColumnRenamed("question", "text"), "qid"), "qid")
-    return sp.sparse_top_k(doc_weights(spark, sf), qw, qs, 5)
+    idx, dw = _weights(spark, sf)
+    qw = sp.sparse_weights(token_logits(idx, lx.question_terms(qs), "qid"), "qid", distinct_terms=True)
+    return sp.sparse_top_k(dw, qw, qs, 5)
 
 
 def q_knn_lsh(spark, sf):

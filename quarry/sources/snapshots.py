@@ -33,9 +33,9 @@ def read_snapshots(spark: SparkSession, paths) -> DataFrame:
 def thread_children(snapshots: DataFrame) -> DataFrame:
     """(thread_id, pos, kind, author, body, score): element 1's children in order."""
     kids = F.get(F.col("listing"), 1)["data"]["children"]
-    return snapshots.select("thread_id", F.posexplode(F.coalesce(
-        kids, F.array().cast("array<struct<kind:string,data:struct<author:string,body:string,score:bigint>>>"))
-    ).alias("pos", "c")).select(
+    # explode_outer: no inferred pre-filter re-parsing the JSON below the generate
+    return snapshots.select("thread_id", F.posexplode_outer(kids).alias("pos", "c")).filter(
+        F.col("c").isNotNull()).select(
         "thread_id", F.col("pos").cast("bigint").alias("pos"), F.col("c.kind").alias("kind"),
         F.col("c.data.author").alias("author"), F.col("c.data.body").alias("body"),
         F.col("c.data.score").alias("score"))

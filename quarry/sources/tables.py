@@ -15,7 +15,15 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the default parallelism
+    (small files with a single row group).  Planning-only check; on a cluster
+    reading many large files it never fires, so no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one driver table; naming columns keeps the scan's ReadSchema narrow."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
