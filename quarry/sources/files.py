@@ -26,8 +26,21 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+# The default NA tokens of the pandas CSV reader used by the reference.
+PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, pandas_na: bool = False) -> DataFrame:
+    """Read CSV with an explicit schema.  Empty fields read as null.  With
+    ``pandas_na`` every string field equal to a pandas NA token becomes null too,
+    as the reference's reader does."""
+    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    if pandas_na:
+        for f in df.schema.fields:
+            if f.dataType.simpleString() == "string":
+                df = df.withColumn(f.name, F.when(~F.col(f.name).isin(list(PANDAS_NA_TOKENS)), F.col(f.name)))
+    return df
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
