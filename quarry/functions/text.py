@@ -63,3 +63,18 @@ def py_str(c) -> Column:
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace (all kinds)."""
     return F.regexp_replace(col_of(c), f"^{WHITESPACE_RUN}|{WHITESPACE_RUN}$", "")
+
+
+def require_columns(df, *cols: str):
+    """Fail fast when a required input column is missing."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required column(s): {', '.join(missing)}")
+    return df
+
+
+def label_or_row(df, label_col: str, id_col: str) -> Column:
+    """The label column when the input has it (null label -> ``Row {id}``),
+    otherwise ``Row {id}`` for every row."""
+    fallback = F.concat(F.lit("Row "), F.col(id_col).cast("string"))
+    return F.coalesce(F.col(label_col), fallback) if label_col in df.columns else fallback

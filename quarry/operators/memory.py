@@ -121,3 +121,22 @@ def memory_append(memory: DataFrame, new_exchanges: DataFrame) -> DataFrame:
     asst = ex.select("session_id", (F.col("__base") + 1).alias("turn"), F.lit("assistant").alias("role"),
                      F.col("answer").alias("content"))
     return user.unionByName(asst)
+
+
+CACHE_SCHEMA = "question_key string, answer string, version long"
+
+
+def save_cache_writes(writes: DataFrame, path: str) -> None:
+    """Append a batch of cache writes (question_key, answer, version) to the cache
+    log; readers resolve last-write-wins, so a rewrite never loses old answers."""
+    writes.select("question_key", "answer", "version").write.mode("append").parquet(path)
+
+
+def load_cache(spark, path: str) -> DataFrame:
+    """Current cache from the write log; a missing cache is empty."""
+    from pyspark.errors import AnalysisException
+    try:
+        log = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    return latest_per_key(log)

@@ -3,6 +3,7 @@
 import json
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from quarry.operators import chunks as ch
 from quarry.operators import stats as stt
@@ -96,3 +97,29 @@ def test_count_by_label_strips_suffixes(spark):
     got = sorted(rows(stt.count_by_label(d)))
     assert got == [("A vs B", 3, 4), ("C", 1, 4)]
     assert sum(n for _, n, _ in got) == got[0][2]
+
+
+def test_overview_final_and_narratives(spark, tmp_path):
+    doc = {"tournament": {"name": "Cup", "location": "Town", "dates": {"start": "d1", "end": "d2"},
+                          "format": "Bo5", "champion": "A", "runner_up": "B"},
+           "bracket": {"knockout_stage": {"finals": {
+               "match_label": "F1", "team1": "A", "team2": "B", "winner": "A", "score": "3-1",
+               "mvp": "Star", "summary": "Great.", "games": [{"game": 1, "notable": "Fast"}],
+               "narratives": ["Comeback"]}}},
+           "key_narratives": [{"narrative": "N1", "description": "D1"}]}
+    p = tmp_path / "t.json"
+    p.write_text(json.dumps(doc))
+    match = ("struct<match_label:string,team1:string,team2:string,winner:string,score:string,mvp:string,"
+             "summary:string,games:array<struct<game:int,notable:string>>,narratives:array<string>>")
+    schema = (f"tournament struct<name:string,location:string,dates:struct<start:string,end:string>,"
+              f"format:string,champion:string,runner_up:string>, "
+              f"bracket struct<knockout_stage:struct<finals:{match}>>, "
+              f"key_narratives array<struct<narrative:string,description:string>>")
+    d = fl.read_json_document(spark, str(p), schema)
+    ov = rows(ch.overview_chunk(d.select("tournament.*")), "text")[0][0]
+    assert ov == "Tournament: Cup, held at Town from d1 to d2. Format: Bo5. Champion: A. Runner-up: B."
+    fin = d.select("bracket.knockout_stage.finals.*").withColumn("ord", F.lit(0))
+    t = rows(ch.match_chunks(fin, "final"), "text", "stage")[0]
+    assert t == ("Grand Finals: A vs B. Winner: A (3-1). MVP: Star. Great. Game 1: Fast. Comeback.", "Grand Finals")
+    nar = d.selectExpr("posexplode(key_narratives) AS (ord, n)").select("ord", "n.*")
+    assert rows(ch.narrative_chunks(nar), "text") == [("Tournament narrative — N1: D1",)]

@@ -132,3 +132,22 @@ def test_stream_memory_matches_simulation(spark):
                 size += 1
             want[(sid, r.turn)] = size
     assert got == want
+
+
+def test_cache_log_load_missing_and_last_write(spark, tmp_path):
+    p = str(tmp_path / "cache")
+    assert mem.load_cache(spark, p).count() == 0
+    mem.save_cache_writes(spark.createDataFrame([("q", "old", 1)], mem.CACHE_SCHEMA), p)
+    mem.save_cache_writes(spark.createDataFrame([("q", "new", 2), ("r", "x", 2)], mem.CACHE_SCHEMA), p)
+    assert sorted(rows(mem.load_cache(spark, p), "question_key", "answer")) == [("q", "new"), ("r", "x")]
+
+
+def test_required_column_and_row_label(spark):
+    import pytest
+    from quarry.functions.text import label_or_row, require_columns
+    d = spark.createDataFrame([(0, "m"), (1, None)], "doc_id long, match string")
+    with pytest.raises(ValueError):
+        require_columns(d, "body")
+    assert rows(d.select(label_or_row(d, "match", "doc_id"))) == [("m",), ("Row 1",)]
+    nd = d.drop("match")
+    assert rows(nd.select(label_or_row(nd, "match", "doc_id"))) == [("Row 0",), ("Row 1",)]
