@@ -36,8 +36,10 @@ def lexical_norm_hits(collection: DataFrame, questions: DataFrame,
                       index: lx.BM25Index | None = None) -> DataFrame:
     """(qid, doc_id, b): BM25 over the collection's texts, max-normalised per question.
     Pass a prebuilt (persisted) ``index`` to skip the build."""
-    idx = index or lx.build_bm25_index(collection.select("doc_id", "text"))
-    s = lx.bm25_scores(idx, questions, text_col="question")
+    from quarry.session import materialize
+    idx = index or lx.stored_bm25_index(collection.select("doc_id", "text"))
+    # scored once; the per-question max and the normalisation both read it
+    s = materialize(lx.bm25_scores(idx, questions, text_col="question"), "lexical-hits")
     return lx.max_normalise(s).select("qid", "doc_id", F.col("score_norm").alias("b"))
 
 

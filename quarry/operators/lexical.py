@@ -102,14 +102,20 @@ def bm25_idf(postings: DataFrame, stats: DataFrame, epsilon: float = EPSILON) ->
 
 def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      k1: float = K1, b: float = B, epsilon: float = EPSILON,
-                     materialized: bool = True) -> BM25Index:
+                     materialized: bool = True, base: str | None = None) -> BM25Index:
     """Build the index.  With ``materialized`` (default) the postings, statistics and
-    idf are written once to the shared folder and every consumer reads them, so
-    tokenisation and the term aggregation run exactly once."""
+    idf are written once (under ``base`` if given, else fresh shared paths) and
+    every consumer reads them, so tokenisation and the term aggregation run
+    exactly once."""
     from quarry.session import materialize
 
     def keep(df, name):
-        return materialize(df, name) if materialized else df
+        if not materialized:
+            return df
+        if base is None:
+            return materialize(df, name)
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return df.sparkSession.read.parquet(f"{base}/{name}")
 
     # clustered by document: scoring's map-side partial sum per (question, doc) is
     # then complete inside each task, so only finished pairs are shuffled
@@ -120,10 +126,13 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stats = keep(one_row_join(n, tot).withColumn(
         "avgdl", F.col("n_tokens").cast("double") / F.col("n_docs")), "bm25-stats")
     idf = keep(bm25_idf(post, stats, epsilon), "bm25-idf")
-    weighted = one_row_join(post, stats.select("avgdl")).select(
+    # the length-normalised factor is part of the stored postings (a map-only
+    # step over the doc-clustered files), so searches never join the statistics
+    weighted = keep(one_row_join(post, stats.select("avgdl")).select(
         "term", "doc_id", "tf", "dl",
         (F.col("tf") * (k1 + 1)
-         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
+         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w")),
+        "bm25-weighted")
     mean_idf = idf.agg(F.avg("idf").alias("mean_floored_idf"))
     return BM25Index(weighted, idf, one_row_join(stats, mean_idf), k1, b)
 
@@ -199,3 +208,35 @@ def max_normalise(scores: DataFrame, part: str = "qid", col: str = "score",
                   .withColumn(out, F.when(F.col("__mx") > 0, F.col(col) / F.col("__mx"))
                                     .otherwise(F.col(col)))
                   .drop("__mx"))
+
+
+def corpus_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple:
+    """(row count, xor of per-row 64-bit hashes of (id, text)): order-independent and
+    sensitive to any edit, insert or delete.  One scan, one row to the driver."""
+    r = docs.agg(F.count(F.lit(1)).alias("n"),
+                 F.coalesce(F.bit_xor(F.xxhash64(F.col(id_col), F.col(text_col))), F.lit(0)).alias("fp")
+                 ).first()
+    return int(r["n"]), int(r["fp"])
+
+
+def stored_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      k1: float = K1, b: float = B, epsilon: float = EPSILON) -> BM25Index:
+    """The corpus's BM25 index from the shared index folder, built only when no
+    complete index with the same fingerprint and parameters exists (a persisted
+    collection is reused while its data is unchanged, rebuilt when it is stale)."""
+    from pyspark.errors import AnalysisException
+
+    from quarry.session import ensure_checkpoint_dir
+    spark = docs.sparkSession
+    n, fp = corpus_fingerprint(docs, id_col, text_col)
+    base = f"{ensure_checkpoint_dir(spark)}/bm25-index/{n}-{fp & (2**64 - 1):016x}-{k1}-{b}-{epsilon}"
+    try:
+        spark.read.parquet(f"{base}/manifest").first()
+        return BM25Index(spark.read.parquet(f"{base}/bm25-weighted"), spark.read.parquet(f"{base}/bm25-idf"),
+                         spark.read.parquet(f"{base}/bm25-stats"), k1, b)
+    except AnalysisException:
+        pass
+    idx = build_bm25_index(docs, id_col, text_col, k1, b, epsilon, materialized=True, base=base)
+    # the manifest is written last: its presence marks a complete index
+    spark.createDataFrame([(n, fp)], "n long, fp long").write.mode("overwrite").parquet(f"{base}/manifest")
+    return idx

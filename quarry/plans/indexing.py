@@ -68,7 +68,7 @@ def token_logits(idx, occurrences, id_col):
 
 
 def _weights(spark, sf):
-    idx = lx.build_bm25_index(bd.comments(spark, sf))
+    idx = lx.stored_bm25_index(bd.comments(spark, sf))
     dw = sp.sparse_weights(token_logits(idx, idx.postings, "doc_id"), distinct_terms=True)
     return idx, dw
 

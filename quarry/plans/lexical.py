@@ -20,19 +20,19 @@ def q_term_postings(spark, sf):
 
 
 def q_bm25_idf(spark, sf):
-    idx = lx.build_bm25_index(bd.comments(spark, sf))
+    idx = lx.stored_bm25_index(bd.comments(spark, sf))
     return idx.idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def q_bm25_scores(spark, sf):
-    idx = lx.build_bm25_index(bd.comments(spark, sf))
+    idx = lx.stored_bm25_index(bd.comments(spark, sf))
     s = lx.bm25_scores(idx, bd.questions(spark, sf))
     return s.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 def q_bm25_top5(spark, sf):
     docs = bd.comments(spark, sf)
-    idx = lx.build_bm25_index(docs)
+    idx = lx.stored_bm25_index(docs)
     qs = bd.questions(spark, sf)
     top = lx.top_k_with_padding(lx.bm25_scores(idx, qs), qs, docs, k=5)
     # fetch text only after the limit
@@ -41,7 +41,7 @@ def q_bm25_top5(spark, sf):
 
 
 def q_score_max_norm(spark, sf):
-    idx = lx.build_bm25_index(bd.comments(spark, sf))
+    idx = lx.stored_bm25_index(bd.comments(spark, sf))
     s = lx.max_normalise(lx.bm25_scores(idx, bd.questions(spark, sf)))
     return s.select("qid", "doc_id", F.round("score", 6).alias("score"),
                     F.round("score_norm", 6).alias("score_norm"))

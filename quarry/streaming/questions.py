@@ -26,8 +26,7 @@ def answer_stream(spark: SparkSession, questions_stream: DataFrame, question_vec
     (qid, embedding); ``collection``: static (doc_id, text, embedding, ...)."""
     out_path = out_path or shared_path(spark, "stream-answers")
     checkpoint = checkpoint or shared_path(spark, "stream-ckpt")
-    index = lx.build_bm25_index(collection.select("doc_id", "text")).persist_to(
-        spark, shared_path(spark, "stream-index"))
+    index = lx.stored_bm25_index(collection.select("doc_id", "text"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         q = batch.select("qid", "question").join(question_vectors.select("qid", "embedding"), "qid")
