@@ -52,3 +52,47 @@ def stale_by_hash(stored: DataFrame, expected: DataFrame, group_col: str = "coll
         & (F.col("stored_fp") == F.col("expected_fp"))
     return j.select(group_col, "stored", "expected",
                     F.when(same, F.lit("reuse")).otherwise(F.lit("rebuild")).alias("action"))
+
+
+def _content_fingerprint(df: DataFrame, key: str) -> tuple:
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])), F.lit(0)).alias("fp")
+               ).first()
+    return int(r["n"]), int(r["fp"]) & (2 ** 64 - 1)
+
+
+def stored_bucketed(df: DataFrame, key: str = "doc_id", n_buckets: int | None = None,
+                    name: str = "collection") -> DataFrame:
+    """``df`` as a table bucketed (and sorted) by ``key`` under the shared folder,
+    reused while its content fingerprint is unchanged.
+
+    Joins on ``key`` against a bucketed table shuffle only the other side, so a
+    large vector collection is written once (clustered by document) and never
+    exchanged again at query time."""
+    from pyspark.errors import AnalysisException
+
+    from quarry.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, fp = _content_fingerprint(df, key)
+    tag = f"{name}_{n}_{fp:016x}_{n_buckets}"
+    table = f"quarry_{tag}"
+    path = f"{ensure_checkpoint_dir(spark)}/bucketed/{tag}"
+    if spark.catalog.tableExists(table):
+        return spark.table(table)
+    try:
+        spark.read.parquet(f"{path}/manifest").first()
+        stored = True
+    except AnalysisException:
+        stored = False
+    if not stored:
+        (df.write.bucketBy(n_buckets, key).sortBy(key).mode("overwrite")
+           .option("path", f"{path}/data").saveAsTable(table))
+        spark.createDataFrame([(n, f"{fp:016x}")], "n long, fp string").write.mode("overwrite").parquet(
+            f"{path}/manifest")
+        return spark.table(table)
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                     for f in spark.read.parquet(f"{path}/data").schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet CLUSTERED BY ({key}) "
+              f"SORTED BY ({key}) INTO {n_buckets} BUCKETS LOCATION '{path}/data'")
+    return spark.table(table)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.sizing import bounded_broadcast
+from quarry.operators.collections import stored_bucketed
 from quarry.operators import dense as dn
 from quarry.operators import lexical as lx
 
@@ -56,8 +57,11 @@ def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float
     cols = ["doc_id", F.col("embedding").alias("v")]
     if routed is not None:
         cols.append(F.col(route_col).cast("string").alias("rv"))
-    corpus = (collection.select(*cols).filter(F.col("v").isNotNull())
-              .join(by_doc, "doc_id", "left"))
+    # the vectors live in a table bucketed by doc_id: only the sparse hit lists
+    # are shuffled to them
+    vectors = stored_bucketed(collection.select(*cols).filter(F.col("v").isNotNull()), "doc_id",
+                              name="vectors")
+    corpus = vectors.join(by_doc, "doc_id", "left")
     parts = []
     for block in dn.question_blocks(questions):
         bounds = {r["qid"]: (r["max_d"], r["min_d"])
