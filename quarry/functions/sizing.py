@@ -23,9 +23,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
 
 
 def one_row_join(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast hash join
-    on a constant key, so there is no nested-loop / cartesian operator)."""
-    key = "__one"
-    return (df.withColumn(key, F.lit(1))
-              .join(F.broadcast(stats.withColumn(key, F.lit(1))), key)
-              .drop(key))
+    """Attach the columns of a one-row aggregate to every row.
+
+    The single row (bounded by construction) is fetched once and attached as
+    typed literals: no join operator at all, and Catalyst can fold the
+    constants into the expressions that use them."""
+    row = stats.first()
+    if row is None:
+        raise ValueError("one_row_join expects a one-row aggregate")
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name)
+                            for f in stats.schema.fields])
