@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.sizing import bounded_broadcast
+from quarry.functions.sizing import bounded_broadcast, fits
 from quarry.operators.collections import stored_bucketed
 from quarry.operators import dense as dn
 from quarry.operators import lexical as lx
@@ -41,7 +41,8 @@ def lexical_norm_hits(collection: DataFrame, questions: DataFrame,
     idx = index or lx.stored_bm25_index(collection.select("doc_id", "text"))
     # scored once; the per-question max and the normalisation both read it
     s = materialize(lx.bm25_scores(idx, questions, text_col="question"), "lexical-hits")
-    return lx.max_normalise(s).select("qid", "doc_id", F.col("score_norm").alias("b"))
+    few = fits(questions, 2_000_000)  # at most one maximum per question
+    return lx.max_normalise(s, broadcast_groups=few).select("qid", "doc_id", F.col("score_norm").alias("b"))
 
 
 def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float = ALPHA,
@@ -53,7 +54,6 @@ def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float
     ``routed`` (qid, route_value) pre-filters each routed question to documents
     whose ``route_col`` equals its value (after whole-corpus normalisation)."""
     hits = lexical_norm_hits(collection, questions, index)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("qid", "b")).alias("hits"))
     cols = ["doc_id", F.col("embedding").alias("v")]
     if routed is not None:
         cols.append(F.col(route_col).cast("string").alias("rv"))
@@ -61,16 +61,19 @@ def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float
     # are shuffled to them
     vectors = stored_bucketed(collection.select(*cols).filter(F.col("v").isNotNull()), "doc_id",
                               name="vectors")
-    corpus = vectors.join(by_doc, "doc_id", "left")
     parts = []
     for block in dn.question_blocks(questions):
+        ids = [int(x) for x in block[0]]
         bounds = {r["qid"]: (r["max_d"], r["min_d"])
                   for r in dn.distance_bounds(collection, block).collect()}
         routes = None
         if routed is not None:
-            ids = [int(x) for x in block[0]]
             routes = {r["qid"]: r["route_value"]
                       for r in routed.filter(F.col("qid").isin(ids)).collect()}
+        # per block, so a document's hit list is bounded by the block size
+        by_doc = (hits.filter(F.col("qid").isin(ids)).groupBy("doc_id")
+                      .agg(F.collect_list(F.struct("qid", "b")).alias("hits")))
+        corpus = vectors.join(by_doc, "doc_id", "left")
         parts.append(dn.fused_candidates(corpus, block, bounds, alpha, threshold, k, routes))
     out = parts[0]
     for p in parts[1:]:

@@ -201,9 +201,14 @@ def top_k_with_padding(scores: DataFrame, questions: DataFrame, docs: DataFrame,
 
 
 def max_normalise(scores: DataFrame, part: str = "qid", col: str = "score",
-                  out: str = "score_norm") -> DataFrame:
-    """Divide by the per-group maximum, only where that maximum is > 0."""
+                  out: str = "score_norm", broadcast_groups: bool = False) -> DataFrame:
+    """Divide by the per-group maximum, only where that maximum is > 0.
+
+    ``broadcast_groups``: the caller has checked that the number of groups is
+    small (e.g. the question table fits); the maxima are then broadcast, so a
+    group holding most of the rows is never gathered into one task."""
     mx = scores.groupBy(part).agg(F.max(col).alias("__mx"))
+    mx = F.broadcast(mx) if broadcast_groups else mx
     return (scores.join(mx, part)
                   .withColumn(out, F.when(F.col("__mx") > 0, F.col(col) / F.col("__mx"))
                                     .otherwise(F.col(col)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.sizing import fits
 from quarry.functions.text import preview
 from quarry.operators import lexical as lx
 from quarry.plans import bindings as bd
@@ -42,7 +43,8 @@ def q_bm25_top5(spark, sf):
 
 def q_score_max_norm(spark, sf):
     idx = lx.stored_bm25_index(bd.comments(spark, sf))
-    s = lx.max_normalise(lx.bm25_scores(idx, bd.questions(spark, sf)))
+    qs = bd.questions(spark, sf)
+    s = lx.max_normalise(lx.bm25_scores(idx, qs), broadcast_groups=fits(qs, 2_000_000))
     return s.select("qid", "doc_id", F.round("score", 6).alias("score"),
                     F.round("score_norm", 6).alias("score_norm"))
 
