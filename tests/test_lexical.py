@@ -79,3 +79,9 @@ def test_max_normalise_only_when_positive(spark):
 def test_tokenizer_unicode_whitespace(spark):
     d = spark.createDataFrame([(0, "  A b C\tD\n")], "doc_id long, text string")
     assert [t for _, _, t in rows(lx.tokenize(d))] == "  A b C\tD\n".lower().split()
+
+
+def test_tokenizer_matches_python_split_on_unicode_space(spark):
+    text = "Alpha beta GAMMA\x1cdelta　 \x0bomega​"
+    d = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    assert [t for _, _, t in rows(lx.tokenize(d))] == text.lower().split()
