@@ -2,10 +2,11 @@
 
 Index layout (all plain DataFrames, materialisable as parquet):
 
-* ``postings``  (term, doc_id, tf, dl, w)  -- ``w`` is the length-normalised
-  term-frequency factor ``tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl))``
+* ``postings``  (term, doc_id, tf, dl), clustered by doc_id; the
+  length-normalised factor ``w = tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl))`` is a
+  projection at search time (avgdl is a literal)
 * ``idf``       (term, df, idf)            -- floored idf
-* ``stats``     one row (n_docs, n_tokens, avgdl, mean_idf)
+* ``stats``     one row (n_docs, n_tokens, avgdl)
 
 Scoring never shuffles the postings: question terms (a small table, attached
 to their idf first) are broadcast after a size check and probe the postings
@@ -68,6 +69,16 @@ class BM25Index:
     k1: float = K1
     b: float = B
 
+    def weighted_postings(self) -> DataFrame:
+        """Postings with the length-normalised factor
+        ``tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl))``; avgdl is attached as a
+        literal, so this is a projection over the stored postings."""
+        k1, b = self.k1, self.b
+        return one_row_join(self.postings, self.stats.select("avgdl")).select(
+            "term", "doc_id", "tf", "dl",
+            (F.col("tf") * (k1 + 1)
+             / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
+
     def persist_to(self, spark, path_prefix: str) -> "BM25Index":
         """Write the three tables to a shared folder and read them back (cuts lineage,
         survives executor loss, lets later searches skip the build)."""
@@ -126,15 +137,7 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stats = keep(one_row_join(n, tot).withColumn(
         "avgdl", F.col("n_tokens").cast("double") / F.col("n_docs")), "bm25-stats")
     idf = keep(bm25_idf(post, stats, epsilon), "bm25-idf")
-    # the length-normalised factor is part of the stored postings (a map-only
-    # step over the doc-clustered files), so searches never join the statistics
-    weighted = keep(one_row_join(post, stats.select("avgdl")).select(
-        "term", "doc_id", "tf", "dl",
-        (F.col("tf") * (k1 + 1)
-         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w")),
-        "bm25-weighted")
-    mean_idf = idf.agg(F.avg("idf").alias("mean_floored_idf"))
-    return BM25Index(weighted, idf, one_row_join(stats, mean_idf), k1, b)
+    return BM25Index(post, idf, stats, k1, b)
 
 
 def question_terms(questions: DataFrame, qid_col: str = "qid", text_col: str = "question") -> DataFrame:
@@ -153,7 +156,7 @@ def bm25_scores(index: BM25Index, questions: DataFrame, qid_col: str = "qid",
     small = fits(qt, max_broadcast_rows)
     qt = qt.join(index.idf.select("term", "idf"), "term")  # terms outside the vocabulary add 0
     qt = F.broadcast(qt) if small else qt
-    hits = index.postings.select("term", "doc_id", "w").join(qt, "term")
+    hits = index.weighted_postings().select("term", "doc_id", "w").join(qt, "term")
     return (hits.groupBy("qid", "doc_id")
                 .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("score")))
 
@@ -237,7 +240,7 @@ def stored_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = f"{ensure_checkpoint_dir(spark)}/bm25-index/{n}-{fp & (2**64 - 1):016x}-{k1}-{b}-{epsilon}"
     try:
         spark.read.parquet(f"{base}/manifest").first()
-        return BM25Index(spark.read.parquet(f"{base}/bm25-weighted"), spark.read.parquet(f"{base}/bm25-idf"),
+        return BM25Index(spark.read.parquet(f"{base}/bm25-postings"), spark.read.parquet(f"{base}/bm25-idf"),
                          spark.read.parquet(f"{base}/bm25-stats"), k1, b)
     except AnalysisException:
         pass
