@@ -66,7 +66,7 @@ def q_prompt_legacy(spark, sf):
     coll = bd.comment_collection(spark, sf)
     qs = bd.question_vectors(spark, sf)
     top = hy.hybrid_search(coll, qs, k=hy.LEGACY_TOP_K).join(
-        coll.select("doc_id", "match", "upvotes", "text"), "doc_id")
+        bd.comments(spark, sf).select("doc_id", "match", "upvotes", "text"), "doc_id")
     block = F.concat(F.lit("[Comment from "), F.col("match"), F.lit(", "), F.col("upvotes").cast("string"),
                      F.lit(" upvotes]: "), F.col("text"), F.lit("\n\n"))
     ctx = top.groupBy("qid").agg(F.array_join(F.transform(

@@ -63,7 +63,8 @@ def _hybrid(k):
     def run(spark, sf):
         coll = bd.comment_collection(spark, sf)
         top = hy.hybrid_search(coll, bd.question_vectors(spark, sf), k=k)
-        return top.join(coll.select("doc_id", "match", "upvotes"), "doc_id").select(
+        # metadata fetched from the comment table after the limit
+        return top.join(bd.comments(spark, sf).select("doc_id", "match", "upvotes"), "doc_id").select(
             "qid", "rk", "doc_id", "score", "bm25_norm", "sem_norm", "match", "upvotes")
     return run
 
