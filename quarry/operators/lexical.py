@@ -56,11 +56,6 @@ def term_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .agg(F.count(F.lit(1)).alias("tf")))
 
 
-def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.size(tokens(text_col)), F.lit(0)).cast("bigint").alias("dl"))
-
-
 @dataclass
 class BM25Index:
     postings: DataFrame
@@ -79,23 +74,6 @@ class BM25Index:
             (F.col("tf") * (k1 + 1)
              / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
 
-    def persist_to(self, spark, path_prefix: str) -> "BM25Index":
-        """Write the three tables to a shared folder and read them back (cuts lineage,
-        survives executor loss, lets later searches skip the build)."""
-        parts = {}
-        for name in ("postings", "idf", "stats"):
-            p = f"{path_prefix}/{name}"
-            getattr(self, name).write.mode("overwrite").parquet(p)
-            parts[name] = spark.read.parquet(p)
-        return BM25Index(parts["postings"], parts["idf"], parts["stats"], self.k1, self.b)
-
-
-def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    lengths = doc_lengths(docs, id_col, text_col)
-    return lengths.agg(F.count(F.lit(1)).alias("n_docs"),
-                       F.sum("dl").alias("n_tokens")).withColumn(
-        "avgdl", F.col("n_tokens").cast("double") / F.col("n_docs"))
-
 
 def bm25_idf(postings: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(term, df, idf): ``ln(N-df+0.5) - ln(df+0.5)``; negative values are replaced by

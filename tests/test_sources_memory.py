@@ -151,3 +151,23 @@ def test_required_column_and_row_label(spark):
     assert rows(d.select(label_or_row(d, "match", "doc_id"))) == [("m",), ("Row 1",)]
     nd = d.drop("match")
     assert rows(nd.select(label_or_row(nd, "match", "doc_id"))) == [("Row 0",), ("Row 1",)]
+
+
+def test_collection_sink_partitioned_dynamic_overwrite(spark, tmp_path):
+    from quarry.operators import collections as co
+    p = str(tmp_path / "colls")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    a = spark.createDataFrame([("players", 0, "x"), ("comments", 0, "y")], "collection string, doc_id long, text string")
+    co.write_collections(a, p)
+    b = spark.createDataFrame([("players", 1, "z")], "collection string, doc_id long, text string")
+    co.write_collections(b, p)  # rebuilds only the players partition
+    got = sorted(rows(spark.read.parquet(p), "collection", "doc_id"))
+    assert got == [("comments", 0), ("players", 1)]
+
+
+def test_json_lines_sink_round_trip(spark, tmp_path):
+    p = str(tmp_path / "j")
+    d = spark.createDataFrame([(1, "a", ["x", "y"])], "id long, name string, tags array<string>")
+    fl.write_json_lines(d, p)
+    back = spark.read.schema("id long, name string, tags array<string>").json(p)
+    assert rows(back) == [(1, "a", ["x", "y"])]
