@@ -43,12 +43,17 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def term_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): term frequency per document plus document length.
-
-    ``dl`` is computed before the explode and carried as a grouping key (it is a
-    function of the document), so no join back to a length table is needed.
+    """(doc_id, term, tf, dl): term frequency per document plus document length,
+    clustered by doc_id.
+
+    Documents are hash-partitioned by id first (one shuffle of the text); the
+    per-(doc, term) aggregate then needs no exchange of its own, since hash
+    partitioning on doc_id satisfies its distribution.  ``dl`` is computed before
+    the explode and carried as a grouping key (a function of the document), so
+    no join back to a length table is needed.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
+    toks = docs.repartition(F.col(id_col)).select(
+        F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
     toks = toks.withColumn("dl", F.coalesce(F.size("toks"), F.lit(0)).cast("bigint"))
     return (toks.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
                 .filter(F.col("term").isNotNull())
@@ -75,10 +80,13 @@ class BM25Index:
              / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
 
 
-def bm25_idf(postings: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def bm25_idf(postings: DataFrame, stats: DataFrame, epsilon: float = EPSILON,
+             df_table: DataFrame | None = None) -> DataFrame:
     """(term, df, idf): ``ln(N-df+0.5) - ln(df+0.5)``; negative values are replaced by
-    ``epsilon * mean(raw idf over the vocabulary)``."""
-    df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ``epsilon * mean(raw idf over the vocabulary)``.  ``df_table`` (term, df) may be
+    passed precomputed (materialised) so the vocabulary is aggregated once."""
+    df_ = df_table if df_table is not None else \
+        postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = one_row_join(df_, stats.select("n_docs")).select(
         "term", "df",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
@@ -108,13 +116,14 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # clustered by document: scoring's map-side partial sum per (question, doc) is
     # then complete inside each task, so only finished pairs are shuffled
-    post = keep(term_postings(docs, id_col, text_col).repartition("doc_id"), "bm25-postings")
+    post = keep(term_postings(docs, id_col, text_col), "bm25-postings")
     # corpus size counts documents without tokens too; token total from postings
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     tot = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("n_tokens"))
     stats = keep(one_row_join(n, tot).withColumn(
         "avgdl", F.col("n_tokens").cast("double") / F.col("n_docs")), "bm25-stats")
-    idf = keep(bm25_idf(post, stats, epsilon), "bm25-idf")
+    dft = keep(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-df")
+    idf = keep(bm25_idf(post, stats, epsilon, dft), "bm25-idf")
     return BM25Index(post, idf, stats, k1, b)
 
 
