@@ -179,10 +179,14 @@ def top_k_with_padding(scores: DataFrame, questions: DataFrame, docs: DataFrame,
     prefix = needy.agg(F.max(F.col("n_nonzero") + k).alias("m")).first()["m"]
     parts = [nonzero.select("qid", "doc_id", "score")]
     if prefix:
+        # the lowest ``prefix`` ids with their 0-based rank (a per-task partial
+        # top-m, then m rows); each needy question expands to its own bounded
+        # range of ranks and meets them with an equi-join on the rank
         lowest = (docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(int(prefix))
-                  .agg(F.collect_list("doc_id").alias("ids")))
-        pad = (one_row_join(needy.select("qid"), lowest)
-               .select("qid", F.explode("ids").alias("doc_id"))
+                  .withColumn("__p", F.row_number().over(Window.orderBy("doc_id")) - 1))
+        ranks = needy.select("qid", F.explode(F.sequence(F.lit(0), F.col("n_nonzero") + (k - 1)))
+                             .alias("__p"))
+        pad = (ranks.join(lowest, "__p").select("qid", "doc_id")
                .join(nonzero.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
                .withColumn("score", F.lit(0.0)))
         parts.append(pad)
