@@ -73,14 +73,19 @@ def command_parse(user_turns: DataFrame) -> DataFrame:
     ``quit`` / ``clear`` are exact (case-insensitive, trimmed); any text starting
     with ``debug`` toggles debug mode (running parity) and, unless it is exactly
     ``debug``, its remainder after 5 characters is asked; empty queries are
-    skipped (command ``skip``)."""
+    skipped (command ``skip``); turns after the session's first ``quit`` are
+    ``ended``."""
     t = user_turns.withColumn("__q", py_strip("content")).withColumn("__l", F.lower("__q"))
     t = t.withColumn("__tog", F.when(
         (F.col("__l") != CMD_QUIT) & (F.col("__l") != CMD_CLEAR) & F.col("__l").startswith(CMD_DEBUG),
         1).otherwise(0))
     t = running_sum_within(t, ["session_id"], [F.asc("turn")], "__tog", "__ntog")
+    t = t.withColumn("__quit", F.when(F.col("__l") == CMD_QUIT, 1).otherwise(0))
+    t = running_sum_within(t, ["session_id"], [F.asc("turn")], "__quit", "__nquit")
     query = F.when(F.col("__tog") == 1, py_strip(F.substring("__q", 6, 1 << 30))).otherwise(F.col("__q"))
-    cmd = (F.when(F.col("__l") == CMD_QUIT, F.lit("quit"))
+    # the console loop stops at the first quit: later turns are never processed
+    cmd = (F.when(F.col("__nquit") - F.col("__quit") > 0, F.lit("ended"))
+            .when(F.col("__l") == CMD_QUIT, F.lit("quit"))
             .when(F.col("__l") == CMD_CLEAR, F.lit("clear"))
             .when(F.col("__l") == CMD_DEBUG, F.lit("debug"))
             .when(query == "", F.lit("skip"))

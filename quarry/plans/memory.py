@@ -123,8 +123,11 @@ t AS (SELECT *, CASE WHEN l <> 'quit' AND l <> 'clear' AND starts_with(l, 'debug
       FROM u),
 t2 AS (SELECT *, sum(tog) OVER (PARTITION BY session_id ORDER BY turn
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ntog,
+              sum(CASE WHEN l = 'quit' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS quits_before,
               CASE WHEN tog = 1 THEN {_strip('substring(q, 6)')} ELSE q END AS qq FROM t),
-t3 AS (SELECT *, CASE WHEN l = 'quit' THEN 'quit' WHEN l = 'clear' THEN 'clear' WHEN l = 'debug' THEN 'debug'
+t3 AS (SELECT *, CASE WHEN coalesce(quits_before, 0) > 0 THEN 'ended'
+                      WHEN l = 'quit' THEN 'quit' WHEN l = 'clear' THEN 'clear' WHEN l = 'debug' THEN 'debug'
                       WHEN qq = '' THEN 'skip' ELSE 'ask' END AS command FROM t2)
 SELECT session_id, turn, command, (ntog % 2 = 1) AS debug_on,
        CASE WHEN command = 'ask' THEN qq END AS query FROM t3""",

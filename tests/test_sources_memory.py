@@ -78,6 +78,12 @@ def test_command_parse_rules(spark):
                    (1, 6, "ask", False, "first question?")]
 
 
+def test_turns_after_quit_are_ended(spark):
+    t = turns_df(spark, [(2, 1, "user", "hello there"), (2, 2, "user", " Quit "), (2, 3, "user", "still here?")])
+    got = sorted(rows(mem.command_parse(t), "turn", "command", "query"))
+    assert got == [(1, "ask", "hello there"), (2, "quit", None), (3, "ended", None)]
+
+
 def test_memory_reset_and_messages(spark):
     m = mem.memory_since_reset(turns_df(spark, SESSION))
     assert sorted(rows(m, "turn")) == [(0,), (6,), (7,)]
