@@ -52,10 +52,14 @@ def q_stale_collections(spark, sf):
 
 
 def q_stale_by_hash(spark, sf):
+    """Stored collections against their chunk sources: every document for
+    ``comments``, each label's documents for ``c<label>``."""
     stored = co.fingerprint(all_collections(spark, sf))
     docs = bd.comments(spark, sf).select("doc_id", "text")
-    expected = co.fingerprint(docs.withColumn("collection", F.lit("comments")))
-    return co.stale_by_hash(stored, expected)
+    vecs = bd.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"),
+                                        F.concat(F.lit("c"), F.col("label").cast("string")).alias("collection"))
+    sources = docs.withColumn("collection", F.lit("comments")).unionByName(docs.join(vecs, "doc_id"))
+    return co.stale_by_hash(stored, co.fingerprint(sources))
 
 
 def token_logits(idx, occurrences, id_col):
@@ -128,6 +132,17 @@ SELECT coalesce(s.collection, x.collection) AS collection, coalesce(stored, 0) A
        CASE WHEN coalesce(stored, 0) > 0 AND coalesce(stored, 0) = coalesce(expected, 0)
             THEN 'reuse' ELSE 'rebuild' END AS action
 FROM s FULL OUTER JOIN x ON s.collection = x.collection""",
+    "stale_by_hash": """
+WITH lab AS (SELECT 'c' || e.label::VARCHAR AS collection, d.doc_id, d.text
+             FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+st AS (SELECT 'comments' AS collection, d.doc_id, d.text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+       UNION ALL SELECT * FROM lab),
+src AS (SELECT 'comments' AS collection, doc_id, text FROM documents UNION ALL SELECT * FROM lab),
+a AS (SELECT collection, count(*) AS n, bit_xor(hash(doc_id, text)) AS fp FROM st GROUP BY 1),
+b AS (SELECT collection, count(*) AS n, bit_xor(hash(doc_id, text)) AS fp FROM src GROUP BY 1)
+SELECT coalesce(a.collection, b.collection) AS collection, a.n AS stored, b.n AS expected,
+       CASE WHEN coalesce(a.n, 0) > 0 AND a.n = b.n AND a.fp = b.fp THEN 'reuse' ELSE 'rebuild' END AS action
+FROM a FULL OUTER JOIN b ON a.collection = b.collection""",
     "sparse_weights": f"WITH {_SPARSE} SELECT doc_id, term, round(weight, 6) AS weight FROM dw",
     "sparse_top5": f"""WITH {_SPARSE},
 sc AS (SELECT qw.qid, dw.doc_id, round(sum(qw.weight * dw.weight), 6) AS score

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ordering import positions_within
 from quarry.plans import bindings as bd
-from quarry.plans.knowledge import champions
+from quarry.plans.knowledge import CHAMPS_SQL, champions
 from quarry.session import shared_path
 from quarry.sources import files as fl
 from quarry.sources import snapshots as sn
@@ -48,7 +48,7 @@ def q_json_document(spark, sf):
         "name", "title", "tags",
         F.struct("roles", "primary_role", "presence_pct", "bans", "games_played", "wins",
                  "win_rate").alias("tournament"),
-        "tournament_context"))
+        "tournament_context"), {"ignoreNullFields": "false"})
     return c.select("p_partkey", doc.alias("json"))
 
 
@@ -76,4 +76,11 @@ SELECT DISTINCT thread_id, 0::BIGINT AS game_no, thread_id || ' (Series)' AS lab
 UNION ALL
 SELECT thread_id, link_pos + 1 AS game_no, thread_id || ' - Game ' || (link_pos + 1)::VARCHAR AS label, link FROM fl""",
     "csv_roundtrip": "SELECT doc_id, text, source, n_chars FROM documents",
+    "json_document": f"""WITH {CHAMPS_SQL}
+SELECT p_partkey, to_json({{'name': name, 'title': title, 'tags': tags,
+                           'tournament': {{'roles': roles, 'primary_role': primary_role,
+                                           'presence_pct': presence_pct, 'bans': bans,
+                                           'games_played': games, 'wins': wins, 'win_rate': win_rate}},
+                           'tournament_context': tournament_context}})::VARCHAR AS json
+FROM champs""",
 }

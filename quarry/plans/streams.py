@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 from quarry.plans import bindings as bd
+from quarry.plans.retrieval import HYBRID_CTES
+from quarry.plans.sqlfrag import WS
 from quarry.sources.tables import table_path
 from quarry.streaming import memory as smem
 from quarry.streaming import questions as sq
@@ -31,3 +33,29 @@ QUERIES = {
     "stream_questions": q_stream_questions,
     "stream_memory": q_stream_memory,
 }
+
+# The feed must answer exactly what the batch query answers; the memory size
+# after each turn has a closed form: within a segment between clears it is
+# (system turn seen before the segment's clear ? 1 : 0) + the segment's
+# non-clear turns so far; a clear itself leaves only the system turn.
+_STRIP = f"regexp_replace(text, '^{WS}|{WS}$', '', 'g')"
+
+ORACLE = {
+    "stream_questions": f"""WITH {HYBRID_CTES}
+SELECT qid, rk::BIGINT AS rk, doc_id, score, bm25_norm, sem_norm FROM hr WHERE rk <= 15""",
+    "stream_memory": f"""
+WITH t AS (SELECT conv_id AS session_id, turn,
+                  CASE WHEN role = 'user' AND lower({_STRIP}) = 'clear' THEN 1 ELSE 0 END AS clr,
+                  CASE WHEN role = 'system' THEN 1 ELSE 0 END AS sys
+           FROM conversations),
+t2 AS (SELECT *, sum(clr) OVER w AS seg, max(sys) OVER w AS hs FROM t
+       WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t3 AS (SELECT *, max(CASE WHEN clr = 1 THEN hs END) OVER (PARTITION BY session_id, seg) AS hs_at_clear,
+              sum(1 - clr) OVER (PARTITION BY session_id, seg ORDER BY turn
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt
+       FROM t2)
+SELECT session_id, turn,
+       (CASE WHEN clr = 1 THEN hs WHEN seg = 0 THEN cnt ELSE coalesce(hs_at_clear, 0) + cnt END)::BIGINT
+         AS memory_size
+FROM t3""",
+}

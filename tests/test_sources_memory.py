@@ -177,3 +177,32 @@ def test_json_lines_sink_round_trip(spark, tmp_path):
     fl.write_json_lines(d, p)
     back = spark.read.schema("id long, name string, tags array<string>").json(p)
     assert rows(back) == [(1, "a", ["x", "y"])]
+
+
+def test_memory_size_closed_form_matches_simulation(tmp_path):
+    import duckdb
+
+    from quarry.plans.streams import ORACLE
+    conv = pd.DataFrame({
+        "conv_id": [1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3],
+        "turn": [0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 0, 1, 2],
+        "role": ["system", "user", "assistant", "user", "user", "assistant",
+                 "user", "user", "system", "user", "user", "user", "assistant"],
+        "text": ["s", "q", "a", " CLEAR ", "q2", "a2", "x", "clear", "late system", "clear",
+                 "clear", "y", "z"]})
+    p = str(tmp_path / "conversations.parquet")
+    conv.to_parquet(p)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{p}')")
+    got = {(s, t): n for s, t, n in con.execute(ORACLE["stream_memory"]).fetchall()}
+    want = {}
+    for sid, g in conv.sort_values(["conv_id", "turn"]).groupby("conv_id"):
+        has_sys, size = False, 0
+        for r in g.itertuples():
+            if _is_clear(r.role, r.text):
+                size = 1 if has_sys else 0
+            else:
+                has_sys = has_sys or r.role == "system"
+                size += 1
+            want[(sid, r.turn)] = size
+    assert got == want
