@@ -55,10 +55,14 @@ def stale_by_hash(stored: DataFrame, expected: DataFrame, group_col: str = "coll
 
 
 def _content_fingerprint(df: DataFrame, key: str) -> tuple:
-    r = df.agg(F.count(F.lit(1)).alias("n"),
-               F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])), F.lit(0)).alias("fp")
-               ).first()
-    return int(r["n"]), int(r["fp"]) & (2 ** 64 - 1)
+    from quarry.session import memo_fingerprint
+
+    def compute():
+        r = df.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])), F.lit(0)).alias("fp")
+                   ).first()
+        return int(r["n"]), int(r["fp"]) & (2 ** 64 - 1)
+    return memo_fingerprint(df, compute)
 
 
 def stored_bucketed(df: DataFrame, key: str = "doc_id", n_buckets: int | None = None,

@@ -212,10 +212,14 @@ def max_normalise(scores: DataFrame, part: str = "qid", col: str = "score",
 def corpus_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple:
     """(row count, xor of per-row 64-bit hashes of (id, text)): order-independent and
     sensitive to any edit, insert or delete.  One scan, one row to the driver."""
-    r = docs.agg(F.count(F.lit(1)).alias("n"),
-                 F.coalesce(F.bit_xor(F.xxhash64(F.col(id_col), F.col(text_col))), F.lit(0)).alias("fp")
-                 ).first()
-    return int(r["n"]), int(r["fp"])
+    from quarry.session import memo_fingerprint
+
+    def compute():
+        r = docs.agg(F.count(F.lit(1)).alias("n"),
+                     F.coalesce(F.bit_xor(F.xxhash64(F.col(id_col), F.col(text_col))), F.lit(0)).alias("fp")
+                     ).first()
+        return int(r["n"]), int(r["fp"])
+    return memo_fingerprint(docs.select(id_col, text_col), compute)
 
 
 def stored_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

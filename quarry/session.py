@@ -72,3 +72,26 @@ def materialize(df, name: str):
     path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_FINGERPRINTS: dict = {}
+
+
+def input_signature(df) -> tuple:
+    """(path, length, modification time) of every file the plan reads, from the
+    ``binaryFile`` source with only metadata columns selected (no content read)."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return ()
+    meta = (df.sparkSession.read.format("binaryFile").load(files)
+            .select("path", "length", "modificationTime").collect())
+    return tuple(sorted((r["path"], int(r["length"]), str(r["modificationTime"])) for r in meta))
+
+
+def memo_fingerprint(df, compute):
+    """A content fingerprint, computed once per session for the same plan over the
+    same unchanged files (semantic plan hash + file lengths and mtimes)."""
+    key = (df.semanticHash(), input_signature(df))
+    if key not in _FINGERPRINTS:
+        _FINGERPRINTS[key] = compute()
+    return _FINGERPRINTS[key]
