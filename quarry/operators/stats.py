@@ -47,6 +47,14 @@ def ordered_members(df: DataFrame, group_col: str, value_col: str, ord_col: str,
     return positions_within(df, [group_col], [F.desc(value_col), F.asc(ord_col)], out)
 
 
+def in_role_order(members: DataFrame, group_col: str, order=ROLE_ORDER) -> DataFrame:
+    """Keep only groups named in ``order`` and number them in that fixed order
+    (``role_ord``); groups outside the list are not shown."""
+    spark = members.sparkSession
+    roles = spark.createDataFrame(list(enumerate(order)), f"role_ord int, {group_col} string")
+    return members.join(F.broadcast(roles), group_col)  # fixed, tiny configuration table
+
+
 def join_members(members: DataFrame, group_col: str, pos_col: str, name_col: str,
                  sep: str = ", ") -> DataFrame:
     """One string per group from the long form.  Only for groups of bounded size

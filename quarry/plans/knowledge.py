@@ -59,10 +59,16 @@ def q_stable_sort_desc(spark, sf):
                                 "presence_pct", "p_partkey")
 
 
+# Role order bound to the stand-in data: primary roles are return flags; parts
+# without statistics have the default role and are not shown.
+BOUND_ROLE_ORDER = ("R", "N", "A")
+
+
 def q_ordered_string_agg(spark, sf):
     c = champions(spark, sf).select("p_partkey", "name", "primary_role", "presence_pct")
-    return stt.ordered_members(c, "primary_role", "presence_pct", "p_partkey").select(
-        "primary_role", "pos", "name", "p_partkey")
+    m = stt.ordered_members(c, "primary_role", "presence_pct", "p_partkey")
+    return stt.in_role_order(m, "primary_role", BOUND_ROLE_ORDER).select(
+        "role_ord", "primary_role", "pos", "name", "p_partkey")
 
 
 def q_count_by_label(spark, sf):
@@ -187,9 +193,12 @@ ORACLE = {
     "stable_sort_desc": f"""WITH {CHAMPS_SQL}
 SELECT p_partkey, presence_pct, (row_number() OVER (ORDER BY presence_pct DESC, p_partkey) - 1)::BIGINT AS pos
 FROM champs""",
-    "ordered_string_agg": f"""WITH {CHAMPS_SQL}
-SELECT primary_role, (row_number() OVER (PARTITION BY primary_role ORDER BY presence_pct DESC, p_partkey) - 1)::BIGINT
-       AS pos, name, p_partkey FROM champs""",
+    "ordered_string_agg": f"""WITH {CHAMPS_SQL},
+ro(role_ord, primary_role) AS (VALUES (0, 'R'), (1, 'N'), (2, 'A'))
+SELECT ro.role_ord::INTEGER AS role_ord, c.primary_role,
+       (row_number() OVER (PARTITION BY c.primary_role ORDER BY c.presence_pct DESC, c.p_partkey) - 1)::BIGINT AS pos,
+       c.name, c.p_partkey
+FROM champs c JOIN ro USING (primary_role)""",
     "count_by_label": """
 SELECT regexp_replace(source, '( \\(Series\\)| - Game \\d+)$', '') AS match, count(*) AS n_comments,
        (SELECT count(*) FROM documents) AS total

@@ -60,6 +60,10 @@ def test_ordered_members_and_join(spark):
     m = stt.ordered_members(d, "role", "presence", "ord")
     joined = dict(rows(stt.join_members(m, "role", "pos", "name")))
     assert joined == {"Mid": "c, a, d", "Top": "b"}
+    extra = spark.createDataFrame([(9, "Coach", "z", 0.0)], "ord long, role string, name string, presence double")
+    m2 = m.unionByName(stt.ordered_members(extra, "role", "presence", "ord"))
+    shown = rows(stt.in_role_order(m2, "role", ("Top", "Jungle", "Mid")), "role_ord", "role")
+    assert sorted(set(shown)) == [(0, "Top"), (2, "Mid")]  # fixed order; unknown role not shown
 
 
 def test_json_map_keeps_file_order_and_null_map(spark, tmp_path):
