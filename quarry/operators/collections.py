@@ -90,7 +90,9 @@ def stored_bucketed(df: DataFrame, key: str = "doc_id", n_buckets: int | None =
     except AnalysisException:
         stored = False
     if not stored:
-        (df.write.bucketBy(n_buckets, key).sortBy(key).mode("overwrite")
+        # one task per bucket (same hash as bucketing): one file per bucket, not
+        # one per (task, bucket)
+        (df.repartition(n_buckets, key).write.bucketBy(n_buckets, key).sortBy(key).mode("overwrite")
            .option("path", f"{path}/data").saveAsTable(table))
         spark.createDataFrame([(n, f"{fp:016x}")], "n long, fp string").write.mode("overwrite").parquet(
             f"{path}/manifest")
