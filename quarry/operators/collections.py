@@ -72,7 +72,9 @@ def stored_bucketed(df: DataFrame, key: str = "doc_id", n_buckets: int | None =
 
     Joins on ``key`` against a bucketed table shuffle only the other side, so a
     large vector collection is written once (clustered by document) and never
-    exchanged again at query time."""
+    exchanged again at query time.  The bucket count defaults to the session's
+    shuffle partition count (and is part of the table key): the planner keeps
+    the bucketed scan only when the other side is shuffled to the same count."""
     from pyspark.errors import AnalysisException
 
     from quarry.session import ensure_checkpoint_dir
