@@ -103,3 +103,15 @@ def test_question_blocks_split_beyond_bound(spark):
     blocks = list(dn.question_blocks(qs, max_rows=7))
     assert all(len(b[0]) <= 7 for b in blocks)
     assert sorted(int(x) for b in blocks for x in b[0]) == sorted(r[0] for r in rows(qs, "qid"))
+
+
+def test_block_split_gives_same_results(spark, hybrid_runs, monkeypatch):
+    coll, qs, top15, _ = hybrid_runs
+    orig = dn.question_blocks
+    monkeypatch.setattr(dn, "question_blocks", lambda q, **kw: orig(q, max_rows=7))
+    assert set(rows(hy.hybrid_search(coll, qs, k=15), "qid", "rk", "doc_id", "score")) == set(top15)
+    lab = bd.label_collections(spark, SF_SMALL)
+    split = set(rows(dn.knn(lab, qs, 5, group_col="collection"), "qid", "collection", "rk", "doc_id"))
+    monkeypatch.setattr(dn, "question_blocks", orig)
+    whole = set(rows(dn.knn(lab, qs, 5, group_col="collection"), "qid", "collection", "rk", "doc_id"))
+    assert split == whole
