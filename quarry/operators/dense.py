@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.sizing import fits
 
 MAX_QUESTIONS_PER_BLOCK = 4096
 # keep a per-batch candidate if within this much of the k-th best value, so the
@@ -65,15 +64,16 @@ def question_blocks(questions: DataFrame, qid_col: str = "qid", vec_col: str = "
                     max_rows: int = MAX_QUESTIONS_PER_BLOCK):
     """Yield (qids, matrix) blocks of at most ``max_rows`` questions each.
 
-    Only a block that passed the size check is collected; larger inputs are
-    split by a hash of the question id, recursively, until every block fits."""
+    At most ``max_rows + 1`` rows are ever collected (``limit`` then collect is
+    the size check); larger inputs are split by a hash of the question id,
+    recursively, until every block fits."""
     q = questions.select(F.col(qid_col).alias("qid"), F.col(vec_col).alias("v")).filter(
         F.col("v").isNotNull())
     pending = [(q, 1, 0)]
     while pending:
         df, mod, rem = pending.pop()
-        if fits(df, max_rows):
-            rows = df.collect()
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) <= max_rows:
             if rows:
                 qids = np.array([r["qid"] for r in rows], dtype=np.int64)
                 mat = np.array([r["v"] for r in rows], dtype=np.float64)
