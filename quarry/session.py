@@ -40,6 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -95,3 +96,34 @@ def memo_fingerprint(df, compute):
     if key not in _FINGERPRINTS:
         _FINGERPRINTS[key] = compute()
     return _FINGERPRINTS[key]
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable on every executor's Python workers (the Arrow
+    kernels and the streaming state function are shipped by reference): zip the
+    package once per application into the shared folder and ``addPyFile`` it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    target = shared_path(spark, "quarry-pkg") + ".zip"
+    local_target = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local_target:
+        # non-local shared storage: build locally, let Spark distribute it
+        local_target = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+    os.makedirs(os.path.dirname(local_target), exist_ok=True)
+    with zipfile.ZipFile(local_target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(local_target)
+    _SHIPPED.add(app)
