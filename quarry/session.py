@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Unset: only happens in local runs and tests.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and "
+                             "all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -66,12 +68,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, compression: str | None = None):
     """Write ``df`` as parquet under the shared folder and read it back: cuts the
     lineage (a lost executor re-reads files instead of recomputing the plan) and
     lets several consumers share one computation."""
     path = shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
