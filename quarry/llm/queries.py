@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, sharding, simhash
+from quarry.llm import mixing, packing, secret_scan, sharding, simhash
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
@@ -35,6 +35,19 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES).drop("bits")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rule_no"] < len(secret_scan.BASE_RULES))
+    found = found.withColumn("base", base)
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(r.kind) for r in secret_scan.BASE_RULES],
+                        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.tokenized(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return packing.pack(tokens, SEQUENCE_TOKENS).withColumn("ids", F.crc32("ids")).withColumnRenamed(
@@ -49,6 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op5_extendible_shards": op5_extendible_shards,
+    "op8_secrets": op8_secrets,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
 }
