@@ -9,11 +9,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, secret_scan, sharding, simhash
+from quarry.llm import lattice, mixing, packing, secret_scan, sharding, simhash
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
 END_ID = 1
+LEAST_COSINE = 0.95
 SHINGLE_WORDS, FINGERPRINT_BITS = 4, 4
 
 
@@ -35,6 +36,10 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES).drop("bits")
 
 
+def op7_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), LEAST_COSINE)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rule_no"] < len(secret_scan.BASE_RULES))
@@ -62,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op5_extendible_shards": op5_extendible_shards,
+    "op7_lattice_near_dups": op7_lattice_near_dups,
     "op8_secrets": op8_secrets,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
