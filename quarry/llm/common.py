@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import materialize  # noqa: F401  (re-exported for the operators)
@@ -32,3 +32,11 @@ def text_key(text: Column) -> Column:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Bounds the bytes (not only the rows) of a batch that goes to a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, most)

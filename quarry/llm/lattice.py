@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, shuffle_partitions
+from quarry.llm.common import bounded_batches, materialize, shuffle_partitions
 from quarry.llm.components import components
 from quarry.llm.vectors import by_group, matrices, usable, vector_key
 
@@ -246,6 +246,7 @@ def near_duplicates(embeddings: DataFrame, least_cosine: float = 0.95, lattice:
                     id_col: str = "vec_id", vector_col: str = "embedding",
                     bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    bounded_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     nodes = distinct_vectors(rows)
     every = materialize(cells(nodes, lattice), "llm-cells")

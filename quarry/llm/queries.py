@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, mixing, packing, secret_scan, sharding, simhash
+from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
@@ -32,6 +32,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+OP4_ORACLE = """
+with v as (
+  select vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES).drop("bits")
 
@@ -66,6 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_top_k": op4_top_k,
     "op5_extendible_shards": op5_extendible_shards,
     "op7_lattice_near_dups": op7_lattice_near_dups,
     "op8_secrets": op8_secrets,
@@ -74,5 +92,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_top_k": OP4_ORACLE,
     "op5_extendible_shards": sharding.ORACLE.format(limit=SHARD_BYTES),
 }
