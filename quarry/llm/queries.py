@@ -9,12 +9,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash
+from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, toxicity
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 LEAST_COSINE = 0.95
+TOXIC_FROM = 0.7
 SHINGLE_WORDS, FINGERPRINT_BITS = 4, 4
 
 
@@ -53,6 +54,12 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES).drop("bits")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), LEAST_COSINE)
 
@@ -85,6 +92,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_top_k": op4_top_k,
     "op5_extendible_shards": op5_extendible_shards,
+    "op6_toxicity": op6_toxicity,
     "op7_lattice_near_dups": op7_lattice_near_dups,
     "op8_secrets": op8_secrets,
     "op9_pack": op9_pack,
