@@ -42,6 +42,7 @@ MOST_LABELLED = 50_000
 MOST_TRAINING = 20_000
 LEXICON, GROUPS = 384, 16
 EM_ROUNDS = 4
+FEW_LABELS = 10
 STRIP = "".join(chr(c) for c in range(0x21, 0x7f) if not chr(c).isalpha()) + "«»„“”‘’…–—¡¿"
 
 # Common insults of four languages.
@@ -205,10 +206,10 @@ class LabelModel:
     @staticmethod
     def from_sums(sums: np.ndarray) -> "LabelModel":
         """From the sums of ``moments``; a class hardly seen is held up by a few pseudo-rows."""
-        voters = (sums.shape[1] - 1)
         n, s, ss = sums[:2, 0], sums[:2, 1:], sums[2:, 1:]
         ahead = 2.0
-        start = np.stack([np.full(voters, 0.02), np.full(voters, 0.5)])
+        rate = s.sum(axis=0) / max(n.sum(), 1)
+        start = np.stack([rate / 2, np.minimum(rate * 2, (1 + rate) / 2)])
         means = (s + ahead * start) / (n[:, None] + ahead)
         total = n.sum() + 2 * ahead
         covariance = (ss - np.einsum("c,ci,cj->ij", n, s / np.maximum(n, 1)[:, None], s / np.maximum(n, 1)[:, None])) / total
@@ -247,10 +248,13 @@ def fit_label_model(features: DataFrame, labelled: DataFrame) -> LabelModel:
         row, hit, c = _read(batch)
         return moments(votes(batch.num_rows, row, hit, c), batch.column(batch.num_columns - 1).to_numpy().astype(float))
 
+    def listed(batch):
+        row, hit, c = _read(batch)
+        return moments(votes(batch.num_rows, row, hit, c), (c["insults"] > 0).astype(float))
+
     start = _summed(labelled, known)
-    if not start[1, 0]:
-        # no toxic label: the fixed list stands in
-        start = _summed(features, lambda b: (lambda r: moments(votes(b.num_rows, *r), (r[2]["insults"] > 0).astype(float)))(_read(b)))
+    if start[1, 0] < FEW_LABELS:            # the fixed list stands in
+        start = start + _summed(features, listed)
     model = LabelModel.from_sums(start)
     for _ in range(EM_ROUNDS):
         now = model
