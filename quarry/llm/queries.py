@@ -9,11 +9,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, toxicity
+from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, substrings, toxicity
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
 END_ID = 1
+REPEAT_WORDS = 35
 LEAST_COSINE = 0.95
 TOXIC_FROM = 0.7
 SHINGLE_WORDS, FINGERPRINT_BITS = 4, 4
@@ -33,6 +34,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"), REPEAT_WORDS)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -90,6 +96,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_remove_repeats": op2_remove_repeats,
     "op4_top_k": op4_top_k,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_toxicity": op6_toxicity,
