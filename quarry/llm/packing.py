@@ -20,6 +20,10 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,29 +33,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import bounded_batches, materialize
 
-#: Bytes of text that a task tokenizes at a time, and words whose ids it remembers.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task tokenizes at a time; words and parts whose ids a worker remembers.
+SLICE_BYTES = 10 << 20
 REMEMBERED_WORDS = 300_000
+REMEMBERED_PARTS = 600_000
+#: The pattern by which the lower-casing word tokenizer cuts words, and for words of
+#: these characters (where lower case is plain and there is nothing to normalize) the same cut.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PLAIN_PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 class WordTokenizer:
-    """Ids of whole texts, through a memory of the ids of single words.
+    """Ids of whole texts, through a memory of the ids of words and of their parts.
 
     Exact for tokenizers that never join characters across ASCII white space and
-    drop it (the default one splits at white space before its merges): the ids of
-    a text are then those of its words, in order.  ``separable`` holds a tokenizer
-    to that on a probe; others encode whole texts."""
+    drop it (the default one cuts at white space before its merges): the ids of a
+    text are then those of its words, in order.  A probe holds a tokenizer to that;
+    others encode whole texts.  Where the tokenizer's file names ``CUT_PATTERN``, words of
+    plain characters are cut by it here, and each different part encoded once."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        rules.pop("model")
+        self.special = [t["content"] for t in rules.get("added_tokens", [])]
+        self.cuts = json.dumps(CUT_PATTERN) in json.dumps(rules) and '"Lowercase"' in json.dumps(rules)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
         self.separable = self._probe()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -59,12 +74,39 @@ class WordTokenizer:
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _probe(self) -> bool:
-        parts = ["It's", "a", "PROBE,", "été", "é", "12.5%", "你好", "<|x|>", "\U0001f600!"]
+        words = ["It's", "a", "PROBE,", "\xe9t\xe9", "\xe9", "12.5%", "\u4f60\u597d", "<|x|>", "\U0001f600!"]
         for gap in (" ", "  ", "\n", "\t\r\n"):
-            if self._encode([gap + gap.join(parts) + gap])[0] != b"".join(self._encode(parts)):
+            if self._encode([gap + gap.join(words) + gap])[0] != b"".join(self._encode(words)):
                 return False
         return True
 
+    def _learn_parts(self, parts: set[str]) -> None:
+        """Ids of parts that the tokenizer takes one at a time, many in one text."""
+        new = sorted(p for p in parts if p not in self.parts)
+        if len(self.parts) + len(new) > REMEMBERED_PARTS:
+            self.parts, new = {}, sorted(parts)
+        for lo in range(0, len(new), 1000):
+            some = new[lo:lo + 1000]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.asarray(done.ids, dtype="<u4")
+            ends = np.cumsum(np.bincount(np.asarray(done.word_ids, dtype=np.int64), minlength=len(some)))
+            for p, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
+                self.parts[p] = ids[a:b].tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        cut, other, parts = {}, [], set()
+        for w in words:
+            if self.cuts and PLAIN.fullmatch(w) and not any(s in w for s in self.special):
+                cut[w] = own = PLAIN_PARTS.findall(w.lower())
+                parts.update(own)
+            else:
+                other.append(w)
+        self._learn_parts(parts)
+        ids = self.parts
+        for w, own in cut.items():
+            self.known[w] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
+        self.known.update(zip(other, self._encode(other)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, offsets of the texts in them)."""
         if not self.separable:
@@ -78,18 +120,24 @@ class WordTokenizer:
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             self.known = {"": b""}
             new = [w for w in words if w]
-        self.known.update(zip(new, self._encode(new)))
+        self._learn(new)
         each = [self.known[w] for w in words]
         ids = np.frombuffer(b"".join(each), dtype="<u4")
-        sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
+        sizes = np.array([len(x) for x in each], dtype=np.int64) // 4
         first = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[codes] if len(codes) else np.zeros(0, dtype=np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1]) if len(codes) else np.zeros(0, dtype=np.int64)
+        at = np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])
         return ids[at], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its memory outlives a task."""
+    return WordTokenizer(path)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -108,10 +156,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int | None,
     """One row per document: id, ``ids`` (little-endian unsigned 32-bit, the end id
     last unless it is None), ``n`` ids, ``part`` and ``before`` (ids before it in its
     partition).  Written once to the shared folder."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        part, before, tok = TaskContext.get().partitionId(), 0, WordTokenizer(tokenizer_path)
+        part, before, tok = TaskContext.get().partitionId(), 0, word_tokenizer(tokenizer_path)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for lo, hi in slices(texts):

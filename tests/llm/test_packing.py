@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -11,10 +12,14 @@ from llm_fixtures import CLASHING, EDGE_ROWS, documents
 SF = "/root/testdata/sf0.001"
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(queries.tokenizer_path())
-    return tok.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def reference_ids(text):
+    return reference_tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check_pieces(rows, docs, length):
@@ -67,3 +72,18 @@ def test_memory_of_words_may_overflow(monkeypatch):
         ids, ends = tok.encode(pa.array(texts))
         for t, a, b in zip(texts, ends, ends[1:]):
             assert ids[a:b].tolist() == reference_ids(t)[:-1]
+
+
+def test_words_of_all_kinds():
+    """Parts found here are those of the tokenizer, for characters of many kinds."""
+    tok = packing.WordTokenizer(queries.tokenizer_path())
+    assert tok.cuts and tok.separable
+    rng = np.random.default_rng(0)
+    plain = [chr(c) for c in [*range(0x21, 0x7f), *range(0xa1, 0x100)]] + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>"]
+    odd = ["\u0130", "\u03a3", "K", "H\u0331", "e\u0301", "\u1e9e", "\u4f60", "\U0001f600", "\x1c", "\x85", "\xa0", "\u2028"]
+    words = ["".join(rng.choice(plain, rng.integers(1, 9))) for _ in range(3000)]
+    words += ["".join(rng.choice(plain + odd * 8, rng.integers(1, 9))) for _ in range(1500)]
+    texts = [" ".join(words[i:i + 5]) for i in range(0, len(words), 5)]
+    ids, ends = tok.encode(pa.array(texts))
+    for t, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == reference_ids(t)[:-1], t
