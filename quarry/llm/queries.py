@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, substrings, toxicity
+from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, substrings, toxicity, wrappers
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
@@ -39,6 +39,11 @@ def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = wrappers.extract(table(spark, sf_dir, "pages"))
+    return read.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -97,6 +102,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_remove_repeats": op2_remove_repeats,
+    "op3_main_text": op3_main_text,
     "op4_top_k": op4_top_k,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_toxicity": op6_toxicity,
