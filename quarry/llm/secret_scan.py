@@ -248,3 +248,16 @@ def redacted(text: Column, spans: Column, mask: str = "[{kind}]") -> Column:
     done = F.aggregate(spans, state, step)
     tail = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), tail))
+
+
+def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with every secret in the text replaced by a mark;
+    ``n_chars`` (if there is such a column) follows a text that changed."""
+    found = find_secrets(docs, rules, id_col, text_col, keep=tuple(docs.columns))
+    old, new = F.col(f"kept.`{text_col}`"), redacted(F.col("text"), F.col("spans"))
+    found = found.withColumn("new", F.when(old.isNull(), old).otherwise(new))
+    return found.select(*[
+        F.col("new").alias(c) if c == text_col else
+        F.when(F.size("spans") > 0, F.length("new").cast(t)).otherwise(F.col(f"kept.`{c}`")).alias(c) if c == "n_chars"
+        else F.col(f"kept.`{c}`").alias(c) for c, t in docs.dtypes])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, shuffle_partitions
+from quarry.llm.common import bounded_batches, materialize, shuffle_partitions, text_key, text_or_empty
 from quarry.llm.components import components
 from quarry.llm.packing import slices
 
@@ -76,8 +76,9 @@ def bit_majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle_words: int, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (a long with the fingerprint's 64 bits) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id``, ``fp`` (a long with the fingerprint's 64 bits) and ``key`` (of the text) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       text_key(text_or_empty(text_col)).alias("key"))
 
     def run(batches):
         for batch in batches:
@@ -87,10 +88,10 @@ def fingerprints(docs: DataFrame, shingle_words: int, id_col: str = "doc_id",
                 counts = np.array([len(x) for x in each], dtype=np.int64)
                 flat = np.fromiter((h for x in each for h in x), dtype=np.uint64, count=int(counts.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(bit_majorities(flat, counts).view(np.int64))],
-                    names=["doc_id", "fp"])
+                    [batch.column(0).slice(lo, hi - lo), pa.array(bit_majorities(flat, counts).view(np.int64)),
+                     batch.column(2).slice(lo, hi - lo)], names=["doc_id", "fp", "key"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, fp long, key struct<a: long, b: long>")
 
 
 def segments_of(distance: int) -> list[tuple[int, int]]:
@@ -196,12 +197,27 @@ def fingerprint_links(fps: DataFrame, distance: int, bucket: int = BUCKET) -> Da
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, distance: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable by links) of every row."""
+    """doc_id, fp, component_id (the smallest id reachable by links), key (of the text) of every row."""
+    bounded_batches(docs.sparkSession)
     each = materialize(fingerprints(docs, shingle_words, id_col, text_col), "llm-fingerprints")
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "llm-distinct")
     comp = components(fingerprint_links(distinct.select("fp"), distance))
     rooted = distinct.join(comp, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("n_fp"), "component_id")
-    return each.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
+    named = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("n_fp"), "root", "component_id")
+    return each.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id", "root", "key")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 4, distance: int = 4, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all columns of ``docs``: the one with the
+    smallest id (a null id only where there is no other; of rows equal in id and text, any)."""
+    found = near_duplicates(docs, shingle_words, distance, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+    kept = materialize(first.select(F.col("one.doc_id").alias("k_id"), F.col("one.key").alias("k_key")), "llm-kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("r_id"),
+                       text_key(text_or_empty(F.col(text_col))).alias("r_key"))
+    own = rows.join(kept, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_key") == F.col("k_key")), "left_semi")
+    return own.groupBy("r_id", "r_key").agg(F.first("row").alias("row")).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -125,33 +125,43 @@ def learn_lexicon(labelled: DataFrame) -> np.ndarray:
     return np.array([r["bucket"] for r in best], dtype=np.int64)
 
 
-def text_features(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
-    """Of every row: doc_id, ``hits`` (different lexicon entries in the text) and the counts."""
+def _feature_kernel(lexicon: np.ndarray):
+    """From texts to arrays of features, some texts at a time: ``hits``, then the counts."""
     entry = np.full(BUCKETS + 1, -1, dtype=np.int64)
     entry[lexicon] = np.arange(len(lexicon))
-    insults = frozenset(INSULTS)
+    insults, size = frozenset(INSULTS), max(len(lexicon), 1)
+
+    def run(texts):
+        for lo, hi in slices(texts, 8 << 20):
+            words, code, text = _coded(texts.slice(lo, hi - lo))
+            hits = entry[word_buckets(words)]           # -1 looks up the last place, also -1
+            hit = (hits >= 0).any(axis=1)
+            kind = np.array([(w.isupper() and len(w) > 2, not w[-1:].isalnum() and not w[-2:-1].isalnum() and len(w) > 2,
+                              w.strip(STRIP).lower() in insults) for w in words], dtype=bool).reshape(-1, 3)
+            real = np.array([bool(w) for w in words], dtype=bool)[:, None]
+            kind = np.concatenate([real, kind, hit[:, None]], axis=1)
+            sums = [np.bincount(text[kind[code, j]], minlength=hi - lo) for j in range(len(COUNTS))]
+            of = hit[code]
+            t, h = np.repeat(text[of], hits.shape[1]), hits[code[of]].ravel()
+            t, h = np.divmod(np.unique(t[h >= 0] * size + h[h >= 0]), size)
+            ends = np.searchsorted(t, np.arange(hi - lo + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(h, type=pa.int32()))
+            yield [lists, *[pa.array(x, type=pa.int64()) for x in sums]]
+
+    return run
+
+
+def text_features(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """Of every row: doc_id, ``hits`` (different lexicon entries in the text) and the counts."""
+    features = _feature_kernel(lexicon)
 
     def run(batches):
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            for lo, hi in slices(texts, 8 << 20):
-                words, code, text = _coded(texts.slice(lo, hi - lo))
-                hits = entry[word_buckets(words)]           # -1 looks up the last place, also -1
-                hit = (hits >= 0).any(axis=1)
-                kind = np.array([(w.isupper() and len(w) > 2, not w[-1:].isalnum() and not w[-2:-1].isalnum() and len(w) > 2,
-                                  w.strip(STRIP).lower() in insults) for w in words], dtype=bool).reshape(-1, 3)
-                kind = np.concatenate([np.ones((len(words), 1), dtype=bool), kind, hit[:, None]], axis=1)
-                rows = hi - lo
-                sums = [np.bincount(text[kind[code, j]], minlength=rows) for j in range(len(COUNTS))]
-                of = hit[code]
-                t, h = np.repeat(text[of], hits.shape[1]), hits[code[of]].ravel()
-                pair = np.unique(t[h >= 0] * max(len(lexicon), 1) + h[h >= 0])
-                t, h = np.divmod(pair, max(len(lexicon), 1))
-                ends = np.searchsorted(t, np.arange(rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(h, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows), lists, *[pa.array(x, type=pa.int64()) for x in sums]],
-                    names=["doc_id", "hits", *COUNTS])
+            at = 0
+            for arrays in features(pc.fill_null(batch.column(1), "")):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(arrays[0])), *arrays],
+                                                 names=["doc_id", "hits", *COUNTS])
+                at += len(arrays[0])
 
     kept = docs.select("doc_id", "text")
     counts = ", ".join(f"{c} long" for c in COUNTS)
@@ -286,44 +296,77 @@ def logistic_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds
     return w
 
 
+class Scorer:
+    """What is learned: a lexicon and the weights of the linear classifier.  ``features`` are those
+    of the rows it was fitted on."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 label_col: str = "toxic"):
+        bounded_batches(docs.sparkSession)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        known = (labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic"))
+                 .where(F.col("toxic").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
+                 .groupBy("l_id").agg(F.max("toxic").alias("toxic")))
+        known = materialize(known.orderBy(F.xxhash64("l_id"), "l_id").limit(MOST_LABELLED), "llm-toxic-labels")
+        small = F.broadcast(known)              # MOST_LABELLED rows at most
+        self.lexicon = learn_lexicon(rows.join(small, F.col("doc_id") == F.col("l_id")))
+        self.features = materialize(text_features(rows, self.lexicon), "llm-toxic-features")
+        labelled = self.features.join(small, F.col("doc_id") == F.col("l_id")).select(*self.features.columns, "toxic")
+        model = fit_label_model(self.features, labelled)
+        # the classifier's sample: posterior labels, where a label is known that counts as well
+        sample = (self.features.join(small, F.col("doc_id") == F.col("l_id"), "left")
+                  .select(*self.features.columns, F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+                  .orderBy(F.xxhash64("doc_id", "hits", "words"), "doc_id", "words", "shouted").limit(MOST_TRAINING))
+        inputs, posterior = [np.zeros((0, len(self.lexicon) + 5))], [np.zeros(0)]
+        for batch in sample.toArrow().combine_chunks().to_batches():
+            row, hit, c = _read(batch)
+            inputs.append(model_inputs(batch.num_rows, row, hit, c, len(self.lexicon)))
+            p = model.posterior(votes(batch.num_rows, row, hit, c))
+            label = batch.column(batch.num_columns - 1).to_numpy()
+            posterior.append(np.where(label >= 0, 0.1 * p + 0.9 * label, p))
+        self.weights = logistic_regression(np.concatenate(inputs), np.concatenate(posterior))
+
+    def fitted(self) -> DataFrame:
+        """doc_id, score of the rows it was fitted on."""
+        lexicon, weights = self.lexicon, self.weights
+
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2000):
+                    part = batch.slice(lo, 2000)
+                    z = model_inputs(part.num_rows, *_read(part), len(lexicon)) @ weights
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+
+        return self.features.mapInArrow(run, f"doc_id {self.features.dtypes[0][1]}, score double")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic") -> DataFrame:
     """doc_id, score, held_out of every row of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = (labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic"))
-             .where(F.col("toxic").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
-             .groupBy("l_id").agg(F.max("toxic").alias("toxic")))
-    known = materialize(known.orderBy(F.xxhash64("l_id"), "l_id").limit(MOST_LABELLED), "llm-toxic-labels")
-    small = F.broadcast(known)              # MOST_LABELLED rows at most
-    lexicon = learn_lexicon(rows.join(small, F.col("doc_id") == F.col("l_id")))
-    features = materialize(text_features(rows, lexicon), "llm-toxic-features")
-    labelled = features.join(small, F.col("doc_id") == F.col("l_id")).select(*features.columns, "toxic")
-    model = fit_label_model(features, labelled)
-    # the classifier's sample: posterior labels, where a label is known that counts as well
-    sample = (features.join(small, F.col("doc_id") == F.col("l_id"), "left")
-              .select(*features.columns, F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-              .orderBy(F.xxhash64("doc_id", "hits", "words"), "doc_id", "words", "shouted").limit(MOST_TRAINING))
-    inputs, posterior = [], []
-    for batch in sample.toArrow().combine_chunks().to_batches():
-        row, hit, c = _read(batch)
-        inputs.append(model_inputs(batch.num_rows, row, hit, c, len(lexicon)))
-        p = model.posterior(votes(batch.num_rows, row, hit, c))
-        label = batch.column(batch.num_columns - 1).to_numpy()
-        posterior.append(np.where(label >= 0, 0.1 * p + 0.9 * label, p))
-    x = np.concatenate(inputs) if inputs else np.zeros((0, len(lexicon) + 5))
-    y = np.concatenate(posterior) if posterior else np.zeros(0)
-    weights = logistic_regression(x, y)
-    size = len(lexicon)
+    scored = Scorer(docs, labels, id_col, text_col, label_col).fitted()
+    return scored.select("doc_id", "score", held_out(F.col("doc_id")).alias("held_out"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, reject_from: float, id_col: str = "doc_id",
+                  text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``reject_from``.
+
+    Each row is scored where it lies: the texts are read again, not shuffled."""
+    scorer = Scorer(docs, labels, id_col, text_col, label_col)
+    lexicon, weights, at = scorer.lexicon, scorer.weights, docs.columns.index(text_col)
+    features = _feature_kernel(lexicon)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                row, hit, c = _read(part)
-                z = model_inputs(part.num_rows, row, hit, c, size) @ weights
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
-
-    scored = features.mapInArrow(run, f"doc_id {features.dtypes[0][1]}, score double")
-    return scored.select("doc_id", "score", held_out(F.col("doc_id")).alias("held_out"))
+            texts = pc.fill_null(batch.column(at), "")
+            keep = []
+            for arrays in features(texts):
+                part = pa.RecordBatch.from_arrays(arrays, names=["hits", *COUNTS])
+                for lo in range(0, part.num_rows, 2000):
+                    some = part.slice(lo, 2000)
+                    z = model_inputs(some.num_rows, *_read(some, 0), len(lexicon)) @ weights
+                    keep.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) < reject_from)
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)
