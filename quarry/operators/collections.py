@@ -35,13 +35,20 @@ def stale_collections(stored_counts: DataFrame, expected_counts: DataFrame) -> D
                     F.when((s > 0) & (s == e), F.lit("reuse")).otherwise(F.lit("rebuild")).alias("action"))
 
 
+def content_hash(row_hash):
+    """An order-independent hash of all rows: XOR and sum together, since equal rows cancel
+    each other in an XOR alone."""
+    total = F.sum(row_hash.cast("decimal(38,0)"))
+    return F.xxhash64(F.bit_xor(row_hash), total)
+
+
 def fingerprint(df: DataFrame, group_col: str = "collection", id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(collection, n, fp): count plus an order-independent content hash, so edits
     that keep the count are detected too."""
     return df.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64(F.col(id_col), F.col(text_col))).alias("fp"))
+        content_hash(F.xxhash64(F.col(id_col), F.col(text_col))).alias("fp"))
 
 
 def stale_by_hash(stored: DataFrame, expected: DataFrame, group_col: str = "collection") -> DataFrame:
@@ -59,7 +66,7 @@ def _content_fingerprint(df: DataFrame, key: str) -> tuple:
 
     def compute():
         r = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])), F.lit(0)).alias("fp")
+                   F.coalesce(content_hash(F.xxhash64(*[F.col(c) for c in df.columns])), F.lit(0)).alias("fp")
                    ).first()
         return int(r["n"]), int(r["fp"]) & (2 ** 64 - 1)
     return memo_fingerprint(df, compute)
@@ -75,29 +82,21 @@ def stored_bucketed(df: DataFrame, key: str = "doc_id", n_buckets: int | None =
     exchanged again at query time.  The bucket count defaults to the session's
     shuffle partition count (and is part of the table key): the planner keeps
     the bucketed scan only when the other side is shuffled to the same count."""
-    from pyspark.errors import AnalysisException
-
-    from quarry.session import ensure_checkpoint_dir
+    from quarry.session import index_dir, is_complete, mark_complete
     spark = df.sparkSession
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, fp = _content_fingerprint(df, key)
     tag = f"{name}_{n}_{fp:016x}_{n_buckets}"
     table = f"quarry_{tag}"
-    path = f"{ensure_checkpoint_dir(spark)}/bucketed/{tag}"
+    path = f"{index_dir(spark)}/bucketed/{tag}"
     if spark.catalog.tableExists(table):
         return spark.table(table)
-    try:
-        spark.read.parquet(f"{path}/manifest").first()
-        stored = True
-    except AnalysisException:
-        stored = False
-    if not stored:
+    if not is_complete(spark, path):
         # one task per bucket (same hash as bucketing): one file per bucket, not
         # one per (task, bucket)
         (df.repartition(n_buckets, key).write.bucketBy(n_buckets, key).sortBy(key).mode("overwrite")
            .option("path", f"{path}/data").saveAsTable(table))
-        spark.createDataFrame([(n, f"{fp:016x}")], "n long, fp string").write.mode("overwrite").parquet(
-            f"{path}/manifest")
+        mark_complete(spark, path)
         return spark.table(table)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                      for f in spark.read.parquet(f"{path}/data").schema.fields)

@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-MAX_QUESTIONS_PER_BLOCK = 4096
+MAX_QUESTIONS_PER_BLOCK = 1024
+#: Distances that a task holds at a time.
+CELLS = 2_000_000
 # keep a per-batch candidate if within this much of the k-th best value, so the
 # Spark-side ranking on values rounded to 6 digits sees every possible tie
 RANK_MARGIN = 2e-6
@@ -95,15 +97,14 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def sq_distances(X: np.ndarray, Q: np.ndarray) -> np.ndarray:
-    """(B, M) matrix of sum((x - q)^2), computed in row chunks to bound memory."""
-    B, D = X.shape
-    M = Q.shape[0]
-    out = np.empty((B, M), dtype=np.float64)
-    step = max(1, 4_000_000 // max(1, M * D))
-    for i in range(0, B, step):
-        diff = X[i:i + step, None, :] - Q[None, :, :]
-        out[i:i + step] = np.einsum("bmd,bmd->bm", diff, diff)
-    return out
+    """(B, M) matrix of |x|^2 + |q|^2 - 2 x.q: good to select by; see ``exact_distances``."""
+    return (X * X).sum(axis=1)[:, None] + (Q * Q).sum(axis=1)[None, :] - 2 * X @ Q.T
+
+
+def exact_distances(X: np.ndarray, Q: np.ndarray) -> np.ndarray:
+    """sum((x - q)^2) of each pair of rows."""
+    diff = X - Q
+    return np.einsum("ij,ij->i", diff, diff)
 
 
 def _candidates(key: np.ndarray, k: int):
@@ -137,24 +138,37 @@ def knn(corpus: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "doc_
         dim = Q.shape[1]
 
         def kernel(batches, qids=qids, Q=Q, dim=dim):
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                X = _matrix(b.column("v"), dim)
-                d = sq_distances(X, Q)
-                if group_col:
-                    g = np.asarray(b.column("grp").to_pylist(), dtype=object)
-                    groups = [(gv, np.flatnonzero(g == gv)) for gv in dict.fromkeys(g.tolist())]
-                else:
-                    groups = [(None, np.arange(len(ids)))]
-                for gv, rows in groups:
-                    bi, mj = _candidates(d[rows], k)
-                    cols = {"qid": pa.array(qids[mj]), "doc_id": pa.array(ids[rows][bi]),
-                            "distance": pa.array(d[rows][bi, mj])}
+            # a running top-k for each group and question: a task's output doesn't grow with its rows
+            best: dict = {}
+            step = max(1, CELLS // len(qids))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, step):
+                    b = whole.slice(lo, step)
+                    ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+                    X = _matrix(b.column("v"), dim)
+                    d = sq_distances(X, Q)
                     if group_col:
-                        cols["grp"] = pa.array([gv] * len(bi), type=pa.string())
-                    yield pa.RecordBatch.from_pydict(cols)
+                        g = np.asarray(b.column("grp").to_pylist(), dtype=object)
+                        groups = [(gv, np.flatnonzero(g == gv)) for gv in dict.fromkeys(g.tolist())]
+                    else:
+                        groups = [(None, np.arange(len(ids)))]
+                    for gv, rows in groups:
+                        bi, mj = _candidates(d[rows], k)
+                        new = [mj, ids[rows][bi], exact_distances(X[rows][bi], Q[mj])]
+                        held = best.get(gv)
+                        q, i, x = new if held is None else [np.concatenate(p) for p in zip(held, new)]
+                        order = np.lexsort((i, x, q))
+                        q, i, x = q[order], i[order], x[order]
+                        first = np.searchsorted(q, np.arange(len(qids)))
+                        last = np.minimum(first + k - 1, np.append(first[1:], len(q)) - 1)
+                        kth = x[np.clip(last, 0, None)] if len(x) else np.zeros(len(qids))
+                        keep = (np.arange(len(q)) - first[q] < k) | (x <= kth[q] + RANK_MARGIN)
+                        best[gv] = [q[keep], i[keep], x[keep]]
+            for gv, (q, i, x) in best.items():
+                cols = {"qid": pa.array(qids[q]), "doc_id": pa.array(i), "distance": pa.array(x)}
+                if group_col:
+                    cols["grp"] = pa.array([gv] * len(q), type=pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
 
         parts.append(src.mapInArrow(kernel, out_schema))
     if not parts:
@@ -171,94 +185,6 @@ def knn(corpus: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "doc_
     return ranked
 
 
-def distance_bounds(corpus: DataFrame, block, vec_col: str = "embedding") -> DataFrame:
-    """(qid, max_d, min_d, n_docs) over the whole corpus for one question block:
-    per-batch partials, then a tiny aggregate."""
-    qids, Q = block
-    dim = Q.shape[1]
-    src = corpus.select(F.col(vec_col).alias("v")).filter(F.col("v").isNotNull())
-
-    def kernel(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            d = sq_distances(_matrix(b.column("v"), dim), Q)
-            yield pa.RecordBatch.from_pydict({
-                "qid": pa.array(qids), "max_d": pa.array(d.max(axis=0)),
-                "min_d": pa.array(d.min(axis=0)),
-                "n": pa.array(np.full(len(qids), b.num_rows, dtype=np.int64))})
-
-    out = src.mapInArrow(kernel, "qid long, max_d double, min_d double, n long")
-    return out.groupBy("qid").agg(F.max("max_d").alias("max_d"), F.min("min_d").alias("min_d"),
-                                  F.sum("n").alias("n_docs"))
-
-
-def fused_candidates(corpus_with_hits: DataFrame, block, bounds: dict,
-                     alpha: float, threshold: float, k: int, routes: dict | None = None) -> DataFrame:
-    """Per-batch candidates of ``alpha*lexical + (1-alpha)*semantic`` for one block.
-
-    ``corpus_with_hits`` = (doc_id, v, hits array<struct<qid long, b double>>) where
-    ``hits`` lists the normalised lexical score of every question that hit the
-    document (null if none).  ``bounds`` maps qid -> (max_d, min_d).  The
-    semantic part is ``(max_d - d) / (max_d - min_d)`` (0 when all distances are
-    equal).  Emits (qid, doc_id, b, sn, score) for rows that may be in the top-k
-    after the strict ``score > threshold`` cut.
-
-    ``routes`` (qid -> value or None) restricts each routed question to documents
-    whose ``rv`` column equals the value, before the per-batch cut."""
-    qids, Q = block
-    if routes is not None:
-        codes = {}
-        rcode = np.array([-2 if routes.get(int(q)) is None
-                          else codes.setdefault(routes[int(q)], len(codes)) for q in qids])
-    dim = Q.shape[1]
-    order = np.argsort(qids)
-    sorted_q = qids[order]
-    mx = np.array([bounds.get(int(q), (math.nan, math.nan))[0] for q in qids])
-    mn = np.array([bounds.get(int(q), (math.nan, math.nan))[1] for q in qids])
-    rng = mx - mn
-
-    def kernel(batches):
-        for bt in batches:
-            if bt.num_rows == 0:
-                continue
-            ids = bt.column("doc_id").to_numpy(zero_copy_only=False)
-            d = sq_distances(_matrix(bt.column("v"), dim), Q)
-            sim = mx[None, :] - d
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sn = np.where(rng[None, :] > 0, sim / rng[None, :], sim)
-            bmat = np.zeros_like(sn)
-            hits = bt.column("hits")
-            if isinstance(hits, pa.ChunkedArray):
-                hits = hits.combine_chunks()
-            lens = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            if lens.sum() > 0:
-                flat = hits.flatten()
-                hq = flat.field("qid").to_numpy(zero_copy_only=False)
-                hb = flat.field("b").to_numpy(zero_copy_only=False)
-                rows = np.repeat(np.arange(len(ids)), lens)
-                pos = np.clip(np.searchsorted(sorted_q, hq), 0, len(sorted_q) - 1)
-                ok = sorted_q[pos] == hq
-                bmat[rows[ok], order[pos[ok]]] = hb[ok]
-            score = alpha * bmat + (1 - alpha) * sn
-            live = score > threshold - RANK_MARGIN
-            if routes is not None:
-                dv = bt.column("rv").to_pylist()
-                dcode = np.array([codes.get(v, -1) if v is not None else -1 for v in dv])
-                live &= (rcode[None, :] == -2) | (dcode[:, None] == rcode[None, :])
-            key = np.where(live, -score, np.inf)
-            bi, mj = _candidates(key, k)
-            keep = np.isfinite(key[bi, mj])
-            bi, mj = bi[keep], mj[keep]
-            yield pa.RecordBatch.from_pydict({
-                "qid": pa.array(qids[mj]), "doc_id": pa.array(ids[bi]),
-                "b": pa.array(bmat[bi, mj]), "sn": pa.array(sn[bi, mj]),
-                "score": pa.array(score[bi, mj])})
-
-    return corpus_with_hits.mapInArrow(
-        kernel, "qid long, doc_id long, b double, sn double, score double")
-
-
 # ------------------------------------------------------------ approximate
 
 def knn_lsh(corpus: DataFrame, questions: DataFrame, k: int = 5, bucket_length: float = 0.5,

@@ -1,24 +1,20 @@
 """Hybrid lexical + dense retrieval over a whole table of questions.
 
-Two passes (the normalisers need whole-corpus statistics per question):
-
-1. lexical hits -> per-question max (``max_normalise``); dense distances ->
-   per-question (max_d, min_d) via per-batch partials.
-2. one scan of the collection with every document's lexical hits attached
-   (a join on doc_id with the *sparse* hit lists; documents without a hit keep
-   competing on the dense half), fused per Arrow batch, cut to a per-batch
-   top-k superset, ranked by a window with WindowGroupLimit.
+The normalisers need whole-corpus statistics per question, so the documents are scanned
+twice: once for the bounds, once for the fused scores (see ``operators.scoring``).  A
+document without a vector competes with a semantic score of 0, a question without one by
+its words alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.sizing import bounded_broadcast, fits
-from quarry.operators.collections import stored_bucketed
+from quarry.functions.sizing import bounded_broadcast
 from quarry.operators import dense as dn
 from quarry.operators import lexical as lx
+from quarry.operators import scoring as sc
 
 # Fusion weight, score threshold and top-k of the reference.
 ALPHA = 0.5
@@ -26,59 +22,17 @@ THRESHOLD = 0.1
 TOP_K = 15
 LEGACY_TOP_K = 20
 
-# The reference's keyword routes (priority, keywords, column, value).
-DEFAULT_ROUTES = [
-    (1, ("finals", "final"), "match", "BLG_vs_G2_Finals"),
-    (2, ("semis", "semi"), "stage", "Semi-Finals"),
-]
-
-
-def lexical_norm_hits(collection: DataFrame, questions: DataFrame,
-                      index: lx.BM25Index | None = None) -> DataFrame:
-    """(qid, doc_id, b): BM25 over the collection's texts, max-normalised per question.
-    Pass a prebuilt (persisted) ``index`` to skip the build."""
-    from quarry.session import materialize
-    idx = index or lx.stored_bm25_index(collection.select("doc_id", "text"))
-    # scored once; the per-question max and the normalisation both read it
-    s = materialize(lx.bm25_scores(idx, questions, text_col="question"), "lexical-hits")
-    few = fits(questions, 2_000_000)  # at most one maximum per question
-    return lx.max_normalise(s, broadcast_groups=few).select("qid", "doc_id", F.col("score_norm").alias("b"))
-
-
 def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float = ALPHA,
-                      threshold: float = THRESHOLD, k: int = TOP_K,
-                      routed: DataFrame | None = None, route_col: str = "match",
-                      index: lx.BM25Index | None = None) -> DataFrame:
+                      threshold: float = THRESHOLD, k: int = TOP_K, route_col: str | None = None,
+                      store: sc.Store | None = None) -> DataFrame:
     """Unranked (qid, doc_id, b, sn, score) rows, a superset of every question's top-k.
 
-    ``routed`` (qid, route_value) pre-filters each routed question to documents
-    whose ``route_col`` equals its value (after whole-corpus normalisation)."""
-    hits = lexical_norm_hits(collection, questions, index)
-    cols = ["doc_id", F.col("embedding").alias("v")]
-    if routed is not None:
-        cols.append(F.col(route_col).cast("string").alias("rv"))
-    # the vectors live in a table bucketed by doc_id: only the sparse hit lists
-    # are shuffled to them
-    vectors = stored_bucketed(collection.select(*cols).filter(F.col("v").isNotNull()), "doc_id",
-                              name="vectors")
-    parts = []
-    for block in dn.question_blocks(questions):
-        ids = [int(x) for x in block[0]]
-        bounds = {r["qid"]: (r["max_d"], r["min_d"])
-                  for r in dn.distance_bounds(collection, block).collect()}
-        routes = None
-        if routed is not None:
-            routes = {r["qid"]: r["route_value"]
-                      for r in routed.filter(F.col("qid").isin(ids)).collect()}
-        # per block, so a document's hit list is bounded by the block size
-        by_doc = (hits.filter(F.col("qid").isin(ids)).groupBy("doc_id")
-                      .agg(F.collect_list(F.struct("qid", "b")).alias("hits")))
-        corpus = vectors.join(by_doc, "doc_id", "left")
-        parts.append(dn.fused_candidates(corpus, block, bounds, alpha, threshold, k, routes))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    With ``route_col`` the questions' ``route_value`` restricts each routed question to documents
+    whose ``route_col`` equals it (after whole-corpus normalisation)."""
+    store = store or sc.open_store(collection, route_col)
+    parts = [sc.candidates(store, block, sc.bounds(store, block), alpha, threshold, k)
+             for block in sc.blocks(questions, store.index)]
+    return sc.union_all(parts, questions.sparkSession, sc.CANDIDATE_SCHEMA)
 
 
 def rank_fused(cands: DataFrame, threshold: float = THRESHOLD, k: int | None = TOP_K) -> DataFrame:
@@ -91,18 +45,18 @@ def rank_fused(cands: DataFrame, threshold: float = THRESHOLD, k: int | None = T
 
 def hybrid_search(collection: DataFrame, questions: DataFrame, alpha: float = ALPHA,
                   threshold: float = THRESHOLD, k: int = TOP_K,
-                  index: lx.BM25Index | None = None) -> DataFrame:
+                  store: sc.Store | None = None) -> DataFrame:
     """(qid, rk, doc_id, score, bm25_norm, sem_norm) -- top-k per question.
 
-    ``collection``: (doc_id, text, embedding, ...); ``questions``: (qid, question,
-    embedding)."""
-    cands = hybrid_candidates(collection, questions, alpha, threshold, k, index=index)
+    ``collection``: (doc_id, text, embedding or null, ...); ``questions``: (qid, question,
+    embedding or null)."""
+    cands = hybrid_candidates(collection, questions, alpha, threshold, k, store=store)
     return rank_fused(cands, threshold, k)
 
 
 # --------------------------------------------------------------- routing
 
-def keyword_route(questions: DataFrame, routes=DEFAULT_ROUTES, text_col: str = "question") -> DataFrame:
+def keyword_route(questions: DataFrame, routes=(), text_col: str = "question") -> DataFrame:
     """Adds (route_column, route_value): the lowest-priority rule whose keyword occurs
     in the lower-cased question; null when none does.  The rule list is a small
     configuration, compiled into one CASE expression."""
@@ -118,12 +72,15 @@ def keyword_route(questions: DataFrame, routes=DEFAULT_ROUTES, text_col: str = "
                     else col_expr.when(cond, F.lit(column)))
         val_expr = (F.when(cond, F.lit(value)) if val_expr is None
                     else val_expr.when(cond, F.lit(value)))
-    return questions.withColumn("route_column", col_expr).withColumn("route_value", val_expr)
+    none = F.lit(None).cast("string")       # without rules no question is routed
+    return (questions.withColumn("route_column", none if col_expr is None else col_expr)
+                     .withColumn("route_value", none if val_expr is None else val_expr))
 
 
-def hybrid_filtered(collection: DataFrame, questions: DataFrame, routes=DEFAULT_ROUTES,
+def hybrid_filtered(collection: DataFrame, questions: DataFrame, routes=(),
                     mode: str = "post", k: int = TOP_K, alpha: float = ALPHA,
-                    threshold: float = THRESHOLD, route_col: str = "match") -> DataFrame:
+                    threshold: float = THRESHOLD, route_col: str = "match",
+                    store: sc.Store | None = None) -> DataFrame:
     """Routed hybrid search.  Only routes on ``route_col`` filter; routes on other
     columns (``stage`` in the reference) are ignored, as the reference does.
 
@@ -132,18 +89,18 @@ def hybrid_filtered(collection: DataFrame, questions: DataFrame, routes=DEFAULT_
     ``pre``: drop routed-out documents after whole-corpus normalisation and
     before ranking, so scores equal the post-filter ones but k rows are kept
     when available."""
-    routed = (keyword_route(questions, routes)
-              .select("qid", F.when(F.col("route_column") == F.lit(route_col),
-                                    F.col("route_value")).alias("route_value")))
+    value = F.when(F.col("route_column") == F.lit(route_col), F.col("route_value"))
+    routed = keyword_route(questions, routes).withColumn("route_value", value)
     if mode == "post":
-        top = hybrid_search(collection, questions, alpha, threshold, k)
+        top = hybrid_search(collection, questions, alpha, threshold, k, store)
         docs = collection.select("doc_id", F.col(route_col).cast("string").alias("__rv"))
-        return (top.join(bounded_broadcast(routed), "qid").join(docs, "doc_id")
+        return (top.join(bounded_broadcast(routed.select("qid", "route_value")), "qid")
+                   .join(docs, "doc_id")
                    .filter(F.col("route_value").isNull() | (F.col("__rv") == F.col("route_value")))
                    .select("qid", "rk", "doc_id", "score", "bm25_norm", "sem_norm"))
     if mode != "pre":
         raise ValueError("mode must be 'pre' or 'post'")
-    cands = hybrid_candidates(collection, questions, alpha, threshold, k, routed, route_col)
+    cands = hybrid_candidates(collection, routed, alpha, threshold, k, route_col, store)
     return rank_fused(cands, threshold, k).select(
         "qid", "rk", "doc_id", "score", "bm25_norm", "sem_norm")
 
@@ -152,13 +109,18 @@ def hybrid_filtered(collection: DataFrame, questions: DataFrame, routes=DEFAULT_
 
 def multi_collection(comment_collection: DataFrame, other_collections: DataFrame,
                      questions: DataFrame, k_comments: int = TOP_K, k_other: int = 5,
-                     alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
-    """Hybrid top-k on comments plus k-NN top-5 in each other collection, one plan.
+                     alpha: float = ALPHA, threshold: float = THRESHOLD, routes=(),
+                     mode: str = "post", route_col: str = "match") -> DataFrame:
+    """Hybrid top-k on comments, routed where ``routes`` say so, plus k-NN top-5 in each other
+    collection, one plan.
 
     ``other_collections``: (collection, doc_id, embedding).  Returns (qid,
     collection, rk, doc_id, score): fused score for comments, squared L2
     distance for the others."""
-    hyb = hybrid_search(comment_collection, questions, alpha, threshold, k_comments).select(
+    found = hybrid_filtered(comment_collection, questions, routes, mode, k_comments, alpha, threshold,
+                            route_col) if routes else hybrid_search(
+        comment_collection, questions, alpha, threshold, k_comments)
+    hyb = found.select(
         "qid", F.lit("comments").alias("collection"), "rk", "doc_id", "score")
     nn = dn.knn(other_collections, questions, k_other, group_col="collection").select(
         "qid", "collection", "rk", "doc_id", F.col("distance").alias("score"))

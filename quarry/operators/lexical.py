@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.sizing import fits, one_row_join
+from quarry.operators.collections import content_hash
 from quarry.functions.text import tokens
 
 # Okapi BM25 defaults of the library the reference calls.
@@ -156,44 +157,6 @@ def rank_within(df: DataFrame, part: str, order_cols, k: int | None, rank_col: s
     return out.filter(F.col(rank_col) <= k) if k is not None else out
 
 
-def top_k_with_padding(scores: DataFrame, questions: DataFrame, docs: DataFrame, k: int = 5,
-                       qid_col: str = "qid", id_col: str = "doc_id") -> DataFrame:
-    """Top-k per question over the *whole* corpus, where documents without a hit score 0.
-
-    Order: rounded score desc, doc_id asc (stable sort of a position-ordered list).
-    Zero-score documents are only needed for questions with fewer than k positive
-    hits; the first k zero-score documents by id lie within the first
-    ``k + (#non-zero hits)`` ids, so padding is drawn from that bounded prefix.
-    """
-    from quarry.session import materialize
-    # materialised once: the bound below and the final ranking both read it
-    nonzero = materialize(scores.withColumn("score", F.round("score", 6)).filter(F.col("score") != 0),
-                          "bm25-nonzero")
-    per_q = (questions.select(F.col(qid_col).alias("qid"))
-             .join(nonzero.groupBy("qid").agg(
-                 F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"),
-                 F.count(F.lit(1)).alias("n_nonzero")), "qid", "left")
-             .fillna(0, ["n_pos", "n_nonzero"]))
-    needy = per_q.filter(F.col("n_pos") < k)
-    # bounded prefix length (one scalar to the driver)
-    prefix = needy.agg(F.max(F.col("n_nonzero") + k).alias("m")).first()["m"]
-    parts = [nonzero.select("qid", "doc_id", "score")]
-    if prefix:
-        # the lowest ``prefix`` ids with their 0-based rank (a per-task partial
-        # top-m, then m rows); each needy question expands to its own bounded
-        # range of ranks and meets them with an equi-join on the rank
-        lowest = (docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(int(prefix))
-                  .withColumn("__p", F.row_number().over(Window.orderBy("doc_id")) - 1))
-        ranks = needy.select("qid", F.explode(F.sequence(F.lit(0), F.col("n_nonzero") + (k - 1)))
-                             .alias("__p"))
-        pad = (ranks.join(lowest, "__p").select("qid", "doc_id")
-               .join(nonzero.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-               .withColumn("score", F.lit(0.0)))
-        parts.append(pad)
-    cands = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rank_within(cands, "qid", [F.desc("score"), F.asc("doc_id")], k)
-
-
 def max_normalise(scores: DataFrame, part: str = "qid", col: str = "score",
                   out: str = "score_norm", broadcast_groups: bool = False) -> DataFrame:
     """Divide by the per-group maximum, only where that maximum is > 0.
@@ -210,13 +173,13 @@ def max_normalise(scores: DataFrame, part: str = "qid", col: str = "score",
 
 
 def corpus_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple:
-    """(row count, xor of per-row 64-bit hashes of (id, text)): order-independent and
+    """(row count, hash of all per-row 64-bit hashes of (id, text)): order-independent and
     sensitive to any edit, insert or delete.  One scan, one row to the driver."""
     from quarry.session import memo_fingerprint
 
     def compute():
         r = docs.agg(F.count(F.lit(1)).alias("n"),
-                     F.coalesce(F.bit_xor(F.xxhash64(F.col(id_col), F.col(text_col))), F.lit(0)).alias("fp")
+                     F.coalesce(content_hash(F.xxhash64(F.col(id_col), F.col(text_col))), F.lit(0)).alias("fp")
                      ).first()
         return int(r["n"]), int(r["fp"])
     return memo_fingerprint(docs.select(id_col, text_col), compute)
@@ -227,19 +190,13 @@ def stored_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The corpus's BM25 index from the shared index folder, built only when no
     complete index with the same fingerprint and parameters exists (a persisted
     collection is reused while its data is unchanged, rebuilt when it is stale)."""
-    from pyspark.errors import AnalysisException
-
-    from quarry.session import ensure_checkpoint_dir
+    from quarry.session import index_dir, is_complete, mark_complete
     spark = docs.sparkSession
     n, fp = corpus_fingerprint(docs, id_col, text_col)
-    base = f"{ensure_checkpoint_dir(spark)}/bm25-index/{n}-{fp & (2**64 - 1):016x}-{k1}-{b}-{epsilon}"
-    try:
-        spark.read.parquet(f"{base}/manifest").first()
+    base = f"{index_dir(spark)}/bm25/{n}-{fp & (2**64 - 1):016x}-{k1}-{b}-{epsilon}"
+    if is_complete(spark, base):
         return BM25Index(spark.read.parquet(f"{base}/bm25-postings"), spark.read.parquet(f"{base}/bm25-idf"),
                          spark.read.parquet(f"{base}/bm25-stats"), k1, b)
-    except AnalysisException:
-        pass
     idx = build_bm25_index(docs, id_col, text_col, k1, b, epsilon, materialized=True, base=base)
-    # the manifest is written last: its presence marks a complete index
-    spark.createDataFrame([(n, fp)], "n long, fp long").write.mode("overwrite").parquet(f"{base}/manifest")
+    mark_complete(spark, base)
     return idx

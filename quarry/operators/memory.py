@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.ordering import positions_within, running_sum_within
+from quarry.functions.ordering import positions_within, running_sum_within, running_sums_within
 from quarry.functions.text import py_strip
 
-# Console commands of the reference and the system turn content.
+# The console's commands.
 CMD_QUIT = "quit"
 CMD_CLEAR = "clear"
 CMD_DEBUG = "debug"
-SYSTEM_PROMPT = ("You are a specialized AI assistant that uses retrieved First Stand 2026 "
-                 "data to answer questions.")
 
 
 def cache_key(col) -> F.Column:
@@ -37,11 +35,16 @@ def exchanges(turns: DataFrame) -> DataFrame:
 
 def latest_per_key(writes: DataFrame) -> DataFrame:
     """(question_key, answer, version): last version wins per key.
-    ``max(struct(version, answer))`` aggregates map-side first, so a hot key
-    costs one row per task before the shuffle."""
-    last = writes.groupBy("question_key").agg(F.max(F.struct("version", "answer")).alias("w"))
-    return last.select("question_key", F.col("w.answer").alias("answer"),
-                       F.col("w.version").alias("version"))
+    The last version is found over numbers with a map-side aggregate, so a hot key costs
+    one row per task before the shuffle; only rows of that version carry their answer on."""
+    narrow = writes.select("question_key", "version")
+    # the answer texts stay out of the aggregate: numbers hash-aggregate, strings would sort
+    last = narrow.groupBy("question_key").agg(F.max("version").alias("version")).select(
+        F.col("question_key").alias("l_key"), F.col("version").alias("l_version"))
+    kept = writes.join(last, F.col("question_key").eqNullSafe(F.col("l_key"))
+                       & F.col("version").eqNullSafe(F.col("l_version")))
+    return kept.groupBy("question_key", "version").agg(F.max("answer").alias("answer")).select(
+        "question_key", "answer", "version")
 
 
 def cache_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -79,9 +82,8 @@ def command_parse(user_turns: DataFrame) -> DataFrame:
     t = t.withColumn("__tog", F.when(
         (F.col("__l") != CMD_QUIT) & (F.col("__l") != CMD_CLEAR) & F.col("__l").startswith(CMD_DEBUG),
         1).otherwise(0))
-    t = running_sum_within(t, ["session_id"], [F.asc("turn")], "__tog", "__ntog")
     t = t.withColumn("__quit", F.when(F.col("__l") == CMD_QUIT, 1).otherwise(0))
-    t = running_sum_within(t, ["session_id"], [F.asc("turn")], "__quit", "__nquit")
+    t = running_sums_within(t, ["session_id"], [F.asc("turn")], {"__tog": "__ntog", "__quit": "__nquit"})
     query = F.when(F.col("__tog") == 1, py_strip(F.substring("__q", 6, 1 << 30))).otherwise(F.col("__q"))
     # the console loop stops at the first quit: later turns are never processed
     cmd = (F.when(F.col("__nquit") - F.col("__quit") > 0, F.lit("ended"))
@@ -138,10 +140,12 @@ def save_cache_writes(writes: DataFrame, path: str) -> None:
 
 
 def load_cache(spark, path: str) -> DataFrame:
-    """Current cache from the write log; a missing cache is empty."""
+    """Current cache from the write log; a missing cache is empty, any other error is raised."""
     from pyspark.errors import AnalysisException
     try:
         log = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
     return latest_per_key(log)

@@ -10,7 +10,7 @@ from quarry.functions.ordering import global_positions, positions_within
 # Defaults of the reference's champion build and its role order.
 DEFAULT_TITLE = "Unknown"
 DEFAULT_ROLES = ("Unknown",)
-ROLE_ORDER = ("Top", "Jungle", "Mid", "Bot", "Support")
+ROLE_ORDER = ("Top", "Jungle", "Mid", "Bot", "Support", "Unknown")
 
 
 def left_join_defaults(left: DataFrame, right: DataFrame, key, defaults: dict) -> DataFrame:
@@ -48,11 +48,12 @@ def ordered_members(df: DataFrame, group_col: str, value_col: str, ord_col: str,
 
 
 def in_role_order(members: DataFrame, group_col: str, order=ROLE_ORDER) -> DataFrame:
-    """Keep only groups named in ``order`` and number them in that fixed order
-    (``role_ord``); groups outside the list are not shown."""
+    """Number the groups in the fixed ``order`` (``role_ord``); groups outside the list
+    follow it, so no member vanishes."""
     spark = members.sparkSession
     roles = spark.createDataFrame(list(enumerate(order)), f"role_ord int, {group_col} string")
-    return members.join(F.broadcast(roles), group_col)  # fixed, tiny configuration table
+    numbered = members.join(F.broadcast(roles), group_col, "left")  # fixed, tiny configuration table
+    return numbered.withColumn("role_ord", F.coalesce("role_ord", F.lit(len(order))))
 
 
 def join_members(members: DataFrame, group_col: str, pos_col: str, name_col: str,

@@ -13,7 +13,7 @@ from quarry.operators import hybrid as hy
 from quarry.operators import prompts as pr
 from quarry.operators.stats import guarded_rate
 from quarry.plans import bindings as bd
-from quarry.plans.retrieval import MULTI_CTES
+from quarry.plans.retrieval import BOUND_ROUTES, MULTI_CTES
 from quarry.session import materialize
 from quarry.sources.tables import load
 
@@ -26,7 +26,7 @@ SECTIONS = ([("c0", pr.SECTION_HEADERS[0][1]), ("c1", pr.SECTION_HEADERS[1][1]),
 
 def retrieved_rows(spark, sf):
     rows = hy.multi_collection(bd.comment_collection(spark, sf), bd.label_collections(spark, sf),
-                               bd.question_vectors(spark, sf))
+                               bd.question_vectors(spark, sf), routes=BOUND_ROUTES)
     # fetch texts after the limits
     return rows.join(bd.comments(spark, sf).select("doc_id", "text", "match", "upvotes"), "doc_id")
 

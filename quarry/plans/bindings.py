@@ -32,15 +32,15 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions with their vector (inner join: a question without a vector is not asked)."""
+    """Every question, with its vector where there is one."""
     v = vectors(spark, sf).select(F.col("vec_id").alias("qid"), "embedding")
-    return questions(spark, sf).join(v, "qid")
+    return questions(spark, sf).join(v, "qid", "left")
 
 
 def comment_collection(spark: SparkSession, sf: str) -> DataFrame:
-    """The comment collection: every comment that has a chunk vector."""
+    """The comment collection: every comment, with its chunk vector where there is one."""
     v = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return comments(spark, sf).join(v, "doc_id")
+    return comments(spark, sf).join(v, "doc_id", "left")
 
 
 def label_collections(spark: SparkSession, sf: str) -> DataFrame:

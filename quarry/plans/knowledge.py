@@ -60,8 +60,8 @@ def q_stable_sort_desc(spark, sf):
 
 
 # Role order bound to the stand-in data: primary roles are return flags; parts
-# without statistics have the default role and are not shown.
-BOUND_ROLE_ORDER = ("R", "N", "A")
+# without statistics have the default role and come last.
+BOUND_ROLE_ORDER = ("R", "N", "A", stt.DEFAULT_ROLES[0])
 
 
 def q_ordered_string_agg(spark, sf):
@@ -194,7 +194,7 @@ ORACLE = {
 SELECT p_partkey, presence_pct, (row_number() OVER (ORDER BY presence_pct DESC, p_partkey) - 1)::BIGINT AS pos
 FROM champs""",
     "ordered_string_agg": f"""WITH {CHAMPS_SQL},
-ro(role_ord, primary_role) AS (VALUES (0, 'R'), (1, 'N'), (2, 'A'))
+ro(role_ord, primary_role) AS (VALUES (0, 'R'), (1, 'N'), (2, 'A'), (3, 'Unknown'))
 SELECT ro.role_ord::INTEGER AS role_ord, c.primary_role,
        (row_number() OVER (PARTITION BY c.primary_role ORDER BY c.presence_pct DESC, c.p_partkey) - 1)::BIGINT AS pos,
        c.name, c.p_partkey

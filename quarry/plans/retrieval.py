@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import dense as dn
 from quarry.operators import hybrid as hy
 from quarry.operators import lexical as lx
+from quarry.operators import scoring as sc
 from quarry.plans import bindings as bd
 from quarry.plans.sqlfrag import COLLECTION, QVEC, bm25_ctes, sqdist
 
@@ -42,19 +43,10 @@ def q_mean_pool(spark, sf):
 
 
 def q_score_minmax(spark, sf):
-    coll = bd.comment_collection(spark, sf)
-    qs = bd.question_vectors(spark, sf)
-    corpus = coll.select("doc_id", F.col("embedding").alias("v"),
-                         F.lit(None).cast("array<struct<qid:bigint,b:double>>").alias("hits"))
-    parts = []
-    for block in dn.question_blocks(qs):
-        bounds = {r["qid"]: (r["max_d"], r["min_d"])
-                  for r in dn.distance_bounds(coll, block).collect()}
-        parts.append(dn.fused_candidates(corpus, block, bounds, 0.0, float("-inf"), 15))
-    c = parts[0]
-    for p in parts[1:]:
-        c = c.unionByName(p)
-    c = c.select("qid", "doc_id", F.round("sn", 6).alias("sem_norm"))
+    store = sc.open_store(bd.comment_collection(spark, sf))
+    parts = [sc.candidates(store, block, sc.bounds(store, block), 0.0, None, 15, dense_only=True)
+             for block in sc.blocks(bd.question_vectors(spark, sf), store.index)]
+    c = sc.union_all(parts, spark, sc.CANDIDATE_SCHEMA).select("qid", "doc_id", F.round("sn", 6).alias("sem_norm"))
     return lx.rank_within(c, "qid", [F.desc("sem_norm"), F.asc("doc_id")], 15).select(
         "qid", "rk", "doc_id", "sem_norm")
 
@@ -83,7 +75,7 @@ def _filtered(mode):
 
 def q_multi_collection(spark, sf):
     return hy.multi_collection(bd.comment_collection(spark, sf), bd.label_collections(spark, sf),
-                               bd.question_vectors(spark, sf))
+                               bd.question_vectors(spark, sf), routes=BOUND_ROUTES)
 
 
 QUERIES = {
@@ -110,16 +102,19 @@ mx AS (SELECT qid, max(score) AS mx FROM s GROUP BY qid),
 bn AS (SELECT s.qid, s.doc_id, CASE WHEN mx.mx > 0 THEN s.score / mx.mx ELSE s.score END AS b
        FROM s JOIN mx USING (qid)),
 dist AS (SELECT q.qid, c.doc_id, {sqdist('q.embedding', 'c.embedding')} AS d
-         FROM {QVEC} q CROSS JOIN {COLLECTION} c),
+         FROM {QVEC} q CROSS JOIN {COLLECTION} c
+         WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 bounds AS (SELECT qid, max(d) AS max_d, min(d) AS min_d FROM dist GROUP BY qid),
 sem AS (SELECT dist.qid, dist.doc_id,
                CASE WHEN bounds.max_d - bounds.min_d > 0
                     THEN (bounds.max_d - dist.d) / (bounds.max_d - bounds.min_d)
                     ELSE bounds.max_d - dist.d END AS sn
         FROM dist JOIN bounds USING (qid)),
-h AS (SELECT sem.qid, sem.doc_id, coalesce(bn.b, 0) AS b, sem.sn,
-             0.5 * coalesce(bn.b, 0) + 0.5 * sem.sn AS score
-      FROM sem LEFT JOIN bn USING (qid, doc_id)),
+h AS (SELECT q.qid, c.doc_id, coalesce(bn.b, 0) AS b, coalesce(sem.sn, 0) AS sn,
+             0.5 * coalesce(bn.b, 0) + 0.5 * coalesce(sem.sn, 0) AS score
+      FROM (SELECT qid FROM {QVEC}) q CROSS JOIN (SELECT doc_id FROM {COLLECTION}) c
+      LEFT JOIN sem ON sem.qid = q.qid AND sem.doc_id = c.doc_id
+      LEFT JOIN bn ON bn.qid = q.qid AND bn.doc_id = c.doc_id),
 hr AS (SELECT qid, doc_id, round(b, 6) AS bm25_norm, round(sn, 6) AS sem_norm,
               round(score, 6) AS score,
               row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rk
@@ -132,7 +127,7 @@ ROUTE_CASE_VAL = ("CASE WHEN contains(lower(question), 'que') OR contains(lower(
 
 _KNN = """
 WITH d AS (SELECT q.qid, e.vec_id AS doc_id, round({dist}, 6) AS distance
-           FROM {qvec} q CROSS JOIN embeddings e {where}),
+           FROM {qvec} q CROSS JOIN embeddings e WHERE q.embedding IS NOT NULL {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS rk FROM d)
 SELECT qid, rk::BIGINT AS rk, doc_id, distance FROM r WHERE rk <= 5"""
 
@@ -147,7 +142,7 @@ FROM hr JOIN {COLLECTION} c USING (doc_id) WHERE hr.rk <= {k}"""
 ORACLE = {
     "knn_top5": _KNN.format(dist=sqdist("q.embedding", "e.embedding"), qvec=QVEC, where=""),
     "knn_where": _KNN.format(dist=sqdist("q.embedding", "e.embedding"), qvec=QVEC,
-                             where="WHERE e.label = 3"),
+                             where="AND e.label = 3"),
     "l2_normalise": """
 WITH n AS (SELECT vec_id, embedding,
                   sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm
@@ -162,7 +157,8 @@ FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS
 GROUP BY label, pos""",
     "score_minmax": f"""
 WITH dist AS (SELECT q.qid, c.doc_id, {sqdist('q.embedding', 'c.embedding')} AS d
-              FROM {QVEC} q CROSS JOIN {COLLECTION} c),
+              FROM {QVEC} q CROSS JOIN {COLLECTION} c
+              WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 b AS (SELECT qid, max(d) AS mx, min(d) AS mn FROM dist GROUP BY qid),
 s AS (SELECT dist.qid, dist.doc_id,
              round(CASE WHEN b.mx - b.mn > 0 THEN (b.mx - dist.d) / (b.mx - b.mn)
@@ -194,9 +190,12 @@ SELECT qid, rk::BIGINT AS rk, doc_id, score, bm25_norm, sem_norm FROM r WHERE rk
 WITH {HYBRID_CTES},
 nn AS (SELECT q.qid, 'c' || e.label::VARCHAR AS collection, e.vec_id AS doc_id,
               round({sqdist('q.embedding', 'e.embedding')}, 6) AS score
-       FROM {QVEC} q CROSS JOIN embeddings e),
+       FROM {QVEC} q CROSS JOIN embeddings e WHERE q.embedding IS NOT NULL),
+rt AS (SELECT qid, CASE WHEN {ROUTE_CASE_COL} = 'match' THEN {ROUTE_CASE_VAL} END AS rv FROM {QVEC}),
+routed AS (SELECT hr.* FROM hr JOIN rt USING (qid) JOIN {COLLECTION} c USING (doc_id)
+           WHERE hr.rk <= 15 AND (rt.rv IS NULL OR c.match = rt.rv)),
 nr AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score, doc_id) AS rk FROM nn)
-SELECT qid, 'comments' AS collection, rk::BIGINT AS rk, doc_id, score FROM hr WHERE rk <= 15
+SELECT qid, 'comments' AS collection, rk::BIGINT AS rk, doc_id, score FROM routed
 UNION ALL
 SELECT qid, collection, rk::BIGINT AS rk, doc_id, score FROM nr WHERE rk <= 5""",
 }
@@ -205,8 +204,11 @@ SELECT qid, collection, rk::BIGINT AS rk, doc_id, score FROM nr WHERE rk <= 5"""
 MULTI_CTES = HYBRID_CTES + f""",
 nn AS (SELECT q.qid, 'c' || e.label::VARCHAR AS collection, e.vec_id AS doc_id,
               round({sqdist('q.embedding', 'e.embedding')}, 6) AS score
-       FROM {QVEC} q CROSS JOIN embeddings e),
+       FROM {QVEC} q CROSS JOIN embeddings e WHERE q.embedding IS NOT NULL),
+rt AS (SELECT qid, CASE WHEN {ROUTE_CASE_COL} = 'match' THEN {ROUTE_CASE_VAL} END AS rv FROM {QVEC}),
+routed AS (SELECT hr.* FROM hr JOIN rt USING (qid) JOIN {COLLECTION} c USING (doc_id)
+           WHERE hr.rk <= 15 AND (rt.rv IS NULL OR c.match = rt.rv)),
 nr AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score, doc_id) AS rk FROM nn),
-mc AS (SELECT qid, 'comments' AS collection, rk::BIGINT AS rk, doc_id, score FROM hr WHERE rk <= 15
+mc AS (SELECT qid, 'comments' AS collection, rk::BIGINT AS rk, doc_id, score FROM routed
        UNION ALL
        SELECT qid, collection, rk::BIGINT AS rk, doc_id, score FROM nr WHERE rk <= 5)"""

@@ -38,9 +38,9 @@ s AS (SELECT qid, doc_id, sum(qtf * idf * w) AS score
 COMMENTS = "(SELECT doc_id, text, source AS match, n_chars AS upvotes FROM documents)"
 QUESTIONS = "(SELECT item_id AS qid, text AS question FROM benchmark)"
 QVEC = ("(SELECT b.item_id AS qid, b.text AS question, e.embedding FROM benchmark b "
-        "JOIN embeddings e ON e.vec_id = b.item_id)")
+        "LEFT JOIN embeddings e ON e.vec_id = b.item_id)")
 COLLECTION = ("(SELECT d.doc_id, d.text, d.source AS match, d.n_chars AS upvotes, e.embedding "
-              "FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)")
+              "FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)")
 
 
 def sqdist(a: str, b: str) -> str:

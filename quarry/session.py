@@ -28,16 +28,23 @@ DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "quarry", extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
+    """A session; of a running one only settings that have no value are filled in."""
     conf = dict(DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
-    spark = builder.getOrCreate()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        for k, v in conf.items():
+            if spark.conf.get(k, None) is None:
+                spark.conf.set(k, v)
+    else:
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        for k, v in conf.items():
+            builder = builder.config(k, v)
+        spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -52,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if not configured:
+    if not configured:      # unset: local runs and tests only
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and "
                              "all executors share")
@@ -78,24 +85,54 @@ def materialize(df, name: str, compression: str | None = None):
     return df.sparkSession.read.parquet(path)
 
 
+def index_dir(spark: SparkSession) -> str:
+    """Folder of the indexes that outlive a session: ``spark.quarry.indexDir``, else a folder of
+    its own under the shared checkpoint folder (which is the same for every application)."""
+    ensure_checkpoint_dir(spark)
+    named = spark.conf.get("spark.quarry.indexDir", None)
+    return named or os.path.join(spark.conf.get("spark.checkpoint.dir"), "quarry-index")
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether ``mark_complete`` was reached for what is stored at ``path``."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.schema("done int").parquet(f"{path}/manifest").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Written last, so a part of an index is never taken for the whole."""
+    spark.createDataFrame([(1,)], "done int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
 _FINGERPRINTS: dict = {}
 
 
 def input_signature(df) -> tuple:
-    """(path, length, modification time) of every file the plan reads, from the
-    ``binaryFile`` source with only metadata columns selected (no content read)."""
+    """Number and hash of (path, length, modification time) of the files the plan reads, from the
+    ``binaryFile`` source with only metadata columns selected: one row to the driver."""
+    from pyspark.sql import functions as F
     files = sorted(df.inputFiles())
     if not files:
         return ()
-    meta = (df.sparkSession.read.format("binaryFile").load(files)
-            .select("path", "length", "modificationTime").collect())
-    return tuple(sorted((r["path"], int(r["length"]), str(r["modificationTime"])) for r in meta))
+    meta = df.sparkSession.read.format("binaryFile").load(files)
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    r = meta.agg(F.count(F.lit(1)), F.sum(one), F.sum("length")).first()
+    return tuple(map(str, r))
 
 
 def memo_fingerprint(df, compute):
-    """A content fingerprint, computed once per session for the same plan over the
-    same unchanged files (semantic plan hash + file lengths and mtimes)."""
-    key = (df.semanticHash(), input_signature(df))
+    """A content fingerprint, computed once per session for the same plan over the same
+    unchanged files; a plan that reads no files is computed every time."""
+    signature = input_signature(df)
+    if not signature:
+        return compute()
+    key = (df.semanticHash(), signature)
     if key not in _FINGERPRINTS:
         _FINGERPRINTS[key] = compute()
     return _FINGERPRINTS[key]

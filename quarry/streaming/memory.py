@@ -3,8 +3,9 @@
 Keyed state per session (``applyInPandasWithState``): whether the session has
 a system turn and how many turns are currently in memory.  A user ``clear``
 resets memory to the system turn.  Turns of one session that arrive in the
-same micro-batch are applied in turn order.  The state is two numbers per
-session, so it stays bounded however long a session runs.
+same micro-batch are applied in turn order, over all chunks they come in.  The
+state is two numbers per session, and can expire, so it stays bounded however long a
+session runs and however many there are.
 """
 
 from __future__ import annotations
@@ -17,39 +18,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.session import shared_path
+from quarry.streaming.questions import finish
 
 OUTPUT_SCHEMA = "session_id long, turn long, memory_size long"
 STATE_SCHEMA = "has_system boolean, size long"
 CLEAR = "clear"
 
 
-def _is_clear(role: str, content) -> bool:
-    return role == "user" and isinstance(content, str) and content.strip().lower() == CLEAR
+def _flags(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a chunk of turns means for the memory's size; contents go no further."""
+    user = pdf["role"].eq("user")
+    clear = user & pdf["content"].fillna("").str.strip().str.lower().eq(CLEAR)
+    return pd.DataFrame({"turn": pdf["turn"], "clear": clear, "system": pdf["role"].eq("system") & ~clear})
 
 
-def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    has_system, size = (state.get if state.exists else (False, 0))
-    has_system, size = bool(has_system), int(size)
-    out_turns, out_sizes = [], []
-    for pdf in pdfs:
-        for row in pdf.sort_values("turn").itertuples(index=False):
-            if _is_clear(row.role, row.content):
-                size = 1 if has_system else 0
-            else:
-                if row.role == "system":
-                    has_system = True
-                size += 1
-            out_turns.append(int(row.turn))
-            out_sizes.append(size)
-    state.update((has_system, size))
-    yield pd.DataFrame({"session_id": [int(key[0])] * len(out_turns), "turn": out_turns,
-                        "memory_size": out_sizes})
+def memory_after(turns: pd.DataFrame, has_system: bool, size: int) -> tuple[pd.DataFrame, bool, int]:
+    """Memory sizes after each of a session's turns (turn, clear, system), from a state on."""
+    t = turns.sort_values("turn", kind="stable").reset_index(drop=True)
+    seen = t["system"].cummax() | has_system
+    segment = t["clear"].cumsum()
+    added = (~t["clear"]).groupby(segment).cumsum()
+    # a segment begins with what its clear leaves: the system turn, if one was seen by then
+    base = seen.where(t["clear"]).groupby(segment).transform("first").map({True: 1, False: 0}).fillna(size)
+    sizes = (added + base).astype("int64")
+    out = pd.DataFrame({"turn": t["turn"].astype("int64"), "memory_size": sizes})
+    return out, bool(seen.iloc[-1]), int(sizes.iloc[-1])
 
 
-def memory_sizes(turns_stream: DataFrame) -> DataFrame:
-    """Streaming (session_id, turn, memory_size) from streaming (session_id, turn, role, content)."""
+def _stepper(expiry_ms: int | None):
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        has_system, size = (state.get if state.exists else (False, 0))
+        # a session's chunks come in any order: sorted together, as flags only
+        out, has_system, size = memory_after(pd.concat([_flags(p) for p in pdfs]), bool(has_system), int(size))
+        state.update((has_system, size))
+        if expiry_ms:
+            state.setTimeoutDuration(expiry_ms)
+        out.insert(0, "session_id", int(key[0]))
+        yield out
+
+    return step
+
+
+def memory_sizes(turns_stream: DataFrame, expiry_ms: int | None = None) -> DataFrame:
+    """Streaming (session_id, turn, memory_size) from streaming (session_id, turn, role, content).
+
+    ``expiry_ms``: a session without turns for this long is forgotten.  For streams that run on;
+    one that ends with its input needs none (a pending timeout would keep it running)."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expiry_ms else GroupStateTimeout.NoTimeout
     return turns_stream.groupBy("session_id").applyInPandasWithState(
-        _step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _stepper(expiry_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def run_memory_stream(spark: SparkSession, path: str, out_path: str | None = None,
@@ -64,9 +85,5 @@ def run_memory_stream(spark: SparkSession, path: str, out_path: str | None = Non
     q = (memory_sizes(turns).writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(q, timeout_s)
     return spark.read.schema(OUTPUT_SCHEMA).parquet(out_path)

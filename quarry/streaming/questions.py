@@ -8,14 +8,26 @@ write and commit) rewrites the same files instead of duplicating them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators import hybrid as hy
-from quarry.operators import lexical as lx
+from quarry.operators import scoring as sc
 from quarry.session import shared_path
 
 
+def finish(query: StreamingQuery, timeout_s: int) -> None:
+    """Waits for a bounded stream to end; a stream that fails or is still running after
+    ``timeout_s`` is an error, so a part is never taken for the whole."""
+    if not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream is still running after {timeout_s} s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
 def answer_stream(spark: SparkSession, questions_stream: DataFrame, question_vectors: DataFrame,
                   collection: DataFrame, out_path: str | None = None, k: int = hy.TOP_K,
                   checkpoint: str | None = None, available_now: bool = True,
@@ -26,27 +38,25 @@ def answer_stream(spark: SparkSession, questions_stream: DataFrame, question_vec
     (qid, embedding); ``collection``: static (doc_id, text, embedding, ...)."""
     out_path = out_path or shared_path(spark, "stream-answers")
     checkpoint = checkpoint or shared_path(spark, "stream-ckpt")
-    index = lx.stored_bm25_index(collection.select("doc_id", "text"))
+    store = sc.open_store(collection)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        q = batch.select("qid", "question").join(question_vectors.select("qid", "embedding"), "qid")
-        res = hy.hybrid_search(collection, q, k=k, index=index)
+        q = batch.select("qid", "question").join(question_vectors.select("qid", "embedding"), "qid", "left")
+        res = hy.hybrid_search(collection, q, k=k, store=store)
         res.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = (questions_stream.writeStream.foreachBatch(process)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     query = w.start()
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
+    finish(query, timeout_s)
     schema = "qid long, rk long, doc_id long, score double, bm25_norm double, sem_norm double, batch_id long"
     try:
         return spark.read.schema(schema).parquet(out_path)
-    except Exception:  # noqa: BLE001 - nothing arrived
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)        # nothing arrived
 
 
 def question_file_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from conftest import SF_SMALL, rows
 
 from quarry.operators import dense as dn
 from quarry.operators import hybrid as hy
+from quarry.operators import scoring as sc
 from quarry.plans import bindings as bd
 
 
@@ -37,11 +38,9 @@ def test_identical_distances_give_zero_similarity(spark):
     coll = spark.createDataFrame([(i, f"doc {i}", [1.0, 0.0]) for i in range(3)],
                                  "doc_id long, text string, embedding array<float>")
     q = spark.createDataFrame([(9, "zzz", [0.0, 1.0])], "qid long, question string, embedding array<float>")
-    block = next(dn.question_blocks(q))
-    bounds = {r["qid"]: (r["max_d"], r["min_d"]) for r in dn.distance_bounds(coll, block).collect()}
-    corpus = coll.select("doc_id", coll.embedding.alias("v")).withColumn(
-        "hits", F.lit(None).cast("array<struct<qid:bigint,b:double>>"))
-    c = dn.fused_candidates(corpus, block, bounds, 0.0, float("-inf"), 5)
+    store = sc.open_store(coll)
+    block = next(sc.blocks(q, store.index))
+    c = sc.candidates(store, block, sc.bounds(store, block), 0.0, None, 5)
     assert {r["sn"] for r in c.collect()} == {0.0}
     # nothing passes the hybrid threshold: no lexical hit, no semantic spread
     assert hy.hybrid_search(coll, q).count() == 0
@@ -102,16 +101,30 @@ def test_question_blocks_split_beyond_bound(spark):
     qs = bd.question_vectors(spark, SF_SMALL)
     blocks = list(dn.question_blocks(qs, max_rows=7))
     assert all(len(b[0]) <= 7 for b in blocks)
-    assert sorted(int(x) for b in blocks for x in b[0]) == sorted(r[0] for r in rows(qs, "qid"))
+    assert sorted(int(x) for b in blocks for x in b[0]) == sorted(
+        r[0] for r in rows(qs.where("embedding is not null"), "qid"))
 
 
 def test_block_split_gives_same_results(spark, hybrid_runs, monkeypatch):
     coll, qs, top15, _ = hybrid_runs
-    orig = dn.question_blocks
+    orig, blocks = dn.question_blocks, sc.blocks
     monkeypatch.setattr(dn, "question_blocks", lambda q, **kw: orig(q, max_rows=7))
+    monkeypatch.setattr(sc, "blocks", lambda q, index: blocks(q, index, 7))
+    monkeypatch.setattr(sc, "CELLS", 100)
+    monkeypatch.setattr(dn, "CELLS", 100)
     assert set(rows(hy.hybrid_search(coll, qs, k=15), "qid", "rk", "doc_id", "score")) == set(top15)
     lab = bd.label_collections(spark, SF_SMALL)
     split = set(rows(dn.knn(lab, qs, 5, group_col="collection"), "qid", "collection", "rk", "doc_id"))
     monkeypatch.setattr(dn, "question_blocks", orig)
     whole = set(rows(dn.knn(lab, qs, 5, group_col="collection"), "qid", "collection", "rk", "doc_id"))
     assert split == whole
+
+
+def test_documents_and_questions_without_a_vector_compete_by_words(spark):
+    coll = spark.createDataFrame([(0, "red fox", [1.0, 0.0]), (1, "red owl owl", None), (2, "blue", [0.0, 1.0]),
+                                  (3, None, None), (4, "sea", [0.7, 0.7])], "doc_id long, text string, embedding array<float>")
+    q = spark.createDataFrame([(1, "owl", [0.0, 1.0]), (2, "owl", None)], "qid long, question string, embedding array<float>")
+    got = {(r["qid"], r["doc_id"]): r for r in hy.hybrid_search(coll, q).collect()}
+    assert got[1, 1]["bm25_norm"] == 1 and got[1, 1]["sem_norm"] == 0 and got[1, 1]["score"] == 0.5
+    assert got[1, 2]["sem_norm"] == 1 and got[1, 2]["bm25_norm"] == 0
+    assert [k for k in got if k[0] == 2] == [(2, 1)]

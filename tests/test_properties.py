@@ -46,3 +46,27 @@ def test_positions_and_running_sums_with_a_hot_group(spark):
             acc += v
             assert pos[(g, o)] == i
             assert run[(g, o)] == acc
+
+
+def test_positions_keep_every_row_beyond_the_range_sample(spark):
+    """Payload columns, a hot group and more rows than a range exchange samples."""
+    from pyspark.sql import functions as F
+    n = 120_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise(
+            F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"),
+        F.xxhash64("id").alias("o"), (F.col("id") % 7).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    for parts in (4, 8):
+        got = positions_within(df, ["g"], ["o"], num_partitions=parts)
+        want = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        back = got.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("d"),
+                                    F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        assert sorted(map(str, back.select("g", "n").collect())) == sorted(map(str, want.collect()))
+        assert back.where("d != n or lo != 0 or hi != n - 1").count() == 0
+        summed = running_sum_within(df, ["g"], ["o"], "v", "s", num_partitions=parts)
+        plain = {(r["g"], r["o"]): r["s"] for r in summed.where("o % 1000 = 0").collect()}
+        exact = df.toPandas().sort_values("o")
+        exact["s"] = exact.fillna({"g": "?"}).groupby("g")["v"].cumsum()
+        for r in exact[exact["o"] % 1000 == 0].itertuples():
+            if (r.g, r.o) in plain:
+                assert plain[(r.g, r.o)] == r.s

@@ -206,3 +206,47 @@ def test_memory_size_closed_form_matches_simulation(tmp_path):
                 size += 1
             want[(sid, r.turn)] = size
     assert got == want
+
+
+def test_memory_sizes_do_not_depend_on_chunks():
+    import random
+
+    import pandas as pd
+
+    from quarry.streaming.memory import _flags, memory_after
+    rnd = random.Random(1)
+    turns = [(i, rnd.choice(["user", "assistant", "system"]), rnd.choice(["clear", " Clear ", "x", None])) for i in range(300)]
+    size, system, want = 0, False, []
+    for _, role, content in turns:
+        if role == "user" and (content or "").strip().lower() == "clear":
+            size = int(system)
+        else:
+            system |= role == "system"
+            size += 1
+        want.append(size)
+    shuffled = turns[:]
+    rnd.shuffle(shuffled)
+    chunks = [_flags(pd.DataFrame(shuffled[i:i + 7], columns=["turn", "role", "content"])) for i in range(0, 300, 7)]
+    out, has, last = memory_after(pd.concat(chunks), False, 0)
+    assert out["memory_size"].tolist() == want and (has, last) == (system, size)
+    first = memory_after(pd.concat([_flags(pd.DataFrame(turns[:140], columns=["turn", "role", "content"]))]), False, 0)
+    rest = memory_after(_flags(pd.DataFrame(turns[140:], columns=["turn", "role", "content"])), first[1], first[2])
+    assert first[0]["memory_size"].tolist() + rest[0]["memory_size"].tolist() == want
+
+
+def test_a_stream_still_running_is_an_error():
+    from quarry.streaming.questions import finish
+
+    class Running:
+        stopped = False
+
+        def awaitTermination(self, timeout):
+            return False
+
+        def stop(self):
+            self.stopped = True
+    q = Running()
+    import pytest
+    with pytest.raises(TimeoutError):
+        finish(q, 1)
+    assert q.stopped
