@@ -32,14 +32,16 @@ def min_length_filter(df: DataFrame, col: str = "body", min_len: int = MIN_LENGT
 def dedup_keep_first(df: DataFrame, key: str = "body", order_col: str = "ord") -> DataFrame:
     """Keep the first row (lowest ``order_col``) per ``key``; null keys form one group.
 
-    A hash aggregate of ``min(struct(order, row...))`` rather than a window: the
-    partial aggregate collapses duplicates inside every task before the shuffle,
-    so a body repeated across a third of all rows costs one row per task."""
-    others = [c for c in df.columns if c != order_col]
-    first = (df.groupBy(key)
-               .agg(F.min(F.struct(F.col(order_col), *[F.col(c) for c in others if c != key]))
-                    .alias("__r")))
-    return first.select(F.col(key), "__r.*").select(*df.columns)
+    The first order per key is a hash aggregate over numbers (a 128-bit hash of the key, the
+    order): the partial aggregate collapses duplicates inside every task, and no text is
+    sorted or shuffled for it.  The rows then meet their (hash, order) in a semi-join, whose keys
+    are as many as the rows kept.  ``order_col`` must be a number and unique among equal keys."""
+    keyed = df.select("*", F.xxhash64(key).alias("__a"), F.xxhash64(F.lit(7), key).alias("__b"))
+    first = keyed.groupBy("__a", "__b", F.col(key).isNull().alias("__none")).agg(F.min(order_col).alias("__o"))
+    first = first.select(F.col("__a").alias("__fa"), F.col("__b").alias("__fb"), "__none", "__o")
+    return keyed.join(first, (F.col("__a") == F.col("__fa")) & (F.col("__b") == F.col("__fb"))
+                      & (F.col(key).isNull() == F.col("__none")) & (F.col(order_col) == F.col("__o")),
+                      "left_semi").select(*df.columns)
 
 
 def drop_deleted_authors(df: DataFrame, col: str = "author", value: str = DELETED_AUTHOR) -> DataFrame:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import preview
 from quarry.operators.hybrid import THRESHOLD
 
-# Section headers and order of the reference's prompt, and its
-# cap on comment lines.
+# Section headers and order of the prompt, and its cap on comment lines.
 SECTION_HEADERS = (
     ("tournament", "Tournament info:"),
     ("players", "Player info:"),
@@ -22,22 +21,15 @@ SECTION_HEADERS = (
     ("comments", "Community reactions (Reddit):"),
 )
 MAX_COMMENT_LINES = 15
-REFUSAL = "I don't have enough reliable data from the tournament or comments to answer that confidently."
 
-# Our own template wording around the context block.
+# Texts around the context: plain defaults, to be replaced by a caller's own.
+REFUSAL = "The stored material says too little to answer this."
 PROMPT_HEAD = (
-    "You answer questions about one event using only the context below.\n"
-    "Two kinds of sources appear there:\n"
-    "1. Official records (event info, statistics, profiles): treat them as facts.\n"
-    "2. Community comments: opinions only, never present them as facts.\n\n"
-    "How to answer:\n"
-    "- Give the facts from official records first.\n"
-    "- Then add what the community thought.\n"
-    "- If fewer than 3 comments back a claim, say that opinions were mixed.\n"
-    "- Be brief and do not go beyond the context.\n\n"
-    "--- CONTEXT ---\n")
-PROMPT_TAIL = "\n---------------\n"
-USER_PREFIX = "Based on the following context, please answer the question:\n"
+    "Use the sections below to answer. Sections taken from records can be restated; what a "
+    "commenter wrote should be quoted as somebody's view. Where the sections are silent, say so.\n\n"
+    "[sections]\n")
+PROMPT_TAIL = "\n[end of sections]\n"
+USER_PREFIX = "Material first, then the question.\n"
 
 
 def section_table(spark, sections) -> DataFrame:
@@ -70,7 +62,8 @@ def prompt_sections(rows: DataFrame, sections: DataFrame,
                       F.concat(F.col("header"), F.lit("\n"), F.col("body")).alias("section"))
 
 
-def prompt_build(sections: DataFrame, questions: DataFrame) -> DataFrame:
+def prompt_build(sections: DataFrame, questions: DataFrame, head: str = PROMPT_HEAD,
+                 tail: str = PROMPT_TAIL, prefix: str = USER_PREFIX) -> DataFrame:
     """(qid, prompt, user_message): non-empty sections in fixed order joined by a blank
     line, wrapped in the template; a question without any section gets an empty
     context."""
@@ -78,9 +71,9 @@ def prompt_build(sections: DataFrame, questions: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "section"))),
                                  lambda x: x["section"]), "\n\n").alias("context"))
     q = questions.select("qid", "question").join(ctx, "qid", "left")
-    prompt = F.concat(F.lit(PROMPT_HEAD), F.coalesce(F.col("context"), F.lit("")), F.lit(PROMPT_TAIL))
+    prompt = F.concat(F.lit(head), F.coalesce(F.col("context"), F.lit("")), F.lit(tail))
     return q.select("qid", prompt.alias("prompt"),
-                    F.concat(F.lit(USER_PREFIX), prompt, F.lit("\n\nQuestion: "),
+                    F.concat(F.lit(prefix), prompt, F.lit("\n\nQuestion: "),
                              F.col("question")).alias("user_message"))
 
 

@@ -91,7 +91,8 @@ def q_sparse_top5(spark, sf):
 
 def q_knn_lsh(spark, sf):
     corpus = bd.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return dn.knn_lsh(corpus, bd.question_vectors(spark, sf), 5).select("qid", "rk", "doc_id", "distance")
+    asked = bd.question_vectors(spark, sf).where("embedding is not null")
+    return dn.knn_lsh(corpus, asked, 5).select("qid", "rk", "doc_id", "distance")
 
 
 QUERIES = {

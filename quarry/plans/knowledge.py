@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.sizing import one_row_join
+from quarry.functions.text import is_truthy_text, preview, py_strip
 from quarry.operators import chunks as ch
 from quarry.operators import stats as stt
 from quarry.plans import bindings as bd
+from quarry.plans.sqlfrag import WS
 from quarry.sources.tables import load
 
 
@@ -120,17 +122,39 @@ def q_chunk_nested(spark, sf):
     return ch.match_chunks(matches(spark, sf), "group").select("ord", "text", "match", "stage")
 
 
+def q_chunk_semi(spark, sf):
+    m = matches(spark, sf).withColumn("narratives", F.when(
+        F.col("winner") == F.col("team1"), F.array(F.concat(F.lit("won by "), F.col("team1")), F.lit("cheered"))))
+    return ch.match_chunks(m, "semi").select("ord", "text", "match", "stage")
+
+
+def q_preview(spark, sf):
+    c = bd.comments(spark, sf)
+    return c.select("doc_id", preview("text", 80, flatten_newlines=True, ellipsis=True).alias("preview"))
+
+
+def q_question_normalise(spark, sf):
+    """Questions as they are asked: trimmed, blank ones skipped."""
+    q = bd.questions(spark, sf).withColumn("question", py_strip("question"))
+    return q.where(is_truthy_text("question")).select("qid", "question", F.lower("question").alias("question_key"))
+
+
 def q_chunk_rows(spark, sf):
     c = bd.comments(spark, sf).select("doc_id", F.col("text").alias("body"), "match",
                                       F.col("upvotes").alias("score"))
     return ch.comment_chunks(c).drop("metadata")
 
 
+def page_text(html):
+    """The whole page without its tags."""
+    return F.regexp_replace(html, "<[^>]*>", " ")
+
+
 def q_chunk_union(spark, sf):
     c = bd.comments(spark, sf).select(F.lit("comments").alias("collection"), "doc_id", "text")
     p = load(spark, sf, "pages", "page_id", "html").select(
         F.lit("pages").alias("collection"), F.col("page_id").alias("doc_id"),
-        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("text"),
+        page_text("html").alias("text"),
         F.col("page_id").alias("page_id"))
     return ch.union_chunks(c, p)
 
@@ -152,6 +176,9 @@ QUERIES = {
     "chunk_profile": q_chunk_profile,
     "chunk_stats": q_chunk_stats,
     "chunk_nested": q_chunk_nested,
+    "chunk_semi": q_chunk_semi,
+    "preview": q_preview,
+    "question_normalise": q_question_normalise,
     "chunk_rows": q_chunk_rows,
     "chunk_union": q_chunk_union,
     "chunk_ids": q_chunk_ids,
@@ -247,10 +274,22 @@ SELECT doc_id, text, 'comment' AS type, 'reddit' AS source, source AS match, n_c
     "chunk_union": """
 SELECT 'comments' AS collection, doc_id, text, NULL::BIGINT AS page_id FROM documents
 UNION ALL
-SELECT 'pages' AS collection, page_id AS doc_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS text, page_id
+SELECT 'pages' AS collection, page_id AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text, page_id
 FROM pages""",
     "chunk_ids": """
 SELECT doc_id, 'comments_' || (row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR AS chunk_id,
        (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS parsed_pos
 FROM documents""",
 }
+
+ORACLE["chunk_semi"] = f"""
+SELECT n.ord, n.text || CASE WHEN o.o_totalprice >= 150000
+                             THEN ' won by C' || o.o_custkey::VARCHAR || '. cheered.' ELSE '' END AS text,
+       n.match, n.stage
+FROM ({ORACLE['chunk_nested']}) n JOIN orders o ON o.o_orderkey = n.ord"""
+ORACLE["preview"] = """
+SELECT doc_id, replace(substring(text, 1, 80), chr(10), ' ') || '...' AS preview FROM documents"""
+ORACLE["question_normalise"] = f"""
+SELECT qid, question, lower(question) AS question_key
+FROM (SELECT item_id AS qid, regexp_replace(text, '^{WS}|{WS}$', '', 'g') AS question FROM benchmark)
+WHERE question <> ''"""

@@ -2,8 +2,8 @@
 
 Report binding over orders / lineitem / part, every section bounded: a header
 from whole-table aggregates, one result line per order priority (status F
-against status O; the side with more orders wins), and the five most
-returned parts.
+against status O; the side with more orders wins; orders of any other status
+are counted as open), and the five most returned parts.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from quarry.plans.retrieval import HYBRID_CTES
 from quarry.plans.sqlfrag import COLLECTION, QVEC
 from quarry.sources.tables import load
 
-# our own wording for the legacy prompt head
-LEGACY_HEAD = ("Answer the question from the event summary and the community comments below. "
-               "Keep it short and accurate.\n\n")
-COMMENTS_HEAD = "\n\nRelevant community comments:\n"
+# Texts around the report: plain defaults.
+LEGACY_HEAD = "Summary of the results, followed by what readers wrote.\n\n"
+COMMENTS_HEAD = "\n\nFrom the readers, best match first:\n"
 
 
 def report(spark, sf):
@@ -33,14 +32,15 @@ def report(spark, sf):
                          F.col("mx").cast("date").cast("string"), F.lit(")"))
     pr = o.groupBy(F.col("o_orderpriority").alias("p")).agg(
         F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("nf"),
-        F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("no"))
-    pr = pr.select("p", "nf", "no", F.lit("F").alias("team1"), F.lit("O").alias("team2"),
+        F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("no"),
+        F.count(F.lit(1)).alias("n"))
+    pr = pr.select("p", "nf", "no", (F.col("n") - F.col("nf") - F.col("no")).alias("nx"), F.lit("F").alias("team1"), F.lit("O").alias("team2"),
                    F.when(F.col("no") > F.col("nf"), F.lit("O")).otherwise(F.lit("F")).alias("winner"))
     # at most one row per priority value: a small aggregate, numbered in one task
     pr = pr.withColumn("l", F.row_number().over(Window.orderBy("p")))
     res_line = F.concat(F.lit("- "), F.col("p"), F.lit(": "), F.col("winner"), F.lit(" "),
                         F.col("nf").cast("string"), F.lit("-"), F.col("no").cast("string"),
-                        F.lit(" (vs "), rp.opponent(), F.lit(")"))
+                        F.lit(" (vs "), rp.opponent(), F.lit("), open "), F.col("nx").cast("string"))
     li = load(spark, sf, "lineitem", "l_partkey", "l_returnflag")
     part = load(spark, sf, "part", "p_partkey", "p_name")
     ret = li.filter(F.col("l_returnflag") == "R").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("c"))
@@ -90,8 +90,8 @@ def _q(s):
 REPORT_CTES = """
 oh AS (SELECT count(*) AS n, min(o_orderdate)::DATE::VARCHAR AS mn, max(o_orderdate)::DATE::VARCHAR AS mx FROM orders),
 pr AS (SELECT o_orderpriority AS p, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS nf,
-              sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS no FROM orders GROUP BY 1),
-pr2 AS (SELECT p, nf, no, 'F' AS team1, 'O' AS team2, CASE WHEN no > nf THEN 'O' ELSE 'F' END AS winner FROM pr),
+              sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS no, count(*) AS n FROM orders GROUP BY 1),
+pr2 AS (SELECT p, nf, no, (n - nf - no)::BIGINT AS nx, 'F' AS team1, 'O' AS team2, CASE WHEN no > nf THEN 'O' ELSE 'F' END AS winner FROM pr),
 ret AS (SELECT l_partkey, count(*) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 tp AS (SELECT r.l_partkey, r.c, p.p_name FROM (SELECT * FROM ret ORDER BY c DESC, l_partkey LIMIT 5) r
        JOIN part p ON p.p_partkey = r.l_partkey),
@@ -100,7 +100,7 @@ ln AS (SELECT 0 AS s, 0 AS l, 'TOURNAMENT: ' || n::VARCHAR || ' orders (' || mn
        UNION ALL SELECT 1, 0, 'RESULTS:'
        UNION ALL SELECT 1, row_number() OVER (ORDER BY p),
               '- ' || p || ': ' || winner || ' ' || nf::VARCHAR || '-' || no::VARCHAR || ' (vs '
-              || CASE WHEN winner <> team1 THEN team1 ELSE team2 END || ')' FROM pr2
+              || CASE WHEN winner <> team1 THEN team1 ELSE team2 END || '), open ' || nx::VARCHAR FROM pr2
        UNION ALL SELECT 1, 99, ''
        UNION ALL SELECT 2, 0, 'NOTABLE STATS:'
        UNION ALL SELECT 2, 1, 'Most returned: ' || string_agg(p_name || ' (' || c::VARCHAR || ')', ', '
