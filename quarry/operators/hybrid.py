@@ -31,7 +31,7 @@ def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float
     whose ``route_col`` equals it (after whole-corpus normalisation)."""
     store = store or sc.open_store(collection, route_col)
     parts = [sc.candidates(store, block, sc.bounds(store, block), alpha, threshold, k)
-             for block in sc.blocks(questions, store.index)]
+             for block in sc.blocks(questions, store)]
     return sc.union_all(parts, questions.sparkSession, sc.CANDIDATE_SCHEMA)
 
 

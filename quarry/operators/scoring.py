@@ -36,6 +36,17 @@ class Store:
     """``rows``: doc_id, tokens, v, rv; ``index``: the idf table and statistics."""
     rows: DataFrame
     index: lx.BM25Index
+    _avgdl: float | None = None
+
+    @property
+    def avgdl(self) -> float:
+        if self._avgdl is None:
+            self._avgdl = float(self.index.stats.first()["avgdl"] or 0.0)
+        return self._avgdl
+
+
+#: Stores that this application has opened, by path; a path is named after its content.
+_OPEN: dict[tuple, Store] = {}
 
 
 def open_store(collection: DataFrame, route_col: str | None = None,
@@ -54,11 +65,17 @@ def open_store(collection: DataFrame, route_col: str | None = None,
 
     n, h = memo_fingerprint(narrow, compute)
     path = f"{index_dir(spark)}/store/{n}-{h:016x}"
+    known = _OPEN.get((spark.sparkContext.applicationId, path))
+    if known is not None and index is None:
+        return known
     if not is_complete(spark, path):
         (narrow.select(F.col("doc_id").cast("long").alias("doc_id"), tokens("text").alias("tokens"), "v", "rv")
                .write.mode("overwrite").parquet(f"{path}/rows"))
         mark_complete(spark, path)
-    return Store(spark.read.parquet(f"{path}/rows"), index or lx.stored_bm25_index(collection.select("doc_id", "text")))
+    store = Store(spark.read.parquet(f"{path}/rows"), index or lx.stored_bm25_index(collection.select("doc_id", "text")))
+    if index is None:
+        _OPEN[spark.sparkContext.applicationId, path] = store
+    return store
 
 
 @dataclass
@@ -77,22 +94,26 @@ class Block:
     routes: list | None = None
 
 
-def blocks(questions: DataFrame, index: lx.BM25Index, most: int = QUESTIONS):
+def blocks(questions: DataFrame, store: Store, most: int = QUESTIONS):
     """Blocks of about ``most`` questions at most (qid, question, embedding and route_value if there
     are such columns), split by a hash of the id."""
-    stats = index.stats.first()
+    index = store.index
     routed = "route_value" in questions.columns
     vector = F.col("embedding") if "embedding" in questions.columns else F.lit(None)
     q = questions.select(F.col("qid").cast("long").alias("qid"), "question",
                          vector.cast("array<double>").alias("v"),
                          (F.col("route_value") if routed else F.lit(None).cast("string")).alias("rv"))
-    n = q.count()
-    parts = max(1, math.ceil(1.2 * n / most)) if n > most else 1
-    for i in range(parts):
+    pending = [(1, 0)]
+    while pending:
+        parts, i = pending.pop()
         some = q if parts == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
         asked = lx.question_terms(some).join(index.idf.select("term", "idf"), "term")
         by_q = asked.groupBy("qid").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("t"))
-        rows = some.select("qid", "v", "rv").join(by_q, "qid", "left").orderBy("qid").collect()
+        rows = some.select("qid", "v", "rv").join(by_q, "qid", "left").limit(most + 1).collect()
+        if len(rows) > most:            # too many for a block: halves by one more bit of the hash
+            pending += [(2 * parts, i), (2 * parts, i + parts)]
+            continue
+        rows.sort(key=lambda r: r["qid"])
         if not rows:
             continue
         dim = max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
@@ -109,7 +130,7 @@ def blocks(questions: DataFrame, index: lx.BM25Index, most: int = QUESTIONS):
         yield Block(np.array([r["qid"] for r in rows], dtype=np.int64), vectors, terms,
                     np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
                     np.array([j for j, _ in flat], dtype=np.int64), np.array([w for _, w in flat]),
-                    index.k1, index.b, float(stats["avgdl"] or 0.0), [r["rv"] for r in rows] if routed else None)
+                    index.k1, index.b, store.avgdl, [r["rv"] for r in rows] if routed else None)
 
 
 def _scored(batches, block: Block, dense: bool):
@@ -253,7 +274,7 @@ CANDIDATE_SCHEMA = "qid long, doc_id long, score double, b double, sn double"
 def bm25_top_k(store: Store, questions: DataFrame, k: int = 5) -> DataFrame:
     """(qid, rk, doc_id, score): the k best documents of the whole corpus by rounded BM25 score,
     ties by id; documents without a hit score 0 and are ranked too."""
-    parts = [candidates(store, b, None, 1.0, None, k) for b in blocks(questions, store.index)]
+    parts = [candidates(store, b, None, 1.0, None, k) for b in blocks(questions, store)]
     found = union_all(parts, questions.sparkSession, CANDIDATE_SCHEMA)
     scored = found.select("qid", "doc_id", F.round("score", 6).alias("score"))
     return lx.rank_within(scored, "qid", [F.desc("score"), F.asc("doc_id")], k).select("qid", "rk", "doc_id", "score")

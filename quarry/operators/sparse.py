@@ -45,11 +45,11 @@ def sparse_top_k(doc_w: DataFrame, q_w: DataFrame, questions: DataFrame, k: int
     by score rounded to 6 digits, then doc_id); a question without any positive
     score gets one row with ``no_match`` true."""
     from quarry.session import materialize
-    # scored once: the ranking and the no-match check both read it
-    s = materialize(sparse_scores(doc_w, q_w).filter(F.col("score") > 0)
-                    .withColumn("score", F.round("score", 6)), "sparse-scores")
-    top = rank_within(s, "qid", [F.desc("score"), F.asc("doc_id")], k).withColumn("no_match", F.lit(False))
-    none = questions.select("qid").join(s.select("qid").distinct(), "qid", "left_anti").select(
+    s = sparse_scores(doc_w, q_w).filter(F.col("score") > 0).withColumn("score", F.round("score", 6))
+    # what is kept for both branches is the ranking, k rows per question, not the scored pairs
+    top = materialize(rank_within(s, "qid", [F.desc("score"), F.asc("doc_id")], k), "sparse-top")
+    none = questions.select("qid").join(top.select("qid").distinct(), "qid", "left_anti").select(
         "qid", F.lit(None).cast("bigint").alias("rk"), F.lit(None).cast("bigint").alias("doc_id"),
         F.lit(None).cast("double").alias("score"), F.lit(True).alias("no_match"))
-    return top.select("qid", "rk", "doc_id", "score", "no_match").unionByName(none)
+    return top.withColumn("no_match", F.lit(False)).select(
+        "qid", "rk", "doc_id", "score", "no_match").unionByName(none)

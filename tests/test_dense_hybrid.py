@@ -39,7 +39,7 @@ def test_identical_distances_give_zero_similarity(spark):
                                  "doc_id long, text string, embedding array<float>")
     q = spark.createDataFrame([(9, "zzz", [0.0, 1.0])], "qid long, question string, embedding array<float>")
     store = sc.open_store(coll)
-    block = next(sc.blocks(q, store.index))
+    block = next(sc.blocks(q, store))
     c = sc.candidates(store, block, sc.bounds(store, block), 0.0, None, 5)
     assert {r["sn"] for r in c.collect()} == {0.0}
     # nothing passes the hybrid threshold: no lexical hit, no semantic spread
@@ -109,7 +109,7 @@ def test_block_split_gives_same_results(spark, hybrid_runs, monkeypatch):
     coll, qs, top15, _ = hybrid_runs
     orig, blocks = dn.question_blocks, sc.blocks
     monkeypatch.setattr(dn, "question_blocks", lambda q, **kw: orig(q, max_rows=7))
-    monkeypatch.setattr(sc, "blocks", lambda q, index: blocks(q, index, 7))
+    monkeypatch.setattr(sc, "blocks", lambda q, store: blocks(q, store, 7))
     monkeypatch.setattr(sc, "CELLS", 100)
     monkeypatch.setattr(dn, "CELLS", 100)
     assert set(rows(hy.hybrid_search(coll, qs, k=15), "qid", "rk", "doc_id", "score")) == set(top15)
