@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import count_words, materialize, text_key, text_or_empty
+from quarry.llm.common import count_words, materialize, shuffle_partitions, text_key, text_or_empty
 
 MOST_SOURCES = 1_000_000
 #: Rows that a bucket of the stream's order holds on average.
@@ -165,7 +165,7 @@ class Mix:
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
             text_key(text).alias("key"), count_words(F.col(text_col)).alias("size")), "llm-mix-sizes")
         rows = narrow.count()
-        buckets = max(16, 1 << max(0, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
+        buckets = max(256, 1 << max(0, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
         order = F.xxhash64(F.lit(seed), "doc_id", "key")
         keyed = (narrow.withColumn("order", order)
                        .withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int")))
@@ -233,7 +233,8 @@ class Mix:
                         "source_no": src.astype(np.int32), "epoch": epoch.astype(np.int32), "block": block,
                         "words": np.where(k == p.slots[src] - 1, p.last[src], block_words)})
 
-        return entries.mapInPandas(slot_rows, schema)
+        # few rows, but each stands for many slots: dealt out before they unfold
+        return entries.repartition(shuffle_partitions(entries), "shard").mapInPandas(slot_rows, schema)
 
     def _in_blocks(self) -> DataFrame:
         """A row per document and block of its source that it has words in."""
@@ -250,7 +251,7 @@ class Mix:
                      .agg(F.collect_list("words").alias("uses")))  # one for each epoch
         words = F.aggregate(F.coalesce("uses", F.array().cast("array<bigint>")), F.lit(0).cast("long"),
                             lambda a, w: a + F.greatest(F.least(w, F.col("past")) - F.col("first"), F.lit(0)))
-        some = (self._in_blocks().join(per_block, ["source_no", "block"], "left")
+        some = (self._in_blocks().join(per_block.hint("merge"), ["source_no", "block"], "left")
                 .groupBy("source_no", "start", "doc_id", "size", "source_size", "target")
                 .agg(F.sum(words).alias("taken")))
         none = self.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -262,7 +263,7 @@ class Mix:
         doc_id, source, key, start, size, from_word, to_word (of the document, end
         exclusive)."""
         at = F.col("block") * self.block_words - F.col("start")
-        return (self._in_blocks().join(self.slots, ["source_no", "block"])
+        return (self._in_blocks().join(self.slots.hint("merge"), ["source_no", "block"])
                 .withColumn("from_word", at + F.col("first"))
                 .withColumn("to_word", at + F.least("past", "words"))
                 .where("to_word > from_word")
