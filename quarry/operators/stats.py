@@ -48,12 +48,11 @@ def ordered_members(df: DataFrame, group_col: str, value_col: str, ord_col: str,
 
 
 def in_role_order(members: DataFrame, group_col: str, order=ROLE_ORDER) -> DataFrame:
-    """Number the groups in the fixed ``order`` (``role_ord``); groups outside the list
-    follow it, so no member vanishes."""
+    """Keep the groups named in ``order`` and number them in that fixed order (``role_ord``);
+    groups outside the list are not shown."""
     spark = members.sparkSession
     roles = spark.createDataFrame(list(enumerate(order)), f"role_ord int, {group_col} string")
-    numbered = members.join(F.broadcast(roles), group_col, "left")  # fixed, tiny configuration table
-    return numbered.withColumn("role_ord", F.coalesce("role_ord", F.lit(len(order))))
+    return members.join(F.broadcast(roles), group_col)  # fixed, tiny configuration table
 
 
 def join_members(members: DataFrame, group_col: str, pos_col: str, name_col: str,

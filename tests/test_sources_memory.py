@@ -10,7 +10,10 @@ from quarry.operators import memory as mem
 from quarry.plans.answering import parse_grade
 from quarry.sources import files as fl
 from quarry.sources import snapshots as sn
-from quarry.streaming.memory import _is_clear
+
+
+def _is_clear(role, text):
+    return role == "user" and isinstance(text, str) and text.strip().lower() == "clear"
 
 
 def listing(children):
