@@ -177,19 +177,19 @@ def _running(sizes: Column) -> Column:
 
 
 def _ends(no: int) -> Column:
-    """Lengths from one match's end to the next one's."""
-    return F.transform(f"m{no}", lambda m, i: F.length(m) + F.length(F.get(f"g{no}", i)))
+    """Lengths from one match's end to the next one's.  (Arrays go in as arguments: what a lambda
+    refers to by itself may be computed anew for every element.)"""
+    before = F.slice(f"g{no}", F.lit(1), F.size(f"m{no}"))
+    return F.zip_with(f"m{no}", before, lambda m, g: F.length(m) + F.length(g))
 
 
 def _passing(no: int, rule: Rule) -> Column:
     """The spans of a rule's matches that are long enough."""
-    spans = F.transform(f"m{no}", lambda m, i: F.struct(
-        (F.get(f"e{no}", i) - F.length(m)).alias("start"), F.lit(no).alias("rule_no"),
-        F.get(f"e{no}", i).alias("stop"), F.lit(rule.kind).alias("kind"),
-        F.length(F.get(f"v{no}", i)).alias("checked")))
-    return F.transform(F.filter(spans, lambda s: s["checked"] >= rule.least), lambda s: F.struct(
-        s["start"].alias("start"), s["rule_no"].alias("rule_no"), s["stop"].alias("stop"),
-        s["kind"].alias("kind")))
+    m, e, v = f"m{no}", f"e{no}", f"v{no}"
+    long_enough = F.filter(F.arrays_zip(m, e, v), lambda x: F.length(x[v]) >= rule.least)
+    return F.transform(long_enough, lambda x: F.struct(
+        (x[e] - F.length(x[m])).alias("start"), F.lit(no).alias("rule_no"), x[e].alias("stop"),
+        F.lit(rule.kind).alias("kind")))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
@@ -254,9 +254,11 @@ def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: st
                     text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with every secret in the text replaced by a mark;
     ``n_chars`` (if there is such a column) follows a text that changed."""
-    found = find_secrets(docs, rules, id_col, text_col, keep=tuple(docs.columns))
-    old, new = F.col(f"kept.`{text_col}`"), redacted(F.col("text"), F.col("spans"))
-    found = found.withColumn("new", F.when(old.isNull(), old).otherwise(new))
+    marked = docs.withColumn("text_was_null_", F.col(text_col).isNull())
+    others = tuple(c for c in marked.columns if c != text_col)
+    found = find_secrets(marked, rules, id_col, text_col, keep=others)
+    new = redacted(F.col("text"), F.col("spans"))
+    found = found.withColumn("new", F.when(F.col("kept.text_was_null_"), F.lit(None)).otherwise(new))
     return found.select(*[
         F.col("new").alias(c) if c == text_col else
         F.when(F.size("spans") > 0, F.length("new").cast(t)).otherwise(F.col(f"kept.`{c}`")).alias(c) if c == "n_chars"
