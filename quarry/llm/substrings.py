@@ -17,8 +17,8 @@ prefix:
   and joined back, which Spark can split.
 
 Copies of a text are entered once per task; texts that occur twice are removed whole (if they have a
-window).  Word hashes have 64 bits; a node is told by the 64-bit hash of its prefix and 40 further
-bits.
+window).  Word hashes have 64 bits; a node is told by the 64-bit hash of its prefix and the 64-bit
+fingerprint of the whole window: windows under one frequent prefix have only the fingerprint.
 
 Defined results: null, empty and blank texts have no words; a text shorter than a window loses
 nothing; a null id is kept; repeated rows are documents of their own and repeat each other; an empty
@@ -44,7 +44,7 @@ PREFIX = 8
 #: prefix in the sample, and in all, from which it counts as frequent; the most there can be.
 SAMPLE_TEXTS, SAMPLE_EVERY = 20_000, 5_000
 FREQUENT, SUBTREE, MOST_FREQUENT = 100, 50_000, 100_000
-BYTES = 5           # of a window's fingerprint
+BYTES = 8           # of a window's fingerprint
 _U = np.uint64
 
 
@@ -121,7 +121,7 @@ def _records(window: int):
                 if not len(own):
                     continue
                 text, first, count, g, whole, ends = window_suffixes(*word_hashes(own), window)
-                data = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES])
+                data = np.ascontiguousarray(whole.astype("<u8"))
                 prints = pa.Array.from_buffers(pa.binary(), len(g), [
                     None, pa.py_buffer((ends * BYTES).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
@@ -135,12 +135,10 @@ def _windows(table: pa.Table):
     """(record, position in it, fingerprint) of every window of a table of records."""
     column = table.column("prints").combine_chunks()
     ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]].reshape(-1, BYTES)
-    prints = np.zeros((len(data), 8), dtype=np.uint8)
-    prints[:, :BYTES] = data
+    prints = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]].view("<u8")
     n = np.diff(ends) // BYTES
     record = np.repeat(np.arange(len(n)), n)
-    return record, np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n), prints.view("<u8")[:, 0]
+    return record, np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n), prints
 
 
 def _subtrees(batches):

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import queries, substrings
@@ -63,3 +64,19 @@ def test_query(spark):
 
 def test_empty(spark):
     assert substrings.remove_repeats(documents(spark, EDGE_ROWS).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [0, 10**6])
+def test_windows_that_share_40_bits(spark, monkeypatch, frequent):
+    """Different windows of one prefix whose fingerprints agree in 40 bits repeat nothing."""
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
+    shared = "all of these words stand before the last "
+    pairs = [(100873, 987735), (925209, 1162741), (1328773, 2241422)]
+    low = substrings._U(2**40 - 1)
+    rows = []
+    for pair in pairs:
+        texts = [f"{shared}w{n}" for n in pair]
+        g, whole = substrings.window_suffixes(*substrings.word_hashes(pa.array(texts)), 9)[3:5]
+        assert g[0] == g[1] and whole[0] & low == whole[1] & low
+        rows += [(n, t, "a") for n, t in zip(pair, texts)]
+    assert result(substrings.remove_repeats(documents(spark, rows), 9)) == brute([(i, t) for i, t, _ in rows], 9)
