@@ -29,6 +29,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,16 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_batches, materialize
 
 SALTS = 64
-#: Children of an element that a wrapper tells apart; more fold into the last group.
-WIDTH = 200
+#: Children of an element from which a wrapper folds those of one label, then the rarest optional ones of
+#: one tag, into one; and from which also required ones.
+WIDTH, MOST_WIDTH = 200, 2000
 
 # Kinds of elements, and words of class, id and role.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt "
                    "ruby s samp small span strike strong sub sup time tt u var nobr picture".split())
+WHOLE = frozenset(("#page", "html", "body"))
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select option dialog menu head fieldset".split())
 BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement "
@@ -54,6 +57,8 @@ BOILERPLATE_WORDS = frozenset(
 HEADER_WORDS = frozenset("header masthead topbar banner".split())
 CONTENT_WORDS = ("articlebody", "entry-content", "post-content", "article-content", "article-body", "post-body",
                  "story-body", "main-content", "content", "article", "post", "story", "entry")
+#: Names that a group's elements go by: boilerplate, and the ranks of places of an article.
+GROUP_NAMES = {"": "", "x": "ad", "0": "", "1": "entry-content", "2": "main", "3": "content"}
 CLOSED_BY = {"p": None, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"),
              "th": ("td", "th", "tr"), "tr": ("tr",), "option": ("option",)}
 
@@ -156,7 +161,25 @@ def blocks(node: Node, in_article: bool = True):
 
 
 def text_of(nodes: list[Node]) -> str:
-    return " ".join(b for n in nodes for b in blocks(n) if b)
+    return " ".join(b for n in nodes for b in blocks(n, n.tag not in WHOLE) if b)
+
+
+def rank(node: Node) -> int | None:
+    """How surely an element says that it holds the article: 0 is surest."""
+    if node.tag == "article":
+        return 0
+    if node.tag == "main" or "main" in node.words():
+        return 2
+    names = {*node.names.split(), *node.names.replace("_", "-").split()}
+    named = [i for i, c in enumerate(CONTENT_WORDS) if c in names]
+    return None if not named else 1 if named[0] < 8 else 3
+
+
+def kind(node: Node) -> str:
+    """What a group keeps apart."""
+    if node.boilerplate(False):
+        return "x"
+    return "" if (r := rank(node)) is None else str(r)
 
 
 # -- wrappers: [label, tag, names, required, repeated, pages, chars, link chars, constant, children] ---------
@@ -169,7 +192,7 @@ def skeleton(node: Node) -> list:
     texts = [c for c in node.children if isinstance(c, tuple) and not c[0].isspace()]
     whole = " ".join("".join(t for t, _ in texts).split())
     return [node.label, node.tag, node.names, True, False, 1, sum(len(t) for t, _ in texts),
-            sum(len(t) for t, a in texts if a), whole[:200],
+            sum(len(t) for t, a in texts if a), whole if len(whole) <= 200 else f"{len(whole)} {xxhash.xxh3_128_hexdigest(whole)}",
             fold([skeleton(c) for c in node.children if isinstance(c, Node)])]
 
 
@@ -190,7 +213,7 @@ def fold(children: list) -> list:
                 out[i:i + 2 * period] = [repeated(merge(a, b)) for a, b in zip(now, then)]
             else:
                 i += 1
-    return out[:WIDTH]
+    return narrow(out)
 
 
 def repeated(node: list) -> list:
@@ -220,7 +243,37 @@ def align(a: list, b: list) -> list:
         out += [optional(c) for c in a[i:block.a]] + [optional(c) for c in b[j:block.b]]
         out += [merge(p, q) for p, q in zip(a[block.a:block.a + block.size], b[block.b:block.b + block.size])]
         i, j = block.a + block.size, block.b + block.size
-    return out[:WIDTH]
+    return narrow(out)
+
+
+def grouped(w: list) -> list:
+    """An element as one of a group, which has a tag and a kind; no element's own label starts with "*"."""
+    k = kind(_as_node(w))
+    return [f"*{w[TAG]}.{k}", w[TAG], GROUP_NAMES[k], False, True, *w[PAGES:]]
+
+
+def by_label(children: list) -> list:
+    """One repeated child for those of one label, where the first of them stands."""
+    first: dict[str, list] = {}
+    for c in children:
+        if (had := first.get(c[LABEL])) is not None:
+            required = had[REQUIRED] or c[REQUIRED]
+            c = repeated(merge(had, c))
+            c[REQUIRED] = required
+        first[c[LABEL]] = c
+    return list(first.values())
+
+
+def narrow(children: list) -> list:
+    """Many children become fewer; none is dropped."""
+    if len(children) <= WIDTH:
+        return children
+    out = by_label(children)
+    rare = sorted(c[PAGES] for c in out if not c[REQUIRED] and c[LABEL][0] != "*")
+    if len(out) > WIDTH and rare:
+        most = rare[min(len(out) - WIDTH // 2, len(rare)) - 1]
+        out = by_label([grouped(c) if not c[REQUIRED] and c[PAGES] <= most else c for c in out])
+    return out if len(out) <= MOST_WIDTH else by_label([grouped(c) for c in out])
 
 
 def _as_node(w: list) -> Node:
@@ -238,35 +291,27 @@ def slot_chars(w: list, pages: int, in_article: bool = False) -> float:
     return max(own, 0) + sum(slot_chars(c, pages, in_article) for c in w[CHILDREN])
 
 
-def article_place(wrapper: list) -> list[str]:
-    """Labels from the page's root to the element that holds the article."""
+def article_place(wrapper: list) -> list:
+    """Labels from the page's root to the element that holds the article; for a group, a list of its label
+    and those beside it."""
     pages = max(wrapper[PAGES], 1)
     found: list[tuple] = []
 
-    def walk(w, path):
+    def walk(w, path, beside):
         node = _as_node(w)
         if path and node.boilerplate(False):
             return
-        path = [*path, w[LABEL]]
-        rank = None
-        if w[TAG] == "article":
-            rank = 0
-        elif w[TAG] == "main" or "main" in node.words():
-            rank = 2
-        else:
-            named = [i for i, c in enumerate(CONTENT_WORDS) if c in w[NAMES_AT].split() or c in node.names.replace("_", "-").split()]
-            if named:
-                rank = 1 if named[0] < 8 else 3
-        if rank is not None:
-            found.append((rank, -slot_chars(w, pages, True), len(path), path))
+        path = [*path, w[LABEL] if w[LABEL][0] != "*" else [w[LABEL], *(c[LABEL] for c in beside if c is not w)]]
+        if (r := rank(node)) is not None:
+            found.append((r, -slot_chars(w, pages, True), len(path), path))
         for c in w[CHILDREN]:
-            walk(c, path)
+            walk(c, path, w[CHILDREN])
 
-    walk(wrapper, [])
+    walk(wrapper, [], [])
     found = [f for f in found if f[1] < 0]
     if found:
         # of the best kind, the one with most text
-        return min(found)[3]
+        return min(found, key=lambda f: (*f[:3], [str(p) for p in f[3]]))[3]
     path, now = [wrapper[LABEL]], wrapper
     while True:
         each = [(slot_chars(c, pages), i) for i, c in enumerate(now[CHILDREN])]
@@ -274,25 +319,31 @@ def article_place(wrapper: list) -> list[str]:
         if not each or max(each)[0] < 0.7 * max(total, 1) or not now[CHILDREN][max(each)[1]][CHILDREN]:
             return path
         now = now[CHILDREN][max(each)[1]]
+        if now[LABEL][0] == "*":        # boxes with names of their own: the text is in what holds them
+            return path
         path.append(now[LABEL])
 
 
-def at_place(root: Node, path: list[str]) -> list[Node]:
+def at_place(root: Node, path: list) -> list[Node]:
     """Elements of a page at a place."""
     now = [root]
-    for label in path[1:]:
-        now = [c for n in now for c in n.children if isinstance(c, Node) and c.label == label]
+    for step in path[1:]:
+        inner = [c for n in now for c in n.children if isinstance(c, Node)]
+        if isinstance(step, str):
+            now = [c for c in inner if c.label == step]
+        else:
+            now = [c for c in inner if c.label not in step and step[0] == f"*{c.tag}.{kind(c)}"]
     return now
 
 
-def main_text(page: str | None, place: list[str] | None) -> str:
+def main_text(page: str | None, place: list | None) -> str:
     root = parse(page or "")
     nodes = at_place(root, place) if place else []
     text = text_of(nodes) if nodes else ""
     if not text:
         own = article_place(skeleton(root))
         nodes = at_place(root, own)
-        text = text_of(nodes) if len(own) > 1 else " ".join(b for b in blocks(root, False) if b)
+        text = text_of(nodes)
     return text
 
 

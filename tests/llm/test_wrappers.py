@@ -90,3 +90,56 @@ def test_alignment_makes_optional_and_repeated_groups():
 
 def test_empty(spark):
     assert wrappers.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def read(spark, pages, parts=3):
+    """Text by page of one host's (html, main text), and what it should be."""
+    table = spark.createDataFrame([(i, "http://h.example/", p) for i, (p, _) in enumerate(pages)], SCHEMA).repartition(parts)
+    return {r["page_id"]: r["text"] for r in wrappers.extract(table).collect()}, {i: t for i, (_, t) in enumerate(pages)}
+
+
+def letters(i):
+    return "".join("qrstuvwxyz"[int(d)] for d in f"{i:04d}")
+
+
+def test_pages_with_names_of_their_own(spark):
+    """More different boxes before the article than a wrapper tells apart."""
+    rng, pages = random.Random(3), []
+    for i in range(700):
+        text = prose(rng, 20)
+        kind = f' class="{letters(i)}"' if i % 2 else ""
+        pages.append((f"<body><header><p>{prose(rng, 5)}</p></header><div class='box-{letters(i)}'><p>{prose(rng, 9)}</p></div>"
+                      f"<article{kind}><header>{text}</header></article></body>", text))
+    got, want = read(spark, pages)
+    assert got == want
+    w = None
+    for p, _ in pages:
+        own = wrappers.skeleton(wrappers.parse(p))
+        w = own if w is None else wrappers.merge(w, own)
+    assert wrappers.article_place(w)[:3] == ["#page", "body", "article"]
+    assert len(w[wrappers.CHILDREN][0][wrappers.CHILDREN]) <= wrappers.WIDTH
+    assert sum(c[wrappers.PAGES] for c in w[wrappers.CHILDREN][0][wrappers.CHILDREN]) == 3 * 700
+
+
+def test_one_page_with_many_children():
+    boxes = "".join(f"<div class='{letters(i)}'>x</div>" for i in range(500))
+    assert wrappers.article_place(wrappers.skeleton(wrappers.parse(f"<body>{boxes}<article>text</article></body>")))[-1] == "article"
+
+
+def test_texts_that_begin_alike_are_no_constants(spark):
+    rng, start, pages = random.Random(4), "Reported by our own staff. " * 10, []
+    for _ in range(20):
+        text = start + prose(rng, 60)
+        pages.append((f"<body><div class='l'><p>{prose(rng, 9)}</p></div><div class='r'><p>{text}</p></div></body>", text))
+    got, want = read(spark, pages)
+    assert got == want
+
+
+def test_whole_page_is_read_without_its_header(spark):
+    rng, pages = random.Random(5), []
+    for _ in range(20):
+        one, two = prose(rng, 30), prose(rng, 30)
+        pages.append((f"<html><body><header><p>{prose(rng, 3)}</p></header><div class='p'><p>{one}</p></div>"
+                      f"<div class='q'><p>{two}</p></div></body></html>", f"{one} {two}"))
+    got, want = read(spark, pages)
+    assert got == want
