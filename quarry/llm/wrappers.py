@@ -54,6 +54,15 @@ BOILERPLATE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus "
     "reply replies respond discussion related recommended recommendations share sharing social widget toolbar "
     "pagination pager paging search paywall complementary contentinfo".split())
+#: From these on, and in names that end in those, a name tells what an element has or shows, not what it is.
+STATES = frozenset("has have with without no not hide show supports enable disable".split())
+TOPICS = frozenset(("category", "tag"))      # the same, of an element that may hold the article
+STATE_ENDS = frozenset("enabled disabled open opened closed".split())
+#: Words of regions that hold texts of others, however long; names and elements that are such a region by themselves.
+OTHERS_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended "
+                         "recommendations".split())
+REGION_NAMES = frozenset("sidebar aside footer nav navbar navigation menu".split())
+REGION_TAGS = BOILERPLATE_TAGS - {"form", "fieldset"} | {"header"}
 HEADER_WORDS = frozenset("header masthead topbar banner".split())
 CONTENT_WORDS = ("articlebody", "entry-content", "post-content", "article-content", "article-body", "post-body",
                  "story-body", "main-content", "content", "article", "post", "story", "entry")
@@ -71,10 +80,10 @@ NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\s*(?:=\s*("[^"]*"
 
 class Node:
     """An element: its label, and children that are elements or texts (with a mark for links)."""
-    __slots__ = ("tag", "label", "names", "children", "dropped")
+    __slots__ = ("tag", "label", "names", "children", "dropped", "layout")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.children, names, self.dropped = tag, [], [], False
+        self.tag, self.children, names, self.dropped, self.layout = tag, [], [], False, False
         if attrs and not attrs.isspace():
             for name, value in NAMES.findall(attrs):
                 value = value.strip("\"'").lower()
@@ -88,12 +97,30 @@ class Node:
     def words(self) -> frozenset:
         return frozenset(re.split(r"[^a-z]+", self.names))
 
+    def marks(self) -> set:
+        """Words that say what the element is."""
+        out: set = set()
+        states = STATES | TOPICS if rank(self) is not None else STATES
+        for name in self.names.split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if len(words) > 1 and words[-1] in STATE_ENDS:
+                continue
+            out.update(words[:next((i for i, w in enumerate(words[:-1]) if w in states), len(words))])
+        return out
+
+    def region(self) -> bool:
+        return self.tag in REGION_TAGS or bool(REGION_NAMES & {*self.names.split()} or OTHERS_WORDS & self.marks())
+
     def boilerplate(self, in_article: bool) -> bool:
-        if self.dropped or self.tag in BOILERPLATE_TAGS:
+        if self.tag in WHOLE:
+            return False
+        if self.dropped or not self.layout and self.tag in BOILERPLATE_TAGS:
             return True
+        if self.layout:
+            return False
         if not in_article and self.tag == "header":
             return True
-        words = self.words() if self.names else frozenset()
+        words = self.marks() if self.names else frozenset()
         return bool(words & BOILERPLATE_WORDS or not in_article and words & HEADER_WORDS)
 
 
@@ -282,40 +309,80 @@ def _as_node(w: list) -> Node:
     return n
 
 
-def slot_chars(w: list, pages: int, in_article: bool = False) -> float:
+def own_chars(w: list, pages: int) -> int:
+    return max(0 if w[CONSTANT] and pages > 2 and w[PAGES] >= pages else w[CHARS] - 2 * w[LINKS], 0)
+
+
+def slot_chars(w: list, pages: int, in_article: bool = False, layout: frozenset = frozenset()) -> float:
     """Characters in the slots of a wrapper's element, less those in links; a text that is the same on
-    several pages is no slot."""
-    if _as_node(w).boilerplate(in_article):
+    several pages is no slot.  ``layout``: ids of elements that are no boilerplate whatever they are called."""
+    if id(w) not in layout and _as_node(w).boilerplate(in_article):
         return 0.0
-    own = 0 if w[CONSTANT] and pages > 2 and w[PAGES] >= pages else w[CHARS] - 2 * w[LINKS]
-    return max(own, 0) + sum(slot_chars(c, pages, in_article) for c in w[CHILDREN])
+    return own_chars(w, pages) + sum(slot_chars(c, pages, in_article, layout) for c in w[CHILDREN])
+
+
+def step(w: list, beside: list):
+    return w[LABEL] if w[LABEL][0] != "*" else [w[LABEL], *(c[LABEL] for c in beside if c is not w)]
+
+
+def layouts(wrapper: list) -> list[tuple[list, list]]:
+    """(path, element) of elements that go by a name or tag of boilerplate, but hold most of the text: what
+    the pages are laid out in.  Regions of other texts are none, nor do they count."""
+    pages, out = max(wrapper[PAGES], 1), []
+
+    def chars(w):
+        return 0 if _as_node(w).region() else own_chars(w, pages) + sum(map(chars, w[CHILDREN]))
+
+    least = chars(wrapper) / 2
+
+    def walk(w, path, beside):
+        if chars(w) <= least:
+            return
+        path = [*path, step(w, beside)]
+        if _as_node(w).boilerplate(False):
+            out.append((path, w))
+        for c in w[CHILDREN]:
+            walk(c, path, w[CHILDREN])
+
+    walk(wrapper, [], [])
+    return out
 
 
 def article_place(wrapper: list) -> list:
     """Labels from the page's root to the element that holds the article; for a group, a list of its label
     and those beside it."""
     pages = max(wrapper[PAGES], 1)
+    layout = frozenset(id(w) for _, w in layouts(wrapper))
     found: list[tuple] = []
+    inside: list[tuple] = []        # places below boilerplate, but one for a page and not among others' texts
 
-    def walk(w, path, beside):
+    def walk(w, path, beside, places):
         node = _as_node(w)
-        if path and node.boilerplate(False):
+        if id(w) not in layout and node.boilerplate(False):
+            if rank(node) is not None or OTHERS_WORDS & node.marks():
+                return
+            places = inside
+        if places is inside and w[REPEATED]:
             return
-        path = [*path, w[LABEL] if w[LABEL][0] != "*" else [w[LABEL], *(c[LABEL] for c in beside if c is not w)]]
+        path = [*path, step(w, beside)]
         if (r := rank(node)) is not None:
-            found.append((r, -slot_chars(w, pages, True), len(path), path))
+            places.append((r, -slot_chars(w, pages, True, layout), len(path), path))
         for c in w[CHILDREN]:
-            walk(c, path, w[CHILDREN])
-
-    walk(wrapper, [], [])
-    found = [f for f in found if f[1] < 0]
-    if found:
-        # of the best kind, the one with most text
-        return min(found, key=lambda f: (*f[:3], [str(p) for p in f[3]]))[3]
+            walk(c, path, w[CHILDREN], places)
+
+    walk(wrapper, [], [], found)
+    # of the best kind, the one with most text
+    first = lambda places: min((f for f in places if f[1] < 0), default=None, key=lambda f: (*f[:3], [str(p) for p in f[3]]))
+    best, below = first(found), first(inside)
+    # an element with a better place, and more text in it than there is outside, is no boilerplate
+    if below and (not best or below[0] < best[0]) and -below[1] > slot_chars(wrapper, pages, False, layout):
+        return below[3]
+    if best:
+        return best[3]
     path, now = [wrapper[LABEL]], wrapper
     while True:
-        each = [(slot_chars(c, pages), i) for i, c in enumerate(now[CHILDREN])]
-        total = slot_chars(now, pages)
+        each = [(slot_chars(c, pages, False, layout), i) for i, c in enumerate(now[CHILDREN])]
+        total = slot_chars(now, pages, False, layout)
         if not each or max(each)[0] < 0.7 * max(total, 1) or not now[CHILDREN][max(each)[1]][CHILDREN]:
             return path
         now = now[CHILDREN][max(each)[1]]
@@ -327,23 +394,28 @@ def article_place(wrapper: list) -> list:
 def at_place(root: Node, path: list) -> list[Node]:
     """Elements of a page at a place."""
     now = [root]
-    for step in path[1:]:
+    for label in path[1:]:
         inner = [c for n in now for c in n.children if isinstance(c, Node)]
-        if isinstance(step, str):
-            now = [c for c in inner if c.label == step]
+        if isinstance(label, str):
+            now = [c for c in inner if c.label == label]
         else:
-            now = [c for c in inner if c.label not in step and step[0] == f"*{c.tag}.{kind(c)}"]
+            now = [c for c in inner if c.label not in label and label[0] == f"*{c.tag}.{kind(c)}"]
     return now
 
 
-def main_text(page: str | None, place: list | None) -> str:
+def read(root: Node, place: list, laid_out: list[list]) -> str:
+    nodes = at_place(root, place)
+    for n in [n for path in laid_out for n in at_place(root, path)]:
+        n.layout = True
+    return text_of(nodes)
+
+
+def main_text(page: str | None, place: list | None, laid_out: list[list] = ()) -> str:
     root = parse(page or "")
-    nodes = at_place(root, place) if place else []
-    text = text_of(nodes) if nodes else ""
+    text = read(root, place, laid_out) if place else ""
     if not text:
-        own = article_place(skeleton(root))
-        nodes = at_place(root, own)
-        text = text_of(nodes)
+        own = skeleton(root)
+        text = read(root, article_place(own), [path for path, _ in layouts(own)])
     return text
 
 
@@ -387,7 +459,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def places(batches):
         for batch in batches:
-            found = [json.dumps(article_place(json.loads(w))) for w in batch.column(1).to_pylist()]
+            hosts = map(json.loads, batch.column(1).to_pylist())
+            found = [json.dumps([article_place(w), [path for path, _ in layouts(w)]]) for w in hosts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.string())], names=["p_host", "place"])
 
     # a host's wrapper is needed once: what goes on is the place of its articles
@@ -396,9 +469,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for batch in batches:
-            read = [main_text(h, json.loads(p) if p else None)
-                    for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(read, type=pa.string())],
+            texts = [main_text(h, *json.loads(p) if p else [None])
+                     for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string())],
                                              names=["page_id", "url", "text"])
 
     both = rows.join(place, F.col("host") == F.col("p_host"), "left").select("page_id", "url", "html", "place")

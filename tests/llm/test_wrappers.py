@@ -143,3 +143,33 @@ def test_whole_page_is_read_without_its_header(spark):
                       f"<div class='q'><p>{two}</p></div></body></html>", f"{one} {two}"))
     got, want = read(spark, pages)
     assert got == want
+
+
+def test_layout_that_goes_by_names_of_boilerplate(spark):
+    """Body classes, wrappers and forms around the page; regions of others' texts stay out."""
+    rng = random.Random(6)
+    templates = {
+        "body": "<body class='single has-sidebar'>{side}<article class='post category-search'>{text}</article></body>",
+        "state": "<body class='no-comments'><div class='with-sidebar search-enabled'><article>{text}</article>{side}</div></body>",
+        "form": "<body><form id=aspnetForm><div class=content>{text}</div>{side}</form></body>",
+        "unnamed": "<body><form id=aspnetForm><div class=l><p>the same</p></div><div class=r>{text}</div>{side}</form></body>",
+        "wrap": "<body><div class='content-sidebar-wrap'><div class=r>{text}</div>{side}</div></body>",
+        "plain": "<body><div id=search><article>{text}</article></div><div class=b><p>{few}</p></div>{side}</body>",
+        "others": "<body><div class=r>{text}</div><section id=comments><article class=c><p>{many}</p></article></section></body>",
+        "related": "<body><div class=r>{text}</div><div class=related-posts><p>{many}</p></div><aside><p>{many}</p></aside></body>",
+        "teaser": "<body><div class=r>{text}</div><aside><article><p>{few}</p></article></aside></body>",
+    }
+    rows, want = [], {}
+    for name, template in templates.items():
+        for i in range(9):
+            paras = [prose(rng, 40) for _ in range(2)]
+            page = template.format(text="".join(f"<p>{p}</p>" for p in paras), few=prose(rng, 9), many=prose(rng, 400),
+                                   side=f"<div class='sidebar'><p>{prose(rng, 12)}</p></div>")
+            rows.append((len(rows), f"http://{name}.example/", page))
+            want[len(want)] = " ".join(paras)
+    # a host of one page has only that page's structure
+    rows += [(len(rows) + i, f"http://{i}.single/", h) for i, (_, _, h) in enumerate(rows[:45:9])]
+    want |= {81 + i: want[9 * i] for i in range(5)}
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert {i: (rows[i][1], got[i]) for i in want if got[i] != want[i]} == {}
+    assert len(got) == len(want)
