@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, substrings, toxicity, wrappers
+from quarry.llm import filter_audit, lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, substrings, toxicity, wrappers
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
@@ -99,6 +99,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_remove_repeats": op2_remove_repeats,
@@ -110,9 +114,11 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE = {
     "op4_top_k": OP4_ORACLE,
     "op5_extendible_shards": sharding.ORACLE.format(limit=SHARD_BYTES),
+    "op12_filter_audit": filter_audit.ORACLE,
 }
