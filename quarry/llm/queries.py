@@ -9,7 +9,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import filter_audit, lattice, metric_tree, mixing, packing, secret_scan, sharding, simhash, substrings, toxicity, wrappers
+from quarry.llm import (collocations, decontamination, filter_audit, lattice, metric_tree, mixing, packing, secret_scan,
+                        sharding, simhash, substrings, toxicity, wrappers)
 
 SHARD_BYTES = 1 << 20
 SEQUENCE_TOKENS = 2048
@@ -18,6 +19,8 @@ REPEAT_WORDS = 35
 LEAST_COSINE = 0.95
 TOXIC_FROM = 0.7
 SHINGLE_WORDS, FINGERPRINT_BITS = 4, 4
+BENCHMARK_WORDS = 10
+PHRASE_LEAST, PHRASES_SHOWN = 100, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,10 +102,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                         BENCHMARK_WORDS)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"), PHRASE_LEAST, PHRASES_SHOWN)
+    return found.drop("left", "right")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_remove_repeats": op2_remove_repeats,
@@ -114,11 +130,15 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
+    "op11_decontaminate": op11_decontaminate,
     "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE = {
     "op4_top_k": OP4_ORACLE,
     "op5_extendible_shards": sharding.ORACLE.format(limit=SHARD_BYTES),
+    "op11_decontaminate": decontamination.ORACLE.replace("{n}", str(BENCHMARK_WORDS)),
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_collocations": collocations.ORACLE.replace("{least}", str(PHRASE_LEAST)).replace("{most}", str(PHRASES_SHOWN)),
 }
