@@ -105,8 +105,10 @@ def failures(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> Data
 
     seen = materialize(rows.mapInArrow(
         run, f"doc_id {rows.dtypes[0][1]}, part string, a long, b long, mask int"), "llm-failures")
-    firsts = (seen.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-              .where("least < most").select(F.col("a").alias("f_a"), F.col("b").alias("f_b"), "least"))
+    # written, so that the join reads plain shuffles on both sides: those Spark can split
+    firsts = materialize(seen.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                         .where("least < most").select(F.col("a").alias("f_a"), F.col("b").alias("f_b"), "least"),
+                         "llm-first-copies")
     both = seen.join(firsts, (F.col("a") == F.col("f_a")) & (F.col("b") == F.col("f_b")), "left")
     again = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     return both.select("doc_id", "part", (F.col("mask") + again.cast("int") * DUPLICATE).alias("mask"))
