@@ -12,11 +12,13 @@ take part.  From the wrapper follows where the host keeps its articles: an eleme
 (article, main, names such as "entry-content"), or else the one whose slots -- text that differs from page to
 page, outside links -- hold most of the text.  Applied to a page, that place gives the text blocks;
 regions that are boilerplate by element or name (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) are left out, as are constants outside the article.
+comments) are left out, as are constants outside the article.  In an article a name decides if all of
+its words say boilerplate or mere structure: "related-posts" does, "related-work" and "ad-hoc-analysis" do not.
 
 Defined results: a null or empty html gives an empty text; a null or odd url belongs to the host "";
 a page that lacks the host's place is read by its own structure; cut-off or badly nested html closes
-at the end; a null id is kept; repeated rows are pages of their own; an empty table gives no
+at the end; below ``MOST_DEPTH`` levels elements only break the text into blocks (and are left out if they are
+boilerplate), so that any depth can be read; a null id is kept; repeated rows are pages of their own; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -40,12 +43,17 @@ SALTS = 64
 #: Children of an element from which a wrapper folds those of one label, then the rarest optional ones of
 #: one tag, into one; and from which also required ones.
 WIDTH, MOST_WIDTH = 200, 2000
+#: Levels of elements in a tree.
+MOST_DEPTH = 150
 
 # Kinds of elements, and words of class, id and role.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "annotation-xml", "annotation")
+FOREIGN = ("svg",)       # like those, but "/>" ends them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt "
-                   "ruby s samp small span strike strong sub sup time tt u var nobr picture".split())
+                   "ruby s samp small span strike strong sub sup time tt u var nobr picture "
+                   "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+                   "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics none".split())
 WHOLE = frozenset(("#page", "html", "body"))
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select option dialog menu head fieldset".split())
 BOILERPLATE_WORDS = frozenset(
@@ -54,6 +62,18 @@ BOILERPLATE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus "
     "reply replies respond discussion related recommended recommendations share sharing social widget toolbar "
     "pagination pager paging search paywall complementary contentinfo".split())
+#: Words that name mere structure: beside a word of boilerplate they leave it one, in an article too.
+STRUCTURE_WORDS = frozenset(
+    "a area articles bar block body bottom bottombar box button buttons by card cards center col column content container "
+    "desktop div element em feed fixed footer form frame grid group head header heading holder icon icons id in inline inner "
+    "input item items js label large left li line link links list main message mid middle mobile module more news "
+    "outer page panel panels placeholder post posts pre primary region right row rows secondary section sections "
+    "site slot small space spacer sticky stories strip tab tabs text thread title top topbar ul unit us view wrap wrapper "
+    "zone inarticle incontent media leaderboard skyscraper mpu rectangle native google gpt dfp label labels tools tool "
+    "facebook twitter email print whatsapp linkedin pinterest buttonset cta prompt settings".split())
+#: Words that make a name one of boilerplate whatever stands beside them.
+SURE_WORDS = frozenset("advert adverts advertisement advertising sponsored breadcrumb breadcrumbs navbar cookie cookies gdpr "
+                       "newsletter paywall pagination disqus commentlist contentinfo".split())
 #: From these on, and in names that end in those, a name tells what an element has or shows, not what it is.
 STATES = frozenset("has have with without no not hide show supports enable disable".split())
 TOPICS = frozenset(("category", "tag"))      # the same, of an element that may hold the article
@@ -71,11 +91,16 @@ GROUP_NAMES = {"": "", "x": "ad", "0": "", "1": "entry-content", "2": "main", "3
 CLOSED_BY = {"p": None, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"),
              "th": ("td", "th", "tr"), "tr": ("tr",), "option": ("option",)}
 
+# As html reads it: a quote opens a value only behind "=", any other one is part of a name or value.
+_VALUE = r"""(?>"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+_ATTRS = rf"(?>[\s/]++|[^\s/>=][^\s/>=]*+(?>\s*+=\s*+{_VALUE}?)?|=)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"|<(?P<raw>(?:{'|'.join(RAW)})(?=[\s/>])|(?:{'|'.join(FOREIGN)})(?=[\s/>])(?!{_ATTRS}(?<=/)>)){_ATTRS}>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
-NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(rf"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?)?")
+NAMED_BY = frozenset(("class", "id", "role", "itemprop"))
 
 
 class Node:
@@ -85,11 +110,11 @@ class Node:
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children, names, self.dropped, self.layout = tag, [], [], False, False
         if attrs and not attrs.isspace():
-            for name, value in NAMES.findall(attrs):
-                value = value.strip("\"'").lower()
-                if name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
+            for name, value in ATTRIBUTE.findall(attrs):
+                name, value = name.lower(), value.strip("\"'").lower()
+                if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
                     self.dropped = True
-                elif name.lower() != "style":
+                elif name in NAMED_BY:
                     names.append(re.sub(r"[\d]+", "", value))
         self.names = " ".join(names)
         self.label = f"{tag}.{self.names}" if self.names else tag
@@ -97,17 +122,21 @@ class Node:
     def words(self) -> frozenset:
         return frozenset(re.split(r"[^a-z]+", self.names))
 
-    def marks(self) -> set:
-        """Words that say what the element is."""
-        out: set = set()
+    def meant(self) -> list[str]:
+        """Names, as far as they say what the element is."""
+        out = []
         states = STATES | TOPICS if rank(self) is not None else STATES
         for name in self.names.split():
             words = [w for w in re.split(r"[^a-z]+", name) if w]
             if len(words) > 1 and words[-1] in STATE_ENDS:
                 continue
-            out.update(words[:next((i for i, w in enumerate(words[:-1]) if w in states), len(words))])
+            out.append(" ".join(words[:next((i for i, w in enumerate(words[:-1]) if w in states), len(words))]))
         return out
 
+    def marks(self) -> set:
+        """Words that say what the element is."""
+        return {w for n in self.meant() for w in n.split()}
+
     def region(self) -> bool:
         return self.tag in REGION_TAGS or bool(REGION_NAMES & {*self.names.split()} or OTHERS_WORDS & self.marks())
 
@@ -120,54 +149,101 @@ class Node:
             return False
         if not in_article and self.tag == "header":
             return True
-        words = self.marks() if self.names else frozenset()
-        return bool(words & BOILERPLATE_WORDS or not in_article and words & HEADER_WORDS)
+        if not self.names:
+            return False
+        if in_article:
+            return any(SURE_WORDS & words or BOILERPLATE_WORDS & words and words <= BOILERPLATE_WORDS | STRUCTURE_WORDS
+                       for words in ({w for w in re.split(r"[^a-z]+", n) if w} for n in self.meant()))
+        return bool(self.marks() & (BOILERPLATE_WORDS | HEADER_WORDS))
+
+
+class _Open:
+    """The elements that are open while a page is read."""
+
+    def __init__(self, root: Node):
+        self.path, self.tags, self.left_out = [root], Counter(), 0
+
+    def push(self, node: Node) -> None:
+        if len(self.path) < MOST_DEPTH:
+            self.path[-1].children.append(node)
+        else:
+            self.breaks()
+            self.left_out += node.boilerplate(True)
+        self.path.append(node)
+        self.tags[node.tag] += 1
+
+    def pop(self) -> str:
+        node = self.path.pop()
+        self.tags[node.tag] -= 1
+        if len(self.path) >= MOST_DEPTH:
+            self.left_out -= node.boilerplate(True)
+            self.breaks()
+        return node.tag
+
+    def breaks(self) -> None:
+        """An empty element where one begins or ends that is too deep for the tree."""
+        self.path[MOST_DEPTH - 1].children.append(Node("div"))
+
+    def text(self, text: str, link: bool) -> None:
+        if len(self.path) <= MOST_DEPTH:
+            self.path[-1].children.append((text, link))
+        elif not self.left_out:
+            self.path[MOST_DEPTH - 1].children.append((text, link))
+
+    def close(self, tag: str) -> bool:
+        """Ends the innermost element of this tag, and what is open in it."""
+        if not self.tags[tag]:
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+    def close_implied(self, by: tuple) -> None:
+        """Ends the innermost element of one of these tags, unless a list or table is nearer."""
+        if not any(self.tags[t] for t in by):
+            return
+        for node in reversed(self.path[1:]):
+            if node.tag in by:
+                self.close(node.tag)
+                return
+            if node.tag in ("ul", "ol", "dl", "table", "tbody", "select"):
+                return
 
 
 def parse(page: str) -> Node:
     """The tree of block elements.  Inline elements leave only their text; links are marked."""
     root = Node("#page")
-    path, link = [root], 0
+    now, link = _Open(root), 0
     for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            path[-1].children.append((text, link > 0))
+        if m["text"] is not None:
+            now.text(m["text"], link > 0)
             continue
-        tag = m["tag"]
-        if tag is None:
+        if m["tag"] is None:
             if m["raw"]:
-                path[-1].children.append((" ", False))
+                now.text(" ", False)
             continue
-        tag = tag.lower()
-        if tag == "br" or tag == "hr" or tag in VOID:
+        tag = m["tag"].lower()
+        if tag in VOID or tag in FOREIGN:
             if tag in ("br", "hr"):
-                path[-1].children.append((" ", False))
+                now.text(" ", False)
             continue
         if tag in INLINE:
             if tag == "a":
                 link = max(0, link + (-1 if m["end"] else 1))
             continue
         if m["end"]:
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].tag == tag:
-                    del path[i:]
-                    link = 0
-                    break
+            if now.close(tag):
+                link = 0
             continue
-        if path[-1].tag == "p":             # a block ends a paragraph
-            path.pop()
+        if now.path[-1].tag == "p":         # a block ends a paragraph
+            now.pop()
             link = 0
         if CLOSED_BY.get(tag):
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].tag in CLOSED_BY[tag]:
-                    del path[i:]
-                    break
-                if path[i].tag in ("ul", "ol", "dl", "table", "tbody", "select"):
-                    break
+            now.close_implied(CLOSED_BY[tag])
         node = Node(tag, m["attrs"])
-        path[-1].children.append(node)
-        if not (m["attrs"] or "").rstrip().endswith("/"):
-            path.append(node)
+        now.push(node)
+        if (m["attrs"] or "").rstrip().endswith("/"):
+            now.pop()
     return root
 
 

@@ -2,6 +2,8 @@ import html
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarry.llm import queries, wrappers
@@ -173,3 +175,45 @@ def test_layout_that_goes_by_names_of_boilerplate(spark):
     got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert {i: (rows[i][1], got[i]) for i in want if got[i] != want[i]} == {}
     assert len(got) == len(want)
+
+
+@pytest.mark.parametrize("depth", [140, 160, 500, 5000])
+def test_deep_nesting(depth):
+    """Texts stay whole and in page order at any depth; boilerplate goes there too."""
+    page = "".join(f"<div>a{i} " for i in range(depth)) + "<nav><div>menu</div></nav><p>last</p>" + "".join(
+        f"</div>b{i} " for i in reversed(range(depth)))
+    want = " ".join([*(f"a{i}" for i in range(depth)), "last", *(f"b{i}" for i in reversed(range(depth)))])
+    assert wrappers.main_text(f"<article>{page}</article>", None) == want
+
+
+def test_deep_page_beside_a_sound_one(spark):
+    pages = [(1, "https://h.org/1", "<div>" * 5000 + "deep text"), (2, "https://h.org/2", "<article><p>sound</p></article>"),
+             (3, "https://h.org/3", "<ul>" + "<li>x" * 3000), (4, "https://h.org/4", "</div>" * 3000 + "<p>open")]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "deep text" and got[2] == "sound" and got[3] == " ".join(["x"] * 3000) and got[4] == "open"
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<nav><svg/></nav><article><p>kept</p></article>", "kept"),
+    ("<article><p>a <svg class='i' /> b<svg width=\"1\"><text>c</text></svg></p></article>", "a b"),
+    ("<article><p data-x=it's>text one don't stop</p><p>two</p></article>", "text one don't stop two"),
+    ("<article><p title=\"a>b\">one</p><p title='c>d'>two</p></article>", "one two"),
+    ("<article><p class=\"open>one</p><p>two</p></article>", "one two"),
+    ("<article><p data-class='ad' data-note='class=\"ad\"'>one</p></article>", "one"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", "Let x=1 be"),
+    ("<article><p>one</p><script>if (a < b) '<p>no</p>'</script><p>two</p></article>", "one two"),
+    ("<article><p " + "x='1' " * 3000 + ">one</p></article>", "one"),
+    ("<article><p>one</p><p " + "x" * 50000, "one"),
+])
+def test_attributes_and_foreign_elements(page, text):
+    assert wrappers.main_text(page, None) == text
+
+
+@pytest.mark.parametrize("name,stays", [
+    ("ad-hoc-analysis", True), ("comment-on-policy", True), ("related-work", True), ("share-of-votes", True),
+    ("ad", False), ("ad-box", False), ("related-posts", False), ("share-buttons", False), ("comments-list", False),
+    ("cookie-law-note", False), ("newsletter-signup", False), ("advert-of-the-day", False),
+])
+def test_names_inside_an_article(name, stays):
+    page = f"<article><p>one</p><div class='{name}'><p>two</p></div></article>"
+    assert wrappers.main_text(page, None) == ("one two" if stays else "one")
