@@ -35,7 +35,7 @@ from quarry.llm.suffix_arrays import spread, suffix_array
 from quarry.llm.words import byte_kinds, cut_words
 from quarry.session import shared_path
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Shards in a file: a reader holds a file's rows at once.
 SHARDS_A_FILE = 2
 MOST_WORDS = 5
@@ -105,35 +105,42 @@ class FrequentPhrases:
 
 
 class Transform:
-    """One direction of a shard's index: ``symbol[slot]`` stands before the suffix (of the sequence or its
-    reverse) in that slot; ``places`` are the slots of each symbol, in symbol order."""
+    """One direction of a shard's index: ``places`` are the slots in which each symbol stands before the suffix
+    (of the sequence or its reverse), in symbol order."""
 
     def __init__(self, places: np.ndarray, counts: np.ndarray):
-        self.n = len(places)
-        in_order = np.repeat(np.arange(len(counts)), counts)
-        self.symbol = np.empty(self.n, dtype=np.int64)
-        self.symbol[places] = in_order
-        self.key = in_order * (self.n + 1) + places
-
-    def slot(self, symbol, upto):
-        """Slot of the suffixes that ``symbol`` begins and that go on with one below the slot ``upto``."""
-        return np.searchsorted(self.key, symbol * (self.n + 1) + upto)
+        self.places, self.counts = places, counts
 
     def extended(self, lo: np.ndarray, other: np.ndarray, size: np.ndarray):
         """All intervals lo:lo + size by a symbol more: (parent, symbol, lo, other, size); ``other`` begins the
         interval in the other direction."""
+        n, kinds = len(self.places), len(self.counts)
+        in_order = np.repeat(np.arange(kinds, dtype=np.int32), self.counts)
+        before = np.empty(n, dtype=np.int32)
+        before[self.places] = in_order
         which, slot = spread(lo, lo + size)
-        pairs, counts = np.unique(which * (self.key[-1] // (self.n + 1) + 1) + self.symbol[slot], return_counts=True)
-        parent, symbol = np.divmod(pairs, self.key[-1] // (self.n + 1) + 1)
-        below = np.cumsum(counts) - counts
-        below -= (np.cumsum(size) - size)[parent]
+        which *= kinds
+        which += before[slot]
+        del before, slot
+        which.sort()
+        first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        pairs, counts = which[first], np.diff(first, append=len(which))
+        del which
+        parent, symbol = np.divmod(pairs, kinds)
+        # smaller symbols in the parent's interval
+        below = first - (np.cumsum(size) - size)[parent]
         word = symbol > 0
         parent, symbol, counts, below = parent[word], symbol[word], counts[word], below[word]
-        return parent, symbol, self.slot(symbol, lo[parent]), other[parent] + below, counts
+        # where the symbol stands before a suffix below the interval: the longer phrase begins there
+        key = in_order.astype(np.int64)
+        key *= n + 1
+        key += self.places
+        return parent, symbol, np.searchsorted(key, symbol * (n + 1) + lo[parent]), other[parent] + below, counts
 
     def at_edge(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Occurrences with no word before (or, in the reverse, after) them."""
-        return self.slot(0, lo + size) - self.slot(0, lo)
+        zeros = self.places[:self.counts[0]]
+        return np.searchsorted(zeros, lo + size) - np.searchsorted(zeros, lo)
 
 
 def transform_places(sequence: np.ndarray) -> np.ndarray:
@@ -181,8 +188,8 @@ def index_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 def shard_phrases(row: dict, n: int, frequent: list[FrequentPhrases]):
     """(symbols by place, count, left, right) of all phrases of ``n`` words of a shard both of whose parts may be frequent;
     left and right are the occurrences that have a word before or after them in their piece."""
-    counts, *places = (np.frombuffer(row[c], dtype="<i4").astype(np.int64) for c in ("counts", "forward", "backward"))
-    forward, backward = (Transform(p, counts) for p in places)
+    counts = np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
+    forward, backward = (Transform(np.frombuffer(row[c], dtype="<i4"), counts) for c in ("forward", "backward"))
     lang_of = pa.DictionaryArray.from_arrays(pa.array(np.frombuffer(row["lang_of"], dtype="<i4")), row["langs"])
     hashes = np.concatenate([np.zeros(1, dtype=_U), word_hashes(row["words"], lang_of)]) if n > 1 else None
 
