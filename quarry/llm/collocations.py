@@ -11,7 +11,9 @@ of a piece: the rest can be extended.
 The shards are written once and read for each length.  The counts of a length are summed across shards; phrases that
 reach ``least`` go on.  A phrase of n words is only enumerated if both of its parts of n - 1 words may be frequent, which
 the tasks look up in a bitmap of hashes: its size is bounded (``MOST_BITS``), and since every count is summed in
-full a chance hit adds a row to the shuffle, but no result.
+full a chance hit adds a row to the shuffle, but no result.  Pairs of frequent words are many: they are counted by 32 bits
+of their hashes first, packed in sorted runs of a few bytes a pair, and only pairs whose bits reach ``least`` are counted
+by their words.
 
 A cut of a phrase after its first k words scores floor(1000 * a * n / (l * r)) in exact decimals.  A phrase is
 dropped if it stands in a longer one as often as anywhere; the longer one by a word decides, as counts never grow with length.
@@ -77,15 +79,21 @@ class FrequentPhrases:
         return (self.words[at >> 6] >> (at & 63)) & 1 == 1
 
     @staticmethod
-    def of(frequent: DataFrame) -> FrequentPhrases:
-        """From rows (lang, phrase)."""
-        bits = LEAST_BITS
-        n = frequent.count()
+    def of_hashes(hashed: DataFrame) -> FrequentPhrases:
+        """From rows (hash): as longs; of which only the first bits count."""
+        bits, n = LEAST_BITS, hashed.count()
         while bits < min(n * BITS_A_PHRASE, MOST_BITS):
             bits *= 2
-        shift = _U(64 - (bits.bit_length() - 1))
+        at = F.shiftrightunsigned("hash", 64 - (bits.bit_length() - 1))
+        found = hashed.groupBy((at / 64).cast("long").alias("block")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("word")).toArrow()
+        return FrequentPhrases(bits, found.column("block").to_numpy(), found.column("word").to_numpy())
+
+    @staticmethod
+    def of(frequent: DataFrame) -> FrequentPhrases:
+        """From rows (lang, phrase)."""
 
-        def places(batches):
+        def hashed(batches):
             for batch in batches:
                 words = pc.split_pattern(batch.column(1), " ")
                 size = pc.list_value_length(words).to_numpy()
@@ -95,13 +103,10 @@ class FrequentPhrases:
                 first = np.cumsum(size) - size
                 for k in np.unique(size):
                     rows = np.flatnonzero(size == k)
-                    at = (phrase_hashes([each[first[rows] + i] for i in range(k)]) >> shift).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))],
-                                                     names=["block", "word"])
+                    own = phrase_hashes([each[first[rows] + i] for i in range(k)])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["hash"])
 
-        found = (frequent.select("lang", "phrase").mapInArrow(places, "block long, word long")
-                 .groupBy("block").agg(F.expr("bit_or(word)").alias("word")).toArrow())
-        return FrequentPhrases(bits, found.column("block").to_numpy(), found.column("word").to_numpy())
+        return FrequentPhrases.of_hashes(frequent.select("lang", "phrase").mapInArrow(hashed, "hash long"))
 
 
 class Transform:
@@ -143,6 +148,17 @@ class Transform:
         return np.searchsorted(zeros, lo + size) - np.searchsorted(zeros, lo)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, each less the one before, byte by byte: what compresses well where they are sorted."""
+    steps = np.diff(x.astype("<u4"), prepend=np.zeros(1, dtype="<u4"))
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(b) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype="<u4")
+
+
 def transform_places(sequence: np.ndarray) -> np.ndarray:
     """``places`` of a sequence's transform."""
     order = suffix_array(sequence, MOST_WORDS)
@@ -170,9 +186,8 @@ def _index_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays([0, len(each)], w.vocabulary.take(pa.array(each % len(w.vocabulary))).cast(pa.string())),
                  pa.ListArray.from_arrays([0, len(lang.dictionary)], lang.dictionary),
-                 *[pa.array([np.ascontiguousarray(x.astype("<i4")).tobytes()], type=pa.binary())
-                   for x in (each // len(w.vocabulary), counts, transform_places(sequence),
-                             transform_places(sequence[::-1]))]],
+                 *[pa.array([packed(x)], type=pa.binary()) for x in (
+                     each // len(w.vocabulary), counts, transform_places(sequence), transform_places(sequence[::-1]))]],
                 names=["words", "langs", "lang_of", "counts", "forward", "backward"])
 
 
@@ -181,16 +196,17 @@ def index_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     path = shared_path(docs.sparkSession, "llm-phrase-index")
-    rows.mapInArrow(_index_rows, INDEX).write.option("maxRecordsPerFile", SHARDS_A_FILE).parquet(path)
+    rows.mapInArrow(_index_rows, INDEX).write.option("maxRecordsPerFile", SHARDS_A_FILE).option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def shard_phrases(row: dict, n: int, frequent: list[FrequentPhrases]):
-    """(symbols by place, count, left, right) of all phrases of ``n`` words of a shard both of whose parts may be frequent;
-    left and right are the occurrences that have a word before or after them in their piece."""
-    counts = np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
-    forward, backward = (Transform(np.frombuffer(row[c], dtype="<i4"), counts) for c in ("forward", "backward"))
-    lang_of = pa.DictionaryArray.from_arrays(pa.array(np.frombuffer(row["lang_of"], dtype="<i4")), row["langs"])
+def shard_phrases(row: dict, n: int, frequent: list[FrequentPhrases], among: FrequentPhrases | None = None):
+    """(symbols by place, count, left, right, hash) of all phrases of ``n`` words of a shard both of whose parts may be
+    frequent, and that may be in ``among``; left and right are the occurrences that have a word before or after them
+    in their piece."""
+    counts = unpacked(row["counts"]).astype(np.int64)
+    forward, backward = (Transform(unpacked(row[c]).view("<i4"), counts) for c in ("forward", "backward"))
+    lang_of = pa.DictionaryArray.from_arrays(pa.array(unpacked(row["lang_of"]).view("<i4")), row["langs"])
     hashes = np.concatenate([np.zeros(1, dtype=_U), word_hashes(row["words"], lang_of)]) if n > 1 else None
 
     columns, size = [np.arange(1, len(counts))], counts[1:]
@@ -211,36 +227,96 @@ def shard_phrases(row: dict, n: int, frequent: list[FrequentPhrases]):
         keep = frequent[length - 2].has(phrase_hashes([hashes[c] for c in other]))
         columns, size, lo, back = [c[keep] for c in columns], size[keep], lo[keep], back[keep]
     if len(columns) < n:
-        return [np.zeros(0, dtype=np.int64)] * n, size, size, size
-    return columns, size, size - forward.at_edge(lo, size), size - backward.at_edge(back, size)
+        return [np.zeros(0, dtype=np.int64)] * n, size, size, size, np.zeros(0, dtype=_U)
+    own = phrase_hashes([hashes[c] for c in columns]) if n > 1 else np.zeros(len(size), dtype=_U)
+    if among is not None:
+        keep = among.has(own)
+        columns, size, lo, back, own = [c[keep] for c in columns], size[keep], lo[keep], back[keep], own[keep]
+    return columns, size, size - forward.at_edge(lo, size), size - backward.at_edge(back, size), own
 
 
 COUNTED = "lang string, phrase string, f long, left long, right long"
 
 
-def count_phrases(index: DataFrame, n: int, frequent: list[FrequentPhrases]) -> DataFrame:
+def _rows(batches):
+    """The shards of batches, as arrays and buffers."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].values for name in ("words", "langs")} | {
+                name: batch.column(name)[i].as_buffer() for name in ("lang_of", "counts", "forward", "backward")}
+
+
+def count_phrases(index: DataFrame, n: int, frequent: list[FrequentPhrases], among: FrequentPhrases | None = None) -> DataFrame:
     """lang, phrase, f, left, right: the phrases of ``n`` words, summed across shards."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in ("words", "langs")}
-                row = {k: v.values for k, v in row.items()} | {
-                    name: batch.column(name)[i].as_buffer() for name in ("lang_of", "counts", "forward", "backward")}
-                columns, *numbers = shard_phrases(row, n, frequent)
-                lang = np.frombuffer(row["lang_of"], dtype="<i4")
-                for lo in range(0, len(columns[0]), 200_000):
-                    some = [c[lo:lo + 200_000] - 1 for c in columns]
-                    texts = [row["words"].take(pa.array(c)) for c in some]
-                    phrase = pc.binary_join_element_wise(*texts, " ") if n > 1 else texts[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [row["langs"].take(pa.array(lang[some[0]])), phrase,
-                         *[pa.array(x[lo:lo + 200_000]) for x in numbers]], names=["lang", "phrase", "f", "left", "right"])
+        for row in _rows(batches):
+            columns, *numbers, _ = shard_phrases(row, n, frequent, among)
+            lang = unpacked(row["lang_of"])
+            for lo in range(0, len(columns[0]), 200_000):
+                some = [c[lo:lo + 200_000] - 1 for c in columns]
+                texts = [row["words"].take(pa.array(c)) for c in some]
+                phrase = pc.binary_join_element_wise(*texts, " ") if n > 1 else texts[0]
+                yield pa.RecordBatch.from_arrays(
+                    [row["langs"].take(pa.array(lang[some[0]])), phrase,
+                     *[pa.array(x[lo:lo + 200_000]) for x in numbers]], names=["lang", "phrase", "f", "left", "right"])
 
     each = index.mapInArrow(run, COUNTED)
     return each.groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in ("f", "left", "right")])
 
 
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, with the sum of its counts."""
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    return key[first], np.add.reduceat(count, first) if len(key) else count
+
+
+def frequent_hashes(index: DataFrame, n: int, frequent: list[FrequentPhrases], least: int) -> DataFrame:
+    """(hash): of phrases of ``n`` words, the first 32 bits (the others are 0) that ``least`` occurrences share."""
+    parts = 1 << max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 0).bit_length()
+    shift = np.uint32(33 - parts.bit_length())
+
+    def run(batches):
+        for row in _rows(batches):
+            _, size, _, _, own = shard_phrases(row, n, frequent)
+            key, count = _summed((own >> _U(32)).astype(np.uint32), np.minimum(size, least))
+            edge = np.searchsorted(key >> shift if parts > 1 else np.zeros_like(key), np.arange(parts + 1))
+            some = np.flatnonzero(edge[1:] > edge[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, type=pa.int64()),
+                 *[pa.array([packed(x[edge[i]:edge[i + 1]]) for i in some.tolist()], type=pa.binary()) for x in (key, count)]],
+                names=["part", "keys", "counts"])
+
+    def reduced(batches):
+        part, held = None, []
+
+        def merged():
+            key, count = _summed(*(np.concatenate(x) for x in zip(*held)))
+            return key, np.minimum(count, least)
+
+        def sent():
+            key, count = merged()
+            return pa.RecordBatch.from_arrays([pa.array((key[count >= least].astype(_U) << _U(32)).view(np.int64))], names=["hash"])
+
+        for batch in batches:
+            for p, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if p != part:
+                    if held:
+                        yield sent()
+                    part, held = p, []
+                held.append((unpacked(keys.as_buffer()), unpacked(counts.as_buffer()).astype(np.int64)))
+                if len(held) > 64:
+                    held = [merged()]
+        if held:
+            yield sent()
+
+    each = index.mapInArrow(run, "part long, keys binary, counts binary")
+    dealt = each.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(reduced, "hash long")
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
                      lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f, left, right) of the phrases of 1 to ``MOST_WORDS`` words that occur ``least``
@@ -251,7 +327,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
     found, frequent = [words.where(F.col("f") >= least)], []
     for n in range(2, MOST_WORDS + 1):
         frequent.append(FrequentPhrases.of(found[-1]))
-        found.append(materialize(count_phrases(index, n, frequent).where(F.col("f") >= least), f"llm-phrases-{n}"))
+        # pairs are many more than what either word lets expect
+        among = FrequentPhrases.of_hashes(materialize(frequent_hashes(index, n, frequent, least), "llm-pairs")) if n == 2 else None
+        found.append(materialize(count_phrases(index, n, frequent, among).where(F.col("f") >= least), f"llm-phrases-{n}"))
     every = None
     for n, level in enumerate(found, 1):
         level = level.select("lang", "phrase", F.lit(n).alias("words"), "f", "left", "right")

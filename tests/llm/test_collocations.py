@@ -109,6 +109,21 @@ def test_query(spark):
     assert result(queries.op13_collocations(spark, SF)) == brute(docs, 100, 2000)
 
 
+def test_frequent_hashes_miss_no_pair(spark, monkeypatch):
+    """Every pair that is frequent in sum stands in the bitmap, over many shards and merges."""
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 100)
+    docs = some_docs(5)
+    index = collocations.index_shards(frame(spark, docs).repartition(7))
+    every = collocations.FrequentPhrases(64, np.array([0]), np.array([-1]))
+    found = {r[0] for r in collocations.frequent_hashes(index, 2, [every], 5).collect()}
+    for lang, f in counted(docs).items():
+        pairs = [p for p in f if len(p) == 2]
+        langs = pa.array([lang] * len(pairs)).dictionary_encode()
+        own = collocations.phrase_hashes([collocations.word_hashes(pa.array([p[i] for p in pairs], type=pa.string()), langs) for i in (0, 1)])
+        own = ((own >> np.uint64(32)) << np.uint64(32)).view(np.int64).tolist()
+        assert all((h in found) == (f[p] >= 5) for p, h in zip(pairs, own))
+
+
 def test_exact_score(spark):
     rows = [(10**13 + 7, 10**14 + 9, 10**13 + 11, 10**13 + 13), (100, 10**15, 100, 100), (3, 10, 7, 9)]
     df = spark.createDataFrame(rows, "a long, n long, l long, r long")
@@ -123,8 +138,10 @@ def test_intervals_of_both_directions():
         [pa.array(["en", "en"]), pa.array(docs)], names=["lang", "text"])])).to_pylist()[0]
     row = rows | {"words": pa.array(rows["words"]), "langs": pa.array(rows["langs"])}
     every = collocations.FrequentPhrases(64, np.array([0]), np.array([-1]))
+    assert all(collocations.unpacked(collocations.packed(x)).tolist() == x.tolist() for x in
+               (np.array([], dtype=np.int64), np.array([7]), np.array([5, 2**32 - 1, 0, 300, 300])))
     want = counted([(d, "en") for d in docs])["en"]
     for n in range(1, 6):
-        columns, size, left, right = collocations.shard_phrases(row, n, [every] * 4)
+        columns, size, left, right, _ = collocations.shard_phrases(row, n, [every] * 4)
         got = {tuple(rows["words"][c - 1] for c in p): s for *p, s in zip(*columns, size)}
         assert got == {p: c for p, c in want.items() if len(p) == n}
