@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +33,89 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, materialize
+from quarry.llm.suffix_arrays import spread
+from quarry.llm.words import text_bytes
 
 #: Bytes of text that a task tokenizes at a time; words and parts whose ids a worker remembers.
 SLICE_BYTES = 10 << 20
 REMEMBERED_WORDS = 300_000
 REMEMBERED_PARTS = 600_000
-#: The pattern by which the lower-casing word tokenizer cuts words, and for words of
-#: these characters (where lower case is plain and there is nothing to normalize) the same cut.
+#: The pattern by which the lower-casing word tokenizer cuts words.  Words of plain characters (printable
+#: ASCII and the Latin-1 letters, where lower case is plain and there is nothing to normalize) are cut here by the same.
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-PLAIN_PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+GAP, LETTER, DIGIT, SIGN, ODD = range(5)
+_KIND = np.full(256, ODD, dtype=np.uint8)
+_KIND[0x21:0x7F] = SIGN
+_KIND[[0x20, *range(0x09, 0x0E)]] = GAP
+_KIND[0x30:0x3A] = DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = LETTER
+
+
+def cut_parts(texts: pa.Array, special: list[bytes]):
+    """The parts of whole texts: (codes, their dictionary, whether each of it is a word that is not plain and was left whole,
+    offsets of the texts in the codes).  A word that holds a special token is left whole too."""
+    raw, offsets = text_bytes(texts)
+    n = len(raw)
+    kind = np.append(_KIND[raw], np.uint8(GAP))
+    lower = raw.copy()
+    lower[(raw >= 0x41) & (raw <= 0x5A)] += 0x20
+    lead = np.flatnonzero(raw[:-1] == 0xC3) if n else np.zeros(0, dtype=np.int64)
+    second = raw[lead + 1]
+    fine = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+    lead, second = lead[fine], second[fine]
+    kind[lead] = kind[lead + 1] = LETTER
+    lower[lead[second <= 0x9E] + 1] += 0x20
+    whole = raw.tobytes() if special else b""
+    for s in special:
+        at = whole.find(s)
+        while at >= 0:
+            kind[at:at + len(s)] = ODD
+            at = whole.find(s, at + 1)
+
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    inside = kind != GAP
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:]
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge[1:])) + 1
+    words = np.flatnonzero(begins)
+    # words that are not plain stay whole and as they are
+    odd = np.flatnonzero(kind == ODD)
+    odd_word = np.unique(np.searchsorted(words, odd, side="right") - 1)
+    where, at = spread(words[odd_word], ends[odd_word])
+    lower[at], kind[at] = raw[at], ODD
+    cut = begins
+    change = np.zeros(n + 1, dtype=bool)
+    change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    cut |= change & inside
+    # an apostrophe by itself takes an ending along: the letters after it begin later
+    mark = np.flatnonzero((raw == 0x27) & (kind[:-1] == SIGN) & cut[:-1] & (kind[1:] == LETTER) & ~edge[1:])
+    free = np.ones(len(mark), dtype=bool)
+    next_edge = ends[np.searchsorted(ends, mark, side="right")] if len(mark) else mark
+    padded = np.append(lower, np.zeros(2, dtype=np.uint8))
+    for e in ENDINGS:
+        hit = free & (mark + len(e) < next_edge)
+        for k, c in enumerate(e):
+            hit &= padded[mark + 1 + k] == c
+        own = mark[hit]
+        cut[own + 1] = False
+        after = own + 1 + len(e)
+        cut[after[kind[after] == LETTER]] |= ~edge[after[kind[after] == LETTER]] & inside[after[kind[after] == LETTER]]
+        free &= ~hit
+    start = np.flatnonzero(cut)
+    if not len(start):
+        return start, pa.array([], type=pa.binary()), np.zeros(0, dtype=bool), np.zeros(len(offsets), dtype=np.int64)
+    # a part ends where the next one begins or its word ends
+    stop = np.minimum(np.append(start[1:], n), ends[np.searchsorted(ends, start, side="right")])
+    bounds = np.empty(2 * len(start), dtype=np.int32)
+    bounds[0::2], bounds[1::2] = start, stop
+    coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
+        None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(lower))]).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)[0::2].astype(np.int64)
+    left = np.zeros(len(coded.dictionary), dtype=bool)
+    left[codes[kind[start] == ODD]] = True
+    return codes, coded.dictionary, left, np.searchsorted(start, offsets)
 
 
 class WordTokenizer:
@@ -53,7 +125,8 @@ class WordTokenizer:
     drop it (the default one cuts at white space before its merges): the ids of a
     text are then those of its words, in order.  A probe holds a tokenizer to that;
     others encode whole texts.  Where the tokenizer's file names ``CUT_PATTERN``, words of
-    plain characters are cut by it here, and each different part encoded once."""
+    plain characters are cut by it here, all words of a slice of texts at once, and each different part is
+    encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,11 +153,11 @@ class WordTokenizer:
                 return False
         return True
 
-    def _learn_parts(self, parts: set[str]) -> None:
+    def _learn_parts(self, parts: list[str]) -> None:
         """Ids of parts that the tokenizer takes one at a time, many in one text."""
-        new = sorted(p for p in parts if p not in self.parts)
+        new = [p for p in parts if p not in self.parts]
         if len(self.parts) + len(new) > REMEMBERED_PARTS:
-            self.parts, new = {}, sorted(parts)
+            self.parts, new = {}, parts
         for lo in range(0, len(new), 1000):
             some = new[lo:lo + 1000]
             done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -93,19 +166,32 @@ class WordTokenizer:
             for p, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
                 self.parts[p] = ids[a:b].tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        cut, other, parts = {}, [], set()
-        for w in words:
-            if self.cuts and PLAIN.fullmatch(w) and not any(s in w for s in self.special):
-                cut[w] = own = PLAIN_PARTS.findall(w.lower())
-                parts.update(own)
-            else:
-                other.append(w)
-        self._learn_parts(parts)
-        ids = self.parts
-        for w, own in cut.items():
-            self.known[w] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
-        self.known.update(zip(other, self._encode(other)))
+    def _joined(self, each: list[bytes], codes: np.ndarray, first: np.ndarray):
+        """(all ids in order, offsets of the texts in them), from the ids of each code."""
+        ids = np.frombuffer(b"".join(each), dtype="<u4")
+        sizes = np.array([len(x) for x in each], dtype=np.int64) // 4
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])
+        return ids[at], ends[first]
+
+    def _by_parts(self, texts: pa.Array):
+        codes, dictionary, left, first = cut_parts(texts, [s.encode() for s in self.special])
+        used = np.zeros(len(dictionary), dtype=bool)
+        used[codes] = True
+        parts = [p.decode() for p in dictionary.to_pylist()]
+        # gaps between words are in the dictionary too
+        plain = [p for p, u, w in zip(parts, used.tolist(), left.tolist()) if u and not w]
+        whole = [p for p, u, w in zip(parts, used.tolist(), left.tolist()) if u and w]
+        self._learn_parts(plain)
+        new = [w for w in whole if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED_WORDS:
+            self.known, new = {"": b""}, whole
+        self.known.update(zip(new, self._encode(new)))
+        each = [b"" if not u else self.known[p] if w else self.parts[p]
+                for p, u, w in zip(parts, used.tolist(), left.tolist())]
+        return self._joined(each, codes, first)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, offsets of the texts in them)."""
@@ -113,6 +199,8 @@ class WordTokenizer:
             each = self._encode(texts.to_pylist())
             sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
             return np.frombuffer(b"".join(each), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)])
+        if self.cuts:
+            return self._by_parts(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -120,16 +208,9 @@ class WordTokenizer:
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             self.known = {"": b""}
             new = [w for w in words if w]
-        self._learn(new)
-        each = [self.known[w] for w in words]
-        ids = np.frombuffer(b"".join(each), dtype="<u4")
-        sizes = np.array([len(x) for x in each], dtype=np.int64) // 4
-        first = np.cumsum(sizes) - sizes
+        self.known.update(zip(new, self._encode(new)))
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])
-        return ids[at], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return self._joined([self.known[w] for w in words], codes, split.offsets.to_numpy() - split.offsets[0].as_py())
 
 
 @functools.lru_cache(maxsize=1)
