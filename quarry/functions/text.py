@@ -78,3 +78,22 @@ def label_or_row(df, label_col: str, id_col: str) -> Column:
     otherwise ``Row {id}`` for every row."""
     fallback = F.concat(F.lit("Row "), F.col(id_col).cast("string"))
     return F.coalesce(F.col(label_col), fallback) if label_col in df.columns else fallback
+
+
+def fixed_point(c, digits: int = 3) -> Column:
+    """``%.{digits}f`` of a double as C prints it: the exact binary value is rounded, ties to even, not the shortest
+    decimal.  Exact for magnitudes below 2^20, in decimal arithmetic on the value times 2^64."""
+    x = F.abs(col_of(c))
+    high = F.floor(x * float(2 ** 32))
+    low = F.floor((x * float(2 ** 32) - high) * float(2 ** 32))         # what is cut off here is below 2^-64
+    whole = (high.cast("decimal(20,0)") * F.lit(2 ** 32).cast("decimal(10,0)") + low.cast("decimal(11,0)")).cast("decimal(32,0)")
+    scaled = (whole * F.lit(10 ** digits).cast("decimal(5,0)")).cast("decimal(38,0)")
+    one = F.lit(str(2 ** 64)).cast("decimal(20,0)")
+    q = F.call_function("div", scaled, one)
+    r = (scaled - q.cast("decimal(20,0)") * one).cast("decimal(38,0)")
+    twice = (r * F.lit(2).cast("decimal(1,0)")).cast("decimal(38,0)")
+    q = q + F.when((twice > one) | ((twice == one) & (F.pmod(q, F.lit(2)) == 1)), 1).otherwise(0)
+    unit = 10 ** digits
+    text = F.concat(F.when(col_of(c) < 0, F.lit("-")).otherwise(F.lit("")), F.call_function("div", q, F.lit(unit).cast("long")).cast("string"),
+                    F.lit("."), F.lpad(F.pmod(q, F.lit(unit)).cast("string"), digits, "0"))
+    return F.when(x < float(2 ** 20), text).otherwise(F.format_string(f"%.{digits}f", col_of(c)))

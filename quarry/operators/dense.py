@@ -28,6 +28,8 @@ CELLS = 2_000_000
 # keep a per-batch candidate if within this much of the k-th best value, so the
 # Spark-side ranking on values rounded to 6 digits sees every possible tie
 RANK_MARGIN = 2e-6
+#: Blocks of questions that a worker keeps in memory; candidates that a task holds for all its questions.
+HELD_BLOCKS, HELD_ROWS = 4, 4_000_000
 
 
 # ---------------------------------------------------------------- column math
@@ -133,49 +135,60 @@ def knn(corpus: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "doc_
         cols.append(F.col(group_col).cast("string").alias("grp"))
     src = corpus.select(*cols).filter(F.col("v").isNotNull())
     out_schema = "qid long, doc_id long, distance double" + (", grp string" if group_col else "")
-    parts = []
-    for qids, Q in question_blocks(questions, max_rows=max_questions):
-        dim = Q.shape[1]
-
-        def kernel(batches, qids=qids, Q=Q, dim=dim):
-            # a running top-k for each group and question: a task's output doesn't grow with its rows
-            best: dict = {}
-            step = max(1, CELLS // len(qids))
-            for whole in batches:
-                for lo in range(0, whole.num_rows, step):
-                    b = whole.slice(lo, step)
-                    ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                    X = _matrix(b.column("v"), dim)
-                    d = sq_distances(X, Q)
+    spark = src.sparkSession
+    # a broadcast of bounded size for each block of questions; one scan takes them all up, one at a time
+    handles = [spark.sparkContext.broadcast(block) for block in question_blocks(questions, max_rows=max_questions)]
+    if not handles:
+        return spark.createDataFrame([], out_schema.replace("grp", group_col or "grp") + ", rk long")
+
+    def add(best, b, qids, Q):
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        X = _matrix(b.column("v"), Q.shape[1])
+        d = sq_distances(X, Q)
+        if group_col:
+            g = np.asarray(b.column("grp").to_pylist(), dtype=object)
+            groups = [(gv, np.flatnonzero(g == gv)) for gv in dict.fromkeys(g.tolist())]
+        else:
+            groups = [(None, np.arange(len(ids)))]
+        for gv, rows in groups:
+            bi, mj = _candidates(d[rows], k)
+            new = [mj, ids[rows][bi], exact_distances(X[rows][bi], Q[mj])]
+            held = best.get(gv)
+            q, i, x = new if held is None else [np.concatenate(p) for p in zip(held, new)]
+            order = np.lexsort((i, x, q))
+            q, i, x = q[order], i[order], x[order]
+            first = np.searchsorted(q, np.arange(len(qids)))
+            last = np.minimum(first + k - 1, np.append(first[1:], len(q)) - 1)
+            kth = x[np.clip(last, 0, None)] if len(x) else np.zeros(len(qids))
+            keep = (np.arange(len(q)) - first[q] < k) | (x <= kth[q] + RANK_MARGIN)
+            best[gv] = [q[keep], i[keep], x[keep]]
+
+    def kernel(batches):
+        # a running top-k for each group and question: a task's output doesn't grow with its rows
+        bests: list[dict] = [{} for _ in handles]
+
+        def sent():
+            for n, handle in enumerate(handles):
+                for gv, (q, i, x) in bests[n].items():
+                    cols = {"qid": pa.array(handle.value[0][q]), "doc_id": pa.array(i), "distance": pa.array(x)}
                     if group_col:
-                        g = np.asarray(b.column("grp").to_pylist(), dtype=object)
-                        groups = [(gv, np.flatnonzero(g == gv)) for gv in dict.fromkeys(g.tolist())]
-                    else:
-                        groups = [(None, np.arange(len(ids)))]
-                    for gv, rows in groups:
-                        bi, mj = _candidates(d[rows], k)
-                        new = [mj, ids[rows][bi], exact_distances(X[rows][bi], Q[mj])]
-                        held = best.get(gv)
-                        q, i, x = new if held is None else [np.concatenate(p) for p in zip(held, new)]
-                        order = np.lexsort((i, x, q))
-                        q, i, x = q[order], i[order], x[order]
-                        first = np.searchsorted(q, np.arange(len(qids)))
-                        last = np.minimum(first + k - 1, np.append(first[1:], len(q)) - 1)
-                        kth = x[np.clip(last, 0, None)] if len(x) else np.zeros(len(qids))
-                        keep = (np.arange(len(q)) - first[q] < k) | (x <= kth[q] + RANK_MARGIN)
-                        best[gv] = [q[keep], i[keep], x[keep]]
-            for gv, (q, i, x) in best.items():
-                cols = {"qid": pa.array(qids[q]), "doc_id": pa.array(i), "distance": pa.array(x)}
-                if group_col:
-                    cols["grp"] = pa.array([gv] * len(q), type=pa.string())
-                yield pa.RecordBatch.from_pydict(cols)
-
-        parts.append(src.mapInArrow(kernel, out_schema))
-    if not parts:
-        return src.sparkSession.createDataFrame([], out_schema + ", rk long")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+                        cols["grp"] = pa.array([gv] * len(q), type=pa.string())
+                    yield pa.RecordBatch.from_pydict(cols)
+                bests[n] = {}
+
+        for whole in batches:
+            for n, handle in enumerate(handles):
+                qids, Q = handle.value
+                step = max(1, CELLS // len(qids))
+                for lo in range(0, whole.num_rows, step):
+                    add(bests[n], whole.slice(lo, step), qids, Q)
+                if len(handles) > HELD_BLOCKS:
+                    handle.__dict__.pop("_value", None)     # read again from the local file when needed
+            if sum(len(x[0]) for best in bests for x in best.values()) > HELD_ROWS:
+                yield from sent()
+        yield from sent()
+
+    cands = src.mapInArrow(kernel, out_schema)
     cands = cands.withColumn("distance", F.round("distance", 6))
     part = ["qid", "grp"] if group_col else ["qid"]
     w = Window.partitionBy(*part).orderBy(F.asc("distance"), F.asc("doc_id"))

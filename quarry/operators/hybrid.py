@@ -23,16 +23,15 @@ TOP_K = 15
 LEGACY_TOP_K = 20
 
 def hybrid_candidates(collection: DataFrame, questions: DataFrame, alpha: float = ALPHA,
-                      threshold: float = THRESHOLD, k: int = TOP_K, route_col: str | None = None,
+                      threshold: float = THRESHOLD, k: int = TOP_K, route_cols: list[str] | None = None,
                       store: sc.Store | None = None) -> DataFrame:
     """Unranked (qid, doc_id, b, sn, score) rows, a superset of every question's top-k.
 
-    With ``route_col`` the questions' ``route_value`` restricts each routed question to documents
-    whose ``route_col`` equals it (after whole-corpus normalisation)."""
-    store = store or sc.open_store(collection, route_col)
-    parts = [sc.candidates(store, block, sc.bounds(store, block), alpha, threshold, k)
-             for block in sc.blocks(questions, store)]
-    return sc.union_all(parts, questions.sparkSession, sc.CANDIDATE_SCHEMA)
+    With ``route_cols`` the questions' ``route_value`` (a ``route_tag``) restricts each routed question to documents
+    that have it (after whole-corpus normalisation)."""
+    store = store or sc.open_store(collection, route_cols)
+    held = sc.HeldBlocks(questions.sparkSession, sc.blocks(questions, store))
+    return sc.all_candidates(store, held, sc.all_bounds(store, held), alpha, threshold, k)
 
 
 def rank_fused(cands: DataFrame, threshold: float = THRESHOLD, k: int | None = TOP_K) -> DataFrame:
@@ -77,34 +76,46 @@ def keyword_route(questions: DataFrame, routes=(), text_col: str = "question") -
                      .withColumn("route_value", none if val_expr is None else val_expr))
 
 
+def route_tag(column, value) -> Column:
+    """What a document must have for a route: its column and value in one text."""
+    return F.concat(column, F.lit("="), value)
+
+
 def hybrid_filtered(collection: DataFrame, questions: DataFrame, routes=(),
                     mode: str = "post", k: int = TOP_K, alpha: float = ALPHA,
                     threshold: float = THRESHOLD, route_col: str = "match",
                     store: sc.Store | None = None) -> DataFrame:
-    """Routed hybrid search.  Only routes on ``route_col`` filter; routes on other
-    columns (``stage`` in the reference) are ignored, as the reference does.
+    """Routed hybrid search.  A route applies to the column that it names, if the collection has it; one on a
+    column that is not there (``stage`` in the reference's collection) leaves the question unrouted.
 
     ``post``: rank over the whole collection, then drop routed-out rows (can
     return fewer than k).
     ``pre``: drop routed-out documents after whole-corpus normalisation and
     before ranking, so scores equal the post-filter ones but k rows are kept
-    when available."""
-    value = F.when(F.col("route_column") == F.lit(route_col), F.col("route_value"))
+    when available.  A given ``store`` must have been opened with the same route columns."""
+    columns = route_columns(collection, routes, route_col)
+    value = F.when(F.col("route_column").isin(columns), route_tag(F.col("route_column"), F.col("route_value")))
     routed = keyword_route(questions, routes).withColumn("route_value", value)
     if mode == "post":
         top = hybrid_search(collection, questions, alpha, threshold, k, store)
-        docs = collection.select("doc_id", F.col(route_col).cast("string").alias("__rv"))
+        docs = collection.select("doc_id", sc.route_tags(columns).alias("__tags"))
         return (top.join(bounded_broadcast(routed.select("qid", "route_value")), "qid")
                    .join(docs, "doc_id")
-                   .filter(F.col("route_value").isNull() | (F.col("__rv") == F.col("route_value")))
+                   .filter(F.col("route_value").isNull() | F.array_contains("__tags", F.col("route_value")))
                    .select("qid", "rk", "doc_id", "score", "bm25_norm", "sem_norm"))
     if mode != "pre":
         raise ValueError("mode must be 'pre' or 'post'")
-    cands = hybrid_candidates(collection, routed, alpha, threshold, k, route_col, store)
+    cands = hybrid_candidates(collection, routed, alpha, threshold, k, columns, store)
     return rank_fused(cands, threshold, k).select(
         "qid", "rk", "doc_id", "score", "bm25_norm", "sem_norm")
 
 
+def route_columns(collection: DataFrame, routes, route_col: str | None = None) -> list[str]:
+    """The columns of a collection that routes name, and the usual one."""
+    named = {r[2] for r in routes} | ({route_col} if route_col else set())
+    return sorted(c for c in named if c in collection.columns)
+
+
 # ------------------------------------------------------------ fan-out
 
 def multi_collection(comment_collection: DataFrame, other_collections: DataFrame,

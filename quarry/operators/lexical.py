@@ -122,7 +122,7 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     tot = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("n_tokens"))
     stats = keep(one_row_join(n, tot).withColumn(
-        "avgdl", F.col("n_tokens").cast("double") / F.col("n_docs")), "bm25-stats")
+        "avgdl", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_docs"))), "bm25-stats")
     dft = keep(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-df")
     idf = keep(bm25_idf(post, stats, epsilon, dft), "bm25-idf")
     return BM25Index(post, idf, stats, k1, b)

@@ -116,6 +116,71 @@ def messages_long(memory: DataFrame) -> DataFrame:
         "session_id", "msg_pos", "role", "content")
 
 
+#: Messages in a block: what a question joins with, besides the block it stands in itself.
+MESSAGE_BLOCK = 1024
+
+
+def messages_at(turns: DataFrame, asked: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """(session_id, turn, msg_pos, role, content): for every question the message list as it is sent -- the
+    memory at that turn, in turn order, and the question itself last.
+
+    The memory at a turn holds the system turns before it and the turns between the session's last ``clear``
+    before it and the turn.  ``asked`` (session_id, turn, content) are the questions with what is sent for them
+    (a prompt, say); by default every user turn that is no ``clear``, as it is.  Turns are numbered uniquely in a
+    session.
+
+    Positions come from running sums.  A question meets its memory by blocks of ``block`` messages, keyed by
+    (session, segment, block), so that a session of very many turns spreads over many tasks."""
+    size = block or MESSAGE_BLOCK
+    user_clear = (F.col("role") == "user") & (F.lower(py_strip("content")) == CMD_CLEAR)
+    clear = F.coalesce(user_clear, F.lit(False))
+    system = ~clear & F.coalesce(F.col("role") == "system", F.lit(False))
+    t = turns.select("session_id", "turn", "role", "content", clear.cast("int").alias("__clr"),
+                     system.cast("int").alias("__sys"), (~clear & ~system).cast("int").alias("__own"))
+    t = running_sums_within(t, ["session_id"], [F.asc("turn")],
+                            {"__clr": "__seg", "__sys": "__nsys", "__own": "__nown"})
+    # before a turn: its segment's start, system turns, own turns
+    t = t.withColumns({"__sys_at": F.col("__nsys") - F.col("__sys"), "__own_at": F.col("__nown") - F.col("__own")})
+    from quarry.session import materialize
+    t = materialize(t, "message-turns")
+    base = t.groupBy("session_id", "__seg").agg(F.min("__own_at").alias("__base"))
+    based = t.join(base, ["session_id", "__seg"])
+    questions = based.where((F.col("role") == "user") & (F.col("__clr") == 0))
+    if asked is not None:
+        questions = questions.drop("content").join(asked.select("session_id", "turn", "content"), ["session_id", "turn"])
+    questions = materialize(questions.select(
+        "session_id", "turn", "content", "__seg", "__base", "__sys_at", (F.col("__own_at") - F.col("__base")).alias("__idx")),
+        "message-questions")
+
+    def blocks(upto):
+        """The blocks that hold the first ``upto`` messages."""
+        n = F.ceil(F.col(upto) / F.lit(size)).cast("int")
+        return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+
+    def keyed(rows, kind, segment, block_col):
+        return rows.select("*", F.lit(kind).alias("__kind"), segment.alias("__part"), block_col.alias("__block"))
+
+    wants = keyed(questions, 0, F.col("__seg"), blocks("__idx")).unionByName(
+        keyed(questions, 1, F.lit(0).cast("bigint"), blocks("__sys_at")))
+    wants = wants.select(F.col("session_id").alias("q_session"), F.col("turn").alias("q_turn"), F.col("__idx").alias("q_idx"),
+                         F.col("__sys_at").alias("q_sys"), F.col("__base").alias("q_base"), "__kind", "__part", "__block")
+    idx = F.col("__own_at") - F.col("__base")
+    holds = keyed(based.where("__own = 1").withColumn("__i", idx), 0, F.col("__seg"), F.floor(F.col("__i") / size).cast("int"))
+    holds = holds.unionByName(keyed(based.where("__sys = 1").withColumn("__i", F.col("__sys_at")), 1,
+                                    F.lit(0).cast("bigint"), F.floor(F.col("__i") / size).cast("int")))
+    holds = holds.select("session_id", "role", "content", "__i", "__sys_at", "__own_at", "__kind", "__part", "__block")
+    met = holds.join(wants, (F.col("session_id") == F.col("q_session")) & (holds["__kind"] == wants["__kind"])
+                     & (holds["__part"] == wants["__part"]) & (holds["__block"] == wants["__block"]))
+    met = met.where(F.col("__i") < F.when(holds["__kind"] == 0, F.col("q_idx")).otherwise(F.col("q_sys")))
+    # an own turn stands after the system turns before it, a system turn after the segment's turns before it
+    pos = F.when(holds["__kind"] == 0, F.col("__sys_at") + F.col("__i")).otherwise(
+        F.col("__sys_at") + F.greatest(F.col("__own_at") - F.col("q_base"), F.lit(0)))
+    memory = met.select("session_id", F.col("q_turn").alias("turn"), pos.cast("bigint").alias("msg_pos"), "role", "content")
+    own = questions.select("session_id", "turn", (F.col("__sys_at") + F.col("__idx")).cast("bigint").alias("msg_pos"),
+                           F.lit("user").alias("role"), "content")
+    return memory.unionByName(own)
+
+
 def memory_append(memory: DataFrame, new_exchanges: DataFrame) -> DataFrame:
     """Rows appended to each session: the question alone (no context block), then
     the answer, numbered after the session's last turn in exchange order."""

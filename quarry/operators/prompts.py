@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import preview
+from quarry.functions.text import fixed_point, preview
 from quarry.operators.hybrid import THRESHOLD
 
 # Section headers and order of the prompt, and its cap on comment lines.
@@ -99,13 +99,26 @@ def fallback_flag(rows: DataFrame, questions: DataFrame, comment_collection: str
                     ((mx < threshold) & (F.coalesce(F.col("n_other"), F.lit(0)) == 0)).alias("fallback"))
 
 
-def debug_lines(rows: DataFrame, comment_collection: str = "comments", n_comments: int = 5) -> DataFrame:
-    """(qid, collection, rk, line): scores to 3 decimals with previews (80 chars and
-    only the first ``n_comments`` for comments, 100 chars otherwise)."""
+def debug_lines(rows: DataFrame, comment_collection: str = "comments", n_comments: int = 5,
+                named: DataFrame | None = None) -> DataFrame:
+    """(qid, collection, rk, line): scores to 3 decimals.  Comments (the first ``n_comments``) show their
+    match and 80 characters; rows of the collections that ``named`` (collection, doc_id, name, detail)
+    covers show the name and its detail, a question mark for what is missing; others 100 characters.
+
+    ``named`` has one row at most for a (collection, doc_id); a collection is covered if it has any."""
     r = rows.filter((F.col("collection") != comment_collection) | (F.col("rk") <= n_comments))
-    score = F.format_string("%.3f", F.col("score"))
+    score = F.concat(F.lit("["), fixed_point("score"), F.lit("] "))
+    by_name = F.lit(False)
+    if named is not None:
+        # few collections, whatever the number of names
+        covered = [x[0] for x in named.select("collection").distinct().limit(1000).collect()]
+        by_name = F.col("collection").isin(covered)
+        r = r.join(named.select("collection", "doc_id", "name", "detail"), ["collection", "doc_id"], "left")
+        label = F.concat(F.coalesce("name", F.lit("?")), F.lit(" ("), F.coalesce("detail", F.lit("?")), F.lit(")"))
+    else:
+        label = F.lit("")
     line = F.when(F.col("collection") == comment_collection,
-                  F.concat(F.lit("["), score, F.lit("] ["), F.col("match"), F.lit("] "),
-                           preview("text", 80), F.lit("..."))
-                  ).otherwise(F.concat(F.lit("["), score, F.lit("] "), preview("text", 100), F.lit("...")))
+                  F.concat(score, F.lit("["), F.col("match"), F.lit("] "), preview("text", 80), F.lit("..."))
+                  ).when(by_name, F.concat(score, label)
+                  ).otherwise(F.concat(score, preview("text", 100), F.lit("...")))
     return r.select("qid", "collection", "rk", line.alias("line"))

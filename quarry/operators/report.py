@@ -21,6 +21,39 @@ def joined(arr, sep: str = " and ") -> Column:
     return F.array_join(F.col(arr) if isinstance(arr, str) else arr, sep)
 
 
+def coach_text(coach: str = "coach") -> Column:
+    """`` Coach: ign (real_name)`` of a VARIANT that is an object, `` Coach: text`` of one that is text, nothing
+    where it is absent, null or empty."""
+    v = F.col(coach)
+    kind = F.schema_of_variant(v)
+
+    def field(name):
+        return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("None"))
+
+    text = F.try_variant_get(v, "$", "string")
+    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(""))
+             .when(kind.startswith("OBJECT"), F.concat(F.lit(" Coach: "), field("ign"), F.lit(" ("), field("real_name"), F.lit(")")))
+             .when((kind == "STRING") & (text != ""), F.concat(F.lit(" Coach: "), text)).otherwise(F.lit("")))
+
+
+def roster_line(roster: str = "roster") -> Column:
+    """``full_name/abbr (region, result): name (role), ....`` and the coach; ``roster`` holds (role, name)
+    in the team's order."""
+    players = F.array_join(F.transform(roster, lambda p: F.concat(p["name"], F.lit(" ("), p["role"], F.lit(")"))), ", ")
+    return F.concat(F.col("full_name"), F.lit("/"), F.col("abbr"), F.lit(" ("), F.col("region"), F.lit(", "), F.col("result"),
+                    F.lit("): "), players, F.lit("."), coach_text())
+
+
+def group_line() -> Column:
+    """``- group: a and b advanced. c and d eliminated.``"""
+    return F.concat(F.lit("- "), F.col("group_name"), F.lit(": "), joined("advanced"), F.lit(" advanced. "),
+                    joined("eliminated"), F.lit(" eliminated."))
+
+
+def storyline() -> Column:
+    return F.concat(F.lit("- "), F.col("narrative"), F.lit(": "), F.col("description"))
+
+
 def lines(section_ord: int, df: DataFrame, line_ord, line) -> DataFrame:
     lo = F.col(line_ord) if isinstance(line_ord, str) else line_ord
     ln = F.col(line) if isinstance(line, str) else line

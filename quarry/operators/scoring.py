@@ -1,9 +1,11 @@
 """Lexical and dense scores of a block of questions, side by side over one scan of the documents.
 
-The store holds a row per document: its tokens, its vector (or null) and a column to route on.
+The store holds a row per document: its tokens, its vector (or null) and what routes can ask for.
 Nothing is shuffled to score it.  A first pass gives per question the largest lexical score and
 the distance bounds (three numbers per task and question); a second one scores again with those
 and keeps a running top-k per task, so that at most tasks x questions x k rows leave the scan.
+Two scans answer any number of questions: the blocks go to the executors' disks as broadcasts of bounded
+size, and a task takes them up one after the other for each batch of documents.
 
 A document without a vector, and every document for a question without one, has semantic
 score 0 and competes on its lexical half; a document without a hit competes on the other.
@@ -29,6 +31,8 @@ CELLS = 2_000_000
 QUESTIONS = 1024
 #: Values this close to the k-th best go on to the ranking, which rounds to 6 digits.
 RANK_MARGIN = 2e-6
+#: Candidates that a task holds for all its questions.
+HELD_ROWS = 4_000_000
 
 
 @dataclass
@@ -49,13 +53,19 @@ class Store:
 _OPEN: dict[tuple, Store] = {}
 
 
-def open_store(collection: DataFrame, route_col: str | None = None,
+def route_tags(columns) -> F.Column:
+    """``column=value`` of each of a document's route columns that is not null."""
+    tags = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns or ()]
+    return F.array_compact(F.array(*tags)).cast("array<string>")
+
+
+def open_store(collection: DataFrame, route_cols: list[str] | None = None,
                index: lx.BM25Index | None = None) -> Store:
     """The collection (doc_id, text, embedding, ...) as a store in the index folder; built when
     there is none with the same content, reopened otherwise, by this session or a later one."""
     from quarry.session import index_dir, is_complete, mark_complete, memo_fingerprint
     spark = collection.sparkSession
-    route = F.col(route_col).cast("string") if route_col else F.lit(None).cast("string")
+    route = route_tags(route_cols)
     vector = F.col("embedding") if "embedding" in collection.columns else F.lit(None)
     narrow = collection.select("doc_id", "text", vector.cast("array<double>").alias("v"), route.alias("rv"))
 
@@ -178,25 +188,67 @@ def _scored(batches, block: Block, dense: bool):
             yield ids, lexical, hits, distance, bt.column("rv").to_pylist() if block.routes else None
 
 
-def bounds(store: Store, block: Block) -> np.ndarray:
-    """Per question: largest lexical score of a hit (NaN without one), largest and smallest distance."""
+class HeldBlocks:
+    """Blocks that tasks take up one at a time: each a broadcast of its own, of bounded size."""
+
+    #: Blocks that a worker keeps in memory; of more it keeps one.
+    KEPT = 4
+
+    def __init__(self, spark, blocks):
+        self.sizes, self.handles = [], []
+        for block in blocks:
+            self.sizes.append(len(block.qids))
+            self.handles.append(spark.sparkContext.broadcast(block))
+
+    def __len__(self):
+        return len(self.sizes)
+
+    def take(self):
+        """(number, block) of all, in a task."""
+        for i, handle in enumerate(self.handles):
+            yield i, handle.value
+            if len(self) > self.KEPT:
+                handle.__dict__.pop("_value", None)     # read again from the local file when needed
+
+
+def _no_bounds(m: int) -> np.ndarray:
+    return np.stack([np.full(m, -np.inf), np.full(m, -np.inf), np.full(m, np.inf)])
+
+
+def all_bounds(store: Store, held: HeldBlocks) -> list[np.ndarray]:
+    """For each block, per question: largest lexical score of a hit (NaN without one), largest and smallest
+    distance.  One scan."""
 
     def run(batches):
-        out = np.stack([np.full(len(block.qids), -np.inf), np.full(len(block.qids), -np.inf),
-                        np.full(len(block.qids), np.inf)])
-        for _, lexical, hits, distance, _ in _scored(batches, block, True):
-            out[0] = np.maximum(out[0], np.where(hits, lexical, -np.inf).max(axis=0, initial=-np.inf))
-            out[1] = np.maximum(out[1], np.where(np.isnan(distance), -np.inf, distance).max(axis=0, initial=-np.inf))
-            out[2] = np.minimum(out[2], np.where(np.isnan(distance), np.inf, distance).min(axis=0, initial=np.inf))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(block.qids))), *[pa.array(x) for x in out]],
-                                         names=["q", "top", "far", "near"])
-
-    rows = (store.rows.select("doc_id", "tokens", "v", "rv").mapInArrow(run, "q long, top double, far double, near double")
-            .groupBy("q").agg(F.max("top").alias("top"), F.max("far").alias("far"), F.min("near").alias("near")).collect())
-    out = np.stack([np.full(len(block.qids), -np.inf), np.full(len(block.qids), -np.inf), np.full(len(block.qids), np.inf)])
-    for r in rows:
-        out[:, r["q"]] = r["top"], r["far"], r["near"]
-    return out
+        outs = [_no_bounds(m) for m in held.sizes]
+        for whole in batches:
+            for i, block in held.take():
+                out = outs[i]
+                for _, lexical, hits, distance, _ in _scored([whole], block, True):
+                    out[0] = np.maximum(out[0], np.where(hits, lexical, -np.inf).max(axis=0, initial=-np.inf))
+                    out[1] = np.maximum(out[1], np.where(np.isnan(distance), -np.inf, distance).max(axis=0, initial=-np.inf))
+                    out[2] = np.minimum(out[2], np.where(np.isnan(distance), np.inf, distance).min(axis=0, initial=np.inf))
+        for i, out in enumerate(outs):
+            m = out.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i)), pa.array(np.arange(m)), *[pa.array(x) for x in out]],
+                                             names=["block", "q", "top", "far", "near"])
+
+    outs = [_no_bounds(m) for m in held.sizes]
+    if not outs:
+        return outs
+    rows = (store.rows.select("doc_id", "tokens", "v", "rv")
+            .mapInArrow(run, "block long, q long, top double, far double, near double").groupBy("block", "q")
+            .agg(F.max("top").alias("top"), F.max("far").alias("far"), F.min("near").alias("near")).toArrow())
+    block, q = (rows.column(c).to_numpy() for c in ("block", "q"))
+    for i, out in enumerate(outs):
+        own = block == i
+        out[:, q[own]] = np.stack([rows.column(c).to_numpy()[own] for c in ("top", "far", "near")])
+    return outs
+
+
+def bounds(store: Store, block: Block) -> np.ndarray:
+    """The bounds of one block's questions."""
+    return all_bounds(store, HeldBlocks(store.rows.sparkSession, [block]))[0]
 
 
 class _Best:
@@ -227,54 +279,64 @@ class _Best:
         self.rows = [x[keep] for x in (q, d, s, lex, sem)]
 
 
-def candidates(store: Store, block: Block, found: np.ndarray | None, alpha: float, threshold: float | None,
-               k: int, dense_only: bool = False) -> DataFrame:
-    """(qid, doc_id, score, b, sn): a superset of each question's top-k.  ``found`` are the bounds
-    (None: plain lexical scores); ``threshold`` is strict; with ``dense_only`` only pairs of vectors
+def all_candidates(store: Store, held: HeldBlocks, found: list | None, alpha: float, threshold: float | None,
+                   k: int, dense_only: bool = False) -> DataFrame:
+    """(qid, doc_id, score, b, sn): a superset of each question's top-k, in one scan.  ``found`` are the bounds of each
+    block (None: plain lexical scores); ``threshold`` is strict; with ``dense_only`` only pairs of vectors
     take part."""
 
-    def run(batches):
-        best = _Best(len(block.qids), k)
-        for ids, lexical, hits, distance, routes in _scored(batches, block, found is not None):
-            if found is None:
-                b, sn, score = lexical, np.zeros_like(lexical), lexical
-            else:
-                top, far, near = found
-                b = np.where(hits, np.where(top > 0, lexical / np.where(top > 0, top, 1), lexical), 0.0)
-                span = np.where(far > near, far - near, 1.0)
-                sn = np.where(np.isnan(distance), 0.0, (np.where(np.isfinite(far), far, 0) - distance) / span)
-                score = alpha * b + (1 - alpha) * sn
-            live = np.ones(score.shape, dtype=bool) if threshold is None else score > threshold
-            if dense_only:
-                live &= ~np.isnan(distance)
-            if routes is not None:
-                free = np.array([r is None for r in block.routes])
-                live &= free[None, :] | (np.array(routes, dtype=object)[:, None] == np.array(block.routes, dtype=object)[None, :])
-            best.add(ids, score, live, b, sn)
+    def sent(block, best):
         q, d, s, lex, sem = best.rows
-        yield pa.RecordBatch.from_arrays([pa.array(block.qids[q]), pa.array(d), pa.array(s), pa.array(lex), pa.array(sem)],
-                                         names=["qid", "doc_id", "score", "b", "sn"])
-
-    return store.rows.select("doc_id", "tokens", "v", "rv").mapInArrow(
-        run, "qid long, doc_id long, score double, b double, sn double")
+        return pa.RecordBatch.from_arrays([pa.array(block.qids[q]), pa.array(d), pa.array(s), pa.array(lex), pa.array(sem)],
+                                          names=["qid", "doc_id", "score", "b", "sn"])
 
-
-def union_all(parts: list[DataFrame], spark, schema: str) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    def run(batches):
+        bests = [_Best(m, k) for m in held.sizes]
+        for whole in batches:
+            for i, block in held.take():
+                best = bests[i]
+                for ids, lexical, hits, distance, routes in _scored([whole], block, found is not None):
+                    if found is None:
+                        b, sn, score = lexical, np.zeros_like(lexical), lexical
+                    else:
+                        top, far, near = found[i]
+                        b = np.where(hits, np.where(top > 0, lexical / np.where(top > 0, top, 1), lexical), 0.0)
+                        span = np.where(far > near, far - near, 1.0)
+                        sn = np.where(np.isnan(distance), 0.0, (np.where(np.isfinite(far), far, 0) - distance) / span)
+                        score = alpha * b + (1 - alpha) * sn
+                    live = np.ones(score.shape, dtype=bool) if threshold is None else score > threshold
+                    if dense_only:
+                        live &= ~np.isnan(distance)
+                    if routes is not None:
+                        live &= _routed(routes, block.routes)
+                    best.add(ids, score, live, b, sn)
+            if sum(len(b.rows[0]) for b in bests) > HELD_ROWS:      # very many questions: what is held goes on, to be ranked
+                for i, block in held.take():
+                    yield sent(block, bests[i])
+                bests = [_Best(m, k) for m in held.sizes]
+        for i, block in held.take():
+            yield sent(block, bests[i])
+
+    if not len(held):
+        return store.rows.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
+    return store.rows.select("doc_id", "tokens", "v", "rv").mapInArrow(run, CANDIDATE_SCHEMA)
+
+
+def _routed(has: list, wanted: list) -> np.ndarray:
+    """Which documents a question may have: all, or those with its route."""
+    free = np.array([r is None for r in wanted])
+    out = np.repeat(free[None, :], len(has), axis=0)
+    for tag in {r for r in wanted if r is not None}:
+        own = np.array([r == tag for r in wanted])
+        out |= np.array([tag in (tags or ()) for tags in has], dtype=bool)[:, None] & own[None, :]
     return out
 
 
-CANDIDATE_SCHEMA = "qid long, doc_id long, score double, b double, sn double"
+def candidates(store: Store, block: Block, found: np.ndarray | None, alpha: float, threshold: float | None,
+               k: int, dense_only: bool = False) -> DataFrame:
+    """The candidates of one block's questions."""
+    return all_candidates(store, HeldBlocks(store.rows.sparkSession, [block]), None if found is None else [found], alpha, threshold,
+                          k, dense_only)
 
 
-def bm25_top_k(store: Store, questions: DataFrame, k: int = 5) -> DataFrame:
-    """(qid, rk, doc_id, score): the k best documents of the whole corpus by rounded BM25 score,
-    ties by id; documents without a hit score 0 and are ranked too."""
-    parts = [candidates(store, b, None, 1.0, None, k) for b in blocks(questions, store)]
-    found = union_all(parts, questions.sparkSession, CANDIDATE_SCHEMA)
-    scored = found.select("qid", "doc_id", F.round("score", 6).alias("score"))
-    return lx.rank_within(scored, "qid", [F.desc("score"), F.asc("doc_id")], k).select("qid", "rk", "doc_id", "score")
+CANDIDATE_SCHEMA = "qid long, doc_id long, score double, b double, sn double"

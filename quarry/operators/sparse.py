@@ -19,13 +19,16 @@ TOP_K = 5
 
 
 def sparse_weights(token_logits: DataFrame, id_col: str = "doc_id",
-                   distinct_terms: bool = False) -> DataFrame:
-    """(id, term, weight > 0) from (id, term, logit) rows, one per token occurrence.
+                   distinct_terms: bool = False, mask_col: str | None = None) -> DataFrame:
+    """(id, term, weight > 0) from (id, term, logit) rows, one per token occurrence; ``mask_col`` is 0 for
+    occurrences that count nothing (padding), 1 for others.
 
     ``distinct_terms``: the input already has one row per (id, term) (e.g. it is
     derived from postings), so the max is the row itself -- a map-only
     projection that keeps the input's partitioning (no shuffle)."""
     w = F.log1p(F.greatest(F.col("logit").cast("double"), F.lit(0.0)))
+    if mask_col:
+        w = w * F.col(mask_col).cast("double")
     if distinct_terms:
         out = token_logits.select(id_col, "term", w.alias("weight"))
     else:

@@ -13,6 +13,27 @@ DEFAULT_ROLES = ("Unknown",)
 ROLE_ORDER = ("Top", "Jungle", "Mid", "Bot", "Support", "Unknown")
 
 
+def image_url(key, version: str, base: str) -> Column:
+    """The image of an entity, from its key."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.concat(F.lit(f"{base}/{version}/img/champion/"), k, F.lit(".png"))
+
+
+def base_entry(roster: DataFrame, base: DataFrame, version: str, image_base: str) -> DataFrame:
+    """roster (data_dragon_key, display_name, ...) with name, title, tags, blurb and image from ``base``
+    (data_dragon_key, name, title, tags, blurb); an entity that is not there gets its display name, the default
+    title, no tags, an empty blurb and no image."""
+    known = base.select("data_dragon_key", F.col("name").alias("b_name"), "title", "tags", "blurb", F.lit(True).alias("found"))
+    both = roster.join(known, "data_dragon_key", "left")
+    found = F.coalesce("found", F.lit(False))
+    return both.withColumns({
+        "name": F.when(found, F.col("b_name")).otherwise(F.col("display_name")),
+        "title": F.when(found, F.col("title")).otherwise(F.lit(DEFAULT_TITLE)),
+        "tags": F.when(found, F.col("tags")).otherwise(F.array().cast("array<string>")),
+        "blurb": F.when(found, F.col("blurb")).otherwise(F.lit("")),
+        "image": F.when(found, image_url("data_dragon_key", version, image_base))}).drop("b_name", "found")
+
+
 def left_join_defaults(left: DataFrame, right: DataFrame, key, defaults: dict) -> DataFrame:
     """Left lookup; every column named in ``defaults`` is coalesced to its default
     (a Column or a literal).  The lookup side can be as large as the left side, so

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.sizing import bounded_broadcast
 from quarry.operators import hybrid as hy
 from quarry.operators import prompts as pr
 from quarry.operators.stats import guarded_rate
@@ -27,8 +28,18 @@ SECTIONS = ([("c0", pr.SECTION_HEADERS[0][1]), ("c1", pr.SECTION_HEADERS[1][1]),
 def retrieved_rows(spark, sf):
     rows = hy.multi_collection(bd.comment_collection(spark, sf), bd.label_collections(spark, sf),
                                bd.question_vectors(spark, sf), routes=BOUND_ROUTES)
-    # fetch texts after the limits
-    return rows.join(bd.comments(spark, sf).select("doc_id", "text", "match", "upvotes"), "doc_id")
+    # fetch texts after the limits: the few ids go to the documents, not the texts to the ids
+    ids = bounded_broadcast(materialize(rows, "retrieved"), 500_000)
+    return ids.join(bd.comments(spark, sf).select("doc_id", "text", "match", "upvotes"), "doc_id")
+
+
+def names(spark, sf):
+    """Who the rows of two collections are about: c1 (players) with the team, c2 (champions) with the role;
+    the part of the same number gives name, brand and type."""
+    parts = load(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type").select(
+        F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), "p_brand", "p_type")
+    return (parts.select(F.lit("c1").alias("collection"), "doc_id", "name", F.col("p_brand").alias("detail"))
+            .unionByName(parts.select(F.lit("c2").alias("collection"), "doc_id", "name", F.col("p_type").alias("detail"))))
 
 
 def q_prompt_sections(spark, sf):
@@ -49,7 +60,7 @@ def q_fallback_flag(spark, sf):
 
 
 def q_retrieval_debug(spark, sf):
-    return pr.debug_lines(retrieved_rows(spark, sf))
+    return pr.debug_lines(retrieved_rows(spark, sf), named=names(spark, sf))
 
 
 def q_eval_prompts(spark, sf):
@@ -67,16 +78,19 @@ def q_eval_prompts(spark, sf):
 # ------------------------------------------------------------- evaluation
 
 def grades(spark, sf):
-    """Evaluation binding: question_id = benchmark item, expected and answer = the
-    document with that id, raw grade from labels (toxic = 1 -> failed call)."""
+    """Evaluation binding: question_id = benchmark item, expected = the first reply in the conversation with
+    that id, answer = the document with that id, raw grade from labels (toxic = 1 -> failed call)."""
     b = load(spark, sf, "benchmark", "item_id", "text")
     d = load(spark, sf, "documents", "doc_id", "text")
     lab = load(spark, sf, "labels", "doc_id", "quality", "toxic")
+    replies = load(spark, sf, "conversations", "conv_id", "turn", "role", "text").where("role = 'assistant'")
+    first = replies.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    expected = replies.join(first, ["conv_id", "turn"]).select(F.col("conv_id").alias("question_id"), F.col("text").alias("expected"))
     return (b.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
              .join(d.select(F.col("doc_id").alias("question_id"), F.col("text").alias("answer")),
                    "question_id", "left")
              .join(lab.withColumnRenamed("doc_id", "question_id"), "question_id", "left")
-             .withColumn("expected", F.col("answer"))
+             .join(expected, "question_id", "left")
              .withColumn("raw_grade", F.when(F.col("toxic") == 1, F.lit(None).cast("string"))
                          .when(F.col("quality") == 1, F.lit(" pass."))
                          .when(F.col("quality") == 0, F.lit("Fail"))))
@@ -151,11 +165,12 @@ fb AS (SELECT b.item_id AS qid,
        FROM benchmark b LEFT JOIN rows r ON r.qid = b.item_id GROUP BY b.item_id)"""
 
 GRADES_SQL = """
-g AS (SELECT b.item_id AS question_id, b.text AS question, d.text AS answer, d.text AS expected,
+ex AS (SELECT conv_id, arg_min(text, turn) AS expected FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+g AS (SELECT b.item_id AS question_id, b.text AS question, d.text AS answer, ex.expected,
              CASE WHEN l.toxic = 1 THEN NULL WHEN l.quality = 1 THEN ' pass.' WHEN l.quality = 0 THEN 'Fail' END
                AS raw_grade
       FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id
-      LEFT JOIN labels l ON l.doc_id = b.item_id),
+      LEFT JOIN labels l ON l.doc_id = b.item_id LEFT JOIN ex ON ex.conv_id = b.item_id),
 gp AS (SELECT *, CASE WHEN raw_grade IS NULL THEN 'ERROR'
                       WHEN contains(upper(trim(raw_grade)), 'PASS') THEN 'PASS' ELSE 'FAIL' END AS grade FROM g)"""
 
@@ -172,8 +187,11 @@ FROM prompts""",
 SELECT qid, collection, rk,
        CASE WHEN collection = 'comments'
             THEN '[' || printf('%.3f', score) || '] [' || match || '] ' || substring(text, 1, 80) || '...'
+            WHEN collection IN ('c1', 'c2')
+            THEN '[' || printf('%.3f', score) || '] ' || coalesce(p_name, '?') || ' ('
+                 || coalesce(CASE WHEN collection = 'c1' THEN p_brand ELSE p_type END, '?') || ')'
             ELSE '[' || printf('%.3f', score) || '] ' || substring(text, 1, 100) || '...' END AS line
-FROM rows WHERE collection <> 'comments' OR rk <= 5""",
+FROM rows LEFT JOIN part ON p_partkey = doc_id WHERE collection <> 'comments' OR rk <= 5""",
     "eval_prompts": f"""WITH {ROWS_CTES}
 SELECT p.qid, (fb.max_score < 0.1 AND fb.n_other = 0) AS fallback,
        CASE WHEN fb.max_score < 0.1 AND fb.n_other = 0 THEN {_q(pr.REFUSAL)}

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from quarry.operators import collections as co
 from quarry.operators import dense as dn
+from quarry.operators import inverted as iv
 from quarry.operators import lexical as lx
 from quarry.functions.sizing import bounded_broadcast
 from quarry.operators import sparse as sp
 from quarry.plans import bindings as bd
 from quarry.plans.sqlfrag import COMMENTS, QUESTIONS, bm25_ctes, tok
+from quarry.session import index_dir
 from quarry.sources.tables import load
 
 
@@ -83,10 +85,14 @@ def q_sparse_weights(spark, sf):
 
 
 def q_sparse_top5(spark, sf):
-    qs = bd.questions(spark, sf)
+    qs, docs = bd.questions(spark, sf), bd.comments(spark, sf).select("doc_id", "text")
     idx, dw = _weights(spark, sf)
+    n, fp = lx.corpus_fingerprint(docs)
+    # the weights are stored once, as postings with block bounds
+    stored = iv.build_inverted(dw.select("term", "doc_id", F.col("weight").alias("a"), F.lit(0.0).alias("b")), n,
+                               f"{index_dir(spark)}/sparse/{n}-{fp & (2**64 - 1):016x}-{iv.BLOCK_DOCS}")
     qw = sp.sparse_weights(token_logits(idx, lx.question_terms(qs), "qid"), "qid", distinct_terms=True)
-    return sp.sparse_top_k(dw, qw, qs, 5)
+    return iv.sparse_top_k(stored, qw, qs, 5)
 
 
 def q_knn_lsh(spark, sf):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.sizing import fits
 from quarry.functions.text import preview
+from quarry.operators import inverted as iv
 from quarry.operators import lexical as lx
-from quarry.operators import scoring as sc
 from quarry.plans import bindings as bd
 from quarry.plans.sqlfrag import COMMENTS, QUESTIONS, bm25_ctes, tok
 
@@ -34,7 +34,7 @@ def q_bm25_scores(spark, sf):
 
 def q_bm25_top5(spark, sf):
     docs = bd.comments(spark, sf)
-    top = sc.bm25_top_k(sc.open_store(docs), bd.questions(spark, sf), k=5)
+    top = iv.bm25_top_k(docs, bd.questions(spark, sf), k=5)
     # fetch text only after the limit
     return top.join(docs.select("doc_id", "match", "text"), "doc_id").select(
         "qid", "rk", "doc_id", "score", "match", preview("text", 200).alias("body"))

@@ -46,6 +46,11 @@ def q_messages_build(spark, sf):
     return mem.messages_long(mem.memory_since_reset(turns(spark, sf)))
 
 
+def q_messages_at(spark, sf):
+    """The message list of every question as it stood when it was asked."""
+    return mem.messages_at(turns(spark, sf))
+
+
 def q_cache_hits(spark, sf):
     hits, _ = mem.cache_split(user_questions(spark, sf), cache_table(spark, sf), ["session_id", "turn"])
     return hits.select("session_id", "turn", "question_key", "answer")
@@ -81,6 +86,7 @@ QUERIES = {
     "command_parse": q_command_parse,
     "memory_since_reset": q_memory_since_reset,
     "messages_build": q_messages_build,
+    "messages_at": q_messages_at,
     "cache_hits": q_cache_hits,
     "cache_misses": q_cache_misses,
     "cache_upsert": q_cache_upsert,
@@ -135,6 +141,14 @@ SELECT session_id, turn, command, (ntog % 2 = 1) AS debug_on,
     "messages_build": f"""WITH {MEMORY_SQL}
 SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1)::BIGINT AS msg_pos,
        role, content FROM memo""",
+    "messages_at": f"""WITH {MEMORY_SQL},
+q AS (SELECT session_id, turn, seg, content FROM t2 WHERE role = 'user' AND clr = 0),
+m AS (SELECT q.session_id, q.turn, s.turn AS at, s.role, s.content
+      FROM q JOIN t2 s ON s.session_id = q.session_id AND s.turn < q.turn
+      WHERE s.role = 'system' OR (s.seg = q.seg AND s.clr = 0)
+      UNION ALL SELECT session_id, turn, turn, 'user', content FROM q)
+SELECT session_id, turn, (row_number() OVER (PARTITION BY session_id, turn ORDER BY at) - 1)::BIGINT AS msg_pos,
+       role, content FROM m""",
     "cache_hits": f"""WITH {CACHE_SQL}
 SELECT uq.session_id, uq.turn, uq.question_key, cache.answer FROM uq JOIN cache USING (question_key)""",
     "cache_misses": f"""WITH {CACHE_SQL}

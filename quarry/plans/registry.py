@@ -14,6 +14,8 @@ _MODULES = [
     "quarry.plans.sources",
     "quarry.plans.indexing",
     "quarry.plans.legacy",
+    "quarry.plans.documents",
+    "quarry.plans.inventory",
     "quarry.plans.streams",
 ]
 

@@ -44,9 +44,8 @@ def q_mean_pool(spark, sf):
 
 def q_score_minmax(spark, sf):
     store = sc.open_store(bd.comment_collection(spark, sf))
-    parts = [sc.candidates(store, block, sc.bounds(store, block), 0.0, None, 15, dense_only=True)
-             for block in sc.blocks(bd.question_vectors(spark, sf), store)]
-    c = sc.union_all(parts, spark, sc.CANDIDATE_SCHEMA).select("qid", "doc_id", F.round("sn", 6).alias("sem_norm"))
+    held = sc.HeldBlocks(spark, sc.blocks(bd.question_vectors(spark, sf), store))
+    c = sc.all_candidates(store, held, sc.all_bounds(store, held), 0.0, None, 15, dense_only=True).select("qid", "doc_id", F.round("sn", 6).alias("sem_norm"))
     return lx.rank_within(c, "qid", [F.desc("sem_norm"), F.asc("doc_id")], 15).select(
         "qid", "rk", "doc_id", "sem_norm")
 

@@ -15,13 +15,13 @@ def bm25_ctes(corpus: str, questions: str) -> str:
     """CTEs ``st, p, idf, w, qt, s`` for BM25 over ``corpus(doc_id, text)`` and
     ``questions(qid, question)``; ``s`` = (qid, doc_id, score) for hit pairs."""
     return f"""
-d AS (SELECT doc_id, {tok('text')} AS toks FROM {corpus}),
-st AS (SELECT count(*) AS n_docs, sum(coalesce(len(toks), 0)) AS n_tokens,
+d AS MATERIALIZED (SELECT doc_id, {tok('text')} AS toks FROM {corpus}),
+st AS MATERIALIZED (SELECT count(*) AS n_docs, sum(coalesce(len(toks), 0)) AS n_tokens,
               sum(coalesce(len(toks), 0))::DOUBLE / count(*) AS avgdl FROM d),
-p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
       FROM (SELECT doc_id, coalesce(len(toks), 0) AS dl, unnest(toks) AS term FROM d)
       GROUP BY doc_id, term),
-dfr AS (SELECT term, count(*) AS df,
+dfr AS MATERIALIZED (SELECT term, count(*) AS df,
                ln((SELECT n_docs FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw_idf
         FROM p GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM dfr)

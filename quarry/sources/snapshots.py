@@ -27,7 +27,12 @@ def read_snapshots(spark: SparkSession, paths) -> DataFrame:
     """(thread_id, listing) per file; thread_id = file name without extension."""
     raw = spark.read.text(paths, wholetext=True).withColumn("__path", F.input_file_name())
     tid = F.regexp_extract("__path", r"([^/]+?)(\.json)?$", 1)
-    return raw.select(tid.alias("thread_id"), F.from_json("value", LISTING_SCHEMA).alias("listing"))
+    return parse_snapshots(raw.select(tid.alias("thread_id"), "value"))
+
+
+def parse_snapshots(raw: DataFrame) -> DataFrame:
+    """(thread_id, listing) of (thread_id, value): snapshots as JSON text."""
+    return raw.select("thread_id", F.from_json("value", LISTING_SCHEMA).alias("listing"))
 
 
 def thread_children(snapshots: DataFrame) -> DataFrame:
@@ -83,13 +88,16 @@ def harvest(spark: SparkSession, threads: DataFrame, snapshot_dir: str) -> DataF
     ``threads``: (ord, label, thread_id).  Returns (ord, match, author, body,
     score) where ``ord`` orders rows as harvested: label order, then series
     before games in link order, then comment position."""
-    snaps = read_snapshots(spark, f"{snapshot_dir.rstrip('/')}/*.json")
-    kids = thread_children(snaps)
+    return harvest_children(threads, thread_children(read_snapshots(spark, f"{snapshot_dir.rstrip('/')}/*.json")))
+
+
+def harvest_children(threads: DataFrame, kids: DataFrame, pattern: str = GAME_LINK_PATTERN) -> DataFrame:
+    """The harvest of parsed snapshots; ``kids`` are all threads' children."""
     comments = thread_comments(kids)
     series = threads.join(comments, "thread_id").select(
         F.col("ord").alias("label_ord"), F.lit(0).cast("bigint").alias("game_no"),
         F.concat(F.col("label"), F.lit(" (Series)")).alias("match"), "pos", "author", "body", "score")
-    links = first_links(kids).join(threads, "thread_id")
+    links = first_links(kids, pattern=pattern).join(threads, "thread_id")
     games = (links.select(F.col("ord").alias("label_ord"), (F.col("link_pos") + 1).alias("game_no"),
                           F.concat(F.col("label"), F.lit(" - Game "),
                                    (F.col("link_pos") + 1).cast("string")).alias("match"),

@@ -128,3 +128,36 @@ def test_documents_and_questions_without_a_vector_compete_by_words(spark):
     assert got[1, 1]["bm25_norm"] == 1 and got[1, 1]["sem_norm"] == 0 and got[1, 1]["score"] == 0.5
     assert got[1, 2]["sem_norm"] == 1 and got[1, 2]["bm25_norm"] == 0
     assert [k for k in got if k[0] == 2] == [(2, 1)]
+
+
+def test_routes_on_any_column_of_the_collection(spark):
+    coll = spark.createDataFrame([(i, f"red fox {i}", "m1" if i % 2 else "m2", "semi" if i < 3 else None, [1.0, float(i)]) for i in range(8)],
+                                 "doc_id long, text string, match string, stage string, embedding array<float>")
+    qs = spark.createDataFrame([(1, "red semi", [1.0, 2.0]), (2, "red m1", [1.0, 3.0]), (3, "red", [1.0, 4.0]), (4, "fox nowhere", [1.0, 4.0])],
+                               "qid long, question string, embedding array<float>")
+    routes = [(1, ("semi",), "stage", "semi"), (2, ("m1",), "match", "m1"), (3, ("nowhere",), "place", "x")]
+    free = rows(hy.hybrid_search(coll, qs), "qid", "doc_id", "score")
+    allowed = {1: {0, 1, 2}, 2: {1, 3, 5, 7}, 3: set(range(8)), 4: set(range(8))}
+    want = {r for r in free if r[1] in allowed[r[0]]}
+    assert want != set(free)
+    for mode in ("post", "pre"):
+        assert set(rows(hy.hybrid_filtered(coll, qs, routes, mode), "qid", "doc_id", "score")) == want
+
+
+def test_two_scans_for_any_number_of_blocks(spark, monkeypatch):
+    """Many blocks of questions share a scan, and what a task holds for them is bounded."""
+    coll = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} x", [float(i % 7), 1.0]) for i in range(200)],
+                                 "doc_id long, text string, embedding array<float>").repartition(3)
+    qs = spark.createDataFrame([(q, f"w{q % 6} x", [float(q % 9), 0.5]) for q in range(90)], "qid long, question string, embedding array<float>")
+    want = set(rows(hy.hybrid_search(coll, qs, k=4), "qid", "rk", "doc_id", "score"))
+    orig = sc.blocks
+    monkeypatch.setattr(sc, "blocks", lambda q, store: orig(q, store, 8))
+    monkeypatch.setattr(sc, "HELD_ROWS", 50)
+    many = hy.hybrid_search(coll, qs, k=4)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert set(rows(many, "qid", "rk", "doc_id", "score")) == want
+    near = set(rows(dn.knn(coll, qs, 3), "qid", "rk", "doc_id"))
+    monkeypatch.setattr(dn, "HELD_ROWS", 50)
+    split = dn.knn(coll, qs, 3, max_questions=8)
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert set(rows(split, "qid", "rk", "doc_id")) == near

@@ -6,8 +6,8 @@ from collections import Counter
 import pytest
 from conftest import rows
 
+from quarry.operators import inverted as iv
 from quarry.operators import lexical as lx
-from quarry.operators import scoring as sc
 
 DOCS = [
     (0, "Red fox jumps over the fence"),
@@ -61,7 +61,7 @@ def test_fox_idf_is_floored(spark, corpus):
 
 def test_top5_pads_with_zero_scores_by_lowest_id(spark, corpus):
     qs = spark.createDataFrame([(1, "zebra"), (2, "red")], "qid long, question string")
-    top = sc.bm25_top_k(sc.open_store(corpus), qs, k=5)
+    top = iv.bm25_top_k(corpus, qs, k=5)
     got = sorted(rows(top, "qid", "rk", "doc_id"))
     want_scores = py_bm25([t for _, t in DOCS], "red")
     order = sorted(range(5), key=lambda i: want_scores[i], reverse=True)  # stable
