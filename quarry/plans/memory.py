@@ -143,11 +143,11 @@ SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY turn) -
        role, content FROM memo""",
     "messages_at": f"""WITH {MEMORY_SQL},
 q AS (SELECT session_id, turn, seg, content FROM t2 WHERE role = 'user' AND clr = 0),
-m AS (SELECT q.session_id, q.turn, s.turn AS at, s.role, s.content
+m AS (SELECT q.session_id, q.turn, s.turn AS told, s.role, s.content
       FROM q JOIN t2 s ON s.session_id = q.session_id AND s.turn < q.turn
       WHERE s.role = 'system' OR (s.seg = q.seg AND s.clr = 0)
       UNION ALL SELECT session_id, turn, turn, 'user', content FROM q)
-SELECT session_id, turn, (row_number() OVER (PARTITION BY session_id, turn ORDER BY at) - 1)::BIGINT AS msg_pos,
+SELECT session_id, turn, (row_number() OVER (PARTITION BY session_id, turn ORDER BY told) - 1)::BIGINT AS msg_pos,
        role, content FROM m""",
     "cache_hits": f"""WITH {CACHE_SQL}
 SELECT uq.session_id, uq.turn, uq.question_key, cache.answer FROM uq JOIN cache USING (question_key)""",
