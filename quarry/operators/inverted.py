@@ -56,13 +56,17 @@ class InvertedIndex:
         """The rows of the terms in ``asked`` (column ``term``), read from their buckets only."""
         terms = asked.select(F.col("term").alias("t_term"), bucket_of("term", self.buckets).alias("t_bucket")).distinct()
         few = terms.limit(LITERALS + 1).collect()
-        rows = self.rows.select("bucket", *columns)
         if len(few) <= LITERALS:
-            return rows.where(F.col("bucket").isin(sorted({r["t_bucket"] for r in few}))
-                              & F.col("term").isin([r["t_term"] for r in few])).drop("bucket")
+            return self.of_listed(few, *columns)
+        rows = self.rows.select("bucket", *columns)
         hit = (F.col("bucket") == F.col("t_bucket")) & (F.col("term") == F.col("t_term"))
         return rows.join(bounded_broadcast(terms, BROADCAST_ROWS), hit, "left_semi").drop("bucket")
 
+    def of_listed(self, few: list, *columns: str) -> DataFrame:
+        """The same for a few collected (t_term, t_bucket)."""
+        return self.rows.select("bucket", *columns).where(
+            F.col("bucket").isin(sorted({r["t_bucket"] for r in few})) & F.col("term").isin([r["t_term"] for r in few])).drop("bucket")
+
 
 def bucket_of(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -114,20 +118,25 @@ def _bound(impact: Impact) -> Column:
     return F.greatest(F.col("w") * impact(F.col("top"), F.col("low")), F.lit(0.0))
 
 
-def threshold(index: InvertedIndex, asked: DataFrame, impact: Impact, k: int) -> DataFrame:
+def _small(side: DataFrame, most_rows: int) -> DataFrame:
+    """A side of a join whose rows are known to be ``most_rows`` at most."""
+    return F.broadcast(side) if most_rows <= BROADCAST_ROWS else side
+
+
+def threshold(index: InvertedIndex, asked: DataFrame, n_asked: int, impact: Impact, k: int) -> DataFrame:
     """(qid, theta): a score that k documents reach, from seeds; no row where there are fewer."""
     rare = Window.partitionBy("qid").orderBy("df", "term")
     before = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1))
     first = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= SEED_POSTINGS)
     rows = index.of_terms(first, "term", "block", "docs", "a", "b")
-    q = bounded_broadcast(first.select("qid", "term", "w"), BROADCAST_ROWS)
-    hits = rows.join(q, "term").select("qid", "block", "w", F.explode(F.arrays_zip("docs", "a", "b")).alias("p"))
+    hits = rows.join(_small(first.select("qid", "term", "w"), n_asked), "term").select(
+        "qid", "block", "w", F.explode(F.arrays_zip("docs", "a", "b")).alias("p"))
     part = hits.groupBy("qid", "block", F.col("p.docs").alias("doc_id")).agg(
         F.sum(F.col("w") * impact(F.col("p.a"), F.col("p.b"))).alias("part"))
-    seeds = materialize(lx.rank_within(part, "qid", [F.desc("part"), F.asc("doc_id")], SEEDS * k), "inverted-seeds")
-    wanted = seeds.select("qid", "block", "doc_id").join(asked.select("qid", "term", "w"), "qid")
+    seeds = lx.rank_within(part, "qid", [F.desc("part"), F.asc("doc_id")], SEEDS * k)
+    wanted = seeds.select("qid", "block", "doc_id").join(_small(asked.select("qid", "term", "w"), n_asked), "qid")
     rows = index.of_terms(asked, "term", "block", "docs", "a", "b")
-    own = rows.join(bounded_broadcast(wanted, BROADCAST_ROWS), ["term", "block"]).withColumn(
+    own = rows.join(_small(wanted, n_asked * SEEDS * k), ["term", "block"]).withColumn(
         "at", F.array_position("docs", F.col("doc_id"))).where("at > 0")
     score = F.sum(F.col("w") * impact(F.element_at("a", F.col("at").cast("int")),
                                       F.element_at("b", F.col("at").cast("int"))))
@@ -142,7 +151,8 @@ def top_scores(index: InvertedIndex, questions: DataFrame, impact: Impact, k: in
     ``questions``: (qid, term, w), a row for each of a question's terms."""
     asked = materialize(questions.join(index.terms, "term").select(
         "qid", "term", "w", "df", _bound(impact).alias("most")), "inverted-asked")
-    theta = materialize(threshold(index, asked, impact, k), "inverted-theta")
+    n_asked = asked.count()
+    theta = threshold(index, asked, n_asked, impact, k)
     # the terms whose bounds, smallest first, add up to less than the threshold
     order = Window.partitionBy("qid").orderBy("most", "term")
     upto = F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -151,12 +161,11 @@ def top_scores(index: InvertedIndex, questions: DataFrame, impact: Impact, k: in
     rest = known.where("idle").groupBy("qid").agg(F.sum("most").alias("rest"))
     needed = known.where("not idle").select("qid", "term", "w", "need")
     bounds = index.of_terms(needed, "term", "block", "top", "low")
-    each = bounds.join(bounded_broadcast(needed, BROADCAST_ROWS), "term").groupBy("qid", "block").agg(
+    each = bounds.join(_small(needed, n_asked), "term").groupBy("qid", "block").agg(
         F.sum(_bound(impact)).alias("most"), F.first("need").alias("need"))
     reach = F.col("most") + F.coalesce("rest", F.lit(0.0)) >= F.col("need")
-    live = materialize(each.join(rest, "qid", "left").where(F.col("need").isNull() | reach).select("qid", "block"),
-                       "inverted-live")
-    wanted = live.join(asked.select("qid", "term", "w"), "qid")
+    live = each.join(_small(rest, n_asked), "qid", "left").where(F.col("need").isNull() | reach).select("qid", "block")
+    wanted = materialize(live.join(_small(asked.select("qid", "term", "w"), n_asked), "qid"), "inverted-live")
     rows = index.of_terms(asked, "term", "block", "docs", "a", "b")
     hits = rows.join(bounded_broadcast(wanted, BROADCAST_ROWS), ["term", "block"]).select(
         "qid", "w", F.explode(F.arrays_zip("docs", "a", "b")).alias("p"))
@@ -190,9 +199,10 @@ def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
         "qid", "doc_id", F.round("score", 6).alias("score")), "inverted-hits")
     # a question without k positive scores has no threshold above 0, so all its hits are known here
     full = hits.where("score > 0").groupBy("qid").count().where(F.col("count") >= k).select("qid")
-    short = materialize(questions.select("qid").distinct().join(full, "qid", "left_anti"), "inverted-short")
+    short = questions.select("qid").distinct().join(full, "qid", "left_anti")
     if short.first() is None:
         return ranked(hits, k)
+    short = materialize(short, "inverted-short")
     # documents without a hit score 0 like those whose hits do: the smallest ids that score nothing else
     other = hits.where("score <> 0").join(short, "qid")
     asks = short.join(other.groupBy("qid").count(), "qid", "left").select(
