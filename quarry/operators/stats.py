@@ -13,10 +13,15 @@ DEFAULT_ROLES = ("Unknown",)
 ROLE_ORDER = ("Top", "Jungle", "Mid", "Bot", "Support", "Unknown")
 
 
+# Fixed value: where an entity's image is, under the address of the images and the data's version.
+IMAGE_PATH = "img/champion/{key}.png"
+
+
 def image_url(key, version: str, base: str) -> Column:
     """The image of an entity, from its key."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.concat(F.lit(f"{base}/{version}/img/champion/"), k, F.lit(".png"))
+    before, after = IMAGE_PATH.split("{key}")
+    return F.concat(F.lit(f"{base}/{version}/{before}"), k, F.lit(after))
 
 
 def base_entry(roster: DataFrame, base: DataFrame, version: str, image_base: str) -> DataFrame:

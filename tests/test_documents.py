@@ -93,8 +93,8 @@ def test_debug_lines_by_name(spark):
     r = spark.createDataFrame([(1, c, 1, d, 0.5, "x" * 200, "m") for c, d in
                                (("comments", 1), ("players", 1), ("players", 2), ("players", 3), ("tournament", 1))],
                               "qid long, collection string, rk long, doc_id long, score double, text string, match string")
-    named = spark.createDataFrame([("players", 1, "Bin", "BLG"), ("players", 2, "Solo", None)],
+    named = spark.createDataFrame([("players", 1, "Ann", "Reds"), ("players", 2, "Solo", None)],
                                   "collection string, doc_id long, name string, detail string")
     got = sorted(x[0] for x in pr.debug_lines(r, named=named).select("line").collect())
-    assert got == sorted(["[0.500] [m] " + "x" * 80 + "...", "[0.500] Bin (BLG)", "[0.500] Solo (?)", "[0.500] ? (?)",
+    assert got == sorted(["[0.500] [m] " + "x" * 80 + "...", "[0.500] Ann (Reds)", "[0.500] Solo (?)", "[0.500] ? (?)",
                           "[0.500] " + "x" * 100 + "..."])
