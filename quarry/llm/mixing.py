@@ -275,15 +275,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row with the columns of ``docs`` for each document and
     epoch that takes words of it.  The text is the whole text where all words are taken, else
     the words taken, in their order, joined by one space; ``n_chars`` (if there is such
-    a column) follows the text."""
+    a column) follows the text.
+
+    Rows stand in the order of the slots that their first words fill: partition by partition, and within each, as the
+    shards and slots of the mix follow each other.  Written and read again, every file keeps that order."""
     mix = Mix(docs, **options)
     id_col, text_col, source_col = (options.get(f"{n}_col", d) for n, d in
                                     (("id", "doc_id"), ("text", "text"), ("source", "source")))
     ranges = (mix.pieces().groupBy("doc_id", "source", "key", "start", "size", "epoch")
               .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("ranges"),
-                   F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+                   F.sum(F.col("to_word") - F.col("from_word")).alias("words"),
+                   # not the least of its slots: those of long documents would all come first
+                   F.min_by(F.col("shard") * mix.shard_blocks + F.col("slot"), F.struct("from_word", "shard", "slot")).alias("place"))
               .select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"),
-                      F.col("key").alias("k_key"), "size", "words",
+                      F.col("key").alias("k_key"), "size", "words", "place",
                       F.when(F.col("words") < F.col("size"), F.col("ranges")).alias("ranges")))
     # repeated rows of one document are equal in what the mix reads: one stands for all
     once = docs.select(F.struct("*").alias("row"),
@@ -300,6 +305,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                                     (r["to_word"] - r["from_word"]).cast("int")))), " ")
     text = F.when(F.col("ranges").isNull(), whole).otherwise(part)
     out = both.withColumn("mixed_text", text)
+    # slots are numbered without gaps, so equal ranges of them go to the partitions without a sample
+    n, slots = shuffle_partitions(docs), max(int(mix.plan.slots.sum()), 1)
+    out = out.repartitionById(n, F.least(F.floor(F.col("place") * n / slots), F.lit(n - 1)).cast("int")).sortWithinPartitions("place")
     return out.select(*[
         F.col("mixed_text").alias(c) if c == text_col else
         F.length("mixed_text").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)

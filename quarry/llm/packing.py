@@ -37,7 +37,7 @@ from quarry.llm.suffix_arrays import spread
 from quarry.llm.words import text_bytes
 
 #: Bytes of text that a task tokenizes at a time; words and parts whose ids a worker remembers.
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 4 << 20
 REMEMBERED_WORDS = 300_000
 REMEMBERED_PARTS = 600_000
 #: The pattern by which the lower-casing word tokenizer cuts words.  Words of plain characters (printable
@@ -237,7 +237,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int | None,
     """One row per document: id, ``ids`` (little-endian unsigned 32-bit, the end id
     last unless it is None), ``n`` ids, ``part`` and ``before`` (ids before it in its
     partition).  Written once to the shared folder."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 16 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):

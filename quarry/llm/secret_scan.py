@@ -254,11 +254,14 @@ def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: st
                     text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with every secret in the text replaced by a mark;
     ``n_chars`` (if there is such a column) follows a text that changed."""
-    marked = docs.withColumn("text_was_null_", F.col(text_col).isNull())
+    flag = "text_was_null"
+    while flag in docs.columns:
+        flag += "_"
+    marked = docs.withColumn(flag, F.col(text_col).isNull())
     others = tuple(c for c in marked.columns if c != text_col)
     found = find_secrets(marked, rules, id_col, text_col, keep=others)
     new = redacted(F.col("text"), F.col("spans"))
-    found = found.withColumn("new", F.when(F.col("kept.text_was_null_"), F.lit(None)).otherwise(new))
+    found = found.withColumn("new", F.when(F.col(f"kept.{flag}"), F.lit(None)).otherwise(new))
     return found.select(*[
         F.col("new").alias(c) if c == text_col else
         F.when(F.size("spans") > 0, F.length("new").cast(t)).otherwise(F.col(f"kept.`{c}`")).alias(c) if c == "n_chars"

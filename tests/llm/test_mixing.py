@@ -1,4 +1,5 @@
-from collections import defaultdict
+import glob
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -70,6 +71,33 @@ def test_pieces_slots_and_documents_agree(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_documents_stand_in_slot_order(spark, tmp_path):
+    """What is packed follows the shards and slots of the mix, file by file; the epochs of a document stand apart."""
+    rows = [(i, f"doc{i} " + "w " * (3 + i % 5), "abc"[i % 3]) for i in range(300)]
+    docs = documents(spark, rows)
+    options = {"block_words": 8, "shard_blocks": 16}
+    place = {}
+    for r in mixing.Mix(docs, **options).pieces().collect():
+        at = (r["doc_id"], r["epoch"])
+        place[at] = min(place.get(at, (9**9,)), (r["from_word"], r["shard"], r["slot"]))
+    place = {at: p[1:] for at, p in place.items()}
+    path = str(tmp_path / "mixed")
+    mixing.mixed_documents(docs, **options).write.parquet(path)
+    files = sorted(glob.glob(f"{path}/part-*.parquet"))
+    assert len(files) > 2
+    order = []
+    for f in files:
+        order += [r["doc_id"] for r in spark.read.parquet(f).coalesce(1).collect()]
+    # slots hold pieces of several documents: within one they may stand in any order
+    want = [d for d, _ in sorted(place, key=place.get)]
+    assert Counter(order) == Counter(want)
+    firsts = sorted(place.values())
+    ranks = {}
+    for d, e in place:
+        ranks.setdefault(d, []).append(place[d, e])
+    assert all(firsts[i] in ranks[d] for i, d in enumerate(order))
+
+
 def test_empty(spark):
     docs = documents(spark, EDGE_ROWS).limit(0)
     assert mixing.Mix(docs).taken().count() == 0

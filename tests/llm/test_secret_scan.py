@@ -100,3 +100,11 @@ def test_random_texts(spark, monkeypatch):
 def test_empty(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda *a: documents(spark, ROWS).limit(0))
     assert queries.op8_secrets(spark, "").count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = documents(spark, [(1, "token=abcdefghijklmnop ok", "a"), (2, None, "b")], ("text_was_null", "text_was_null_", "new", "kept", "spans"))
+    got = {r["doc_id"]: r for r in secret_scan.without_secrets(docs).collect()}
+    assert got[1]["text"] == "[assign] ok" or "[assign]" in got[1]["text"]
+    assert got[2]["text"] is None
+    assert all(r[c] == "x" for r in got.values() for c in ("text_was_null", "text_was_null_", "new", "kept", "spans"))
