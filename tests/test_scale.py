@@ -43,3 +43,13 @@ def test_lsh_writes_no_pairs_and_finds_what_a_join_finds(spark):
         found = dn.knn_lsh(corpus, asked, 5, bucket_length=length, threshold=within)
         assert sorted(rows(found, "qid", "rk", "doc_id", "distance")) == sorted(want)
         assert "Join" not in plan_of(found)
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    docs = [(1, "b a b  B c"), (2, None), (3, " "), (4, "x"), (5, " ".join(f"w{i % 7}" for i in range(500)))]
+    post = lx.term_postings(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {(i, t, n, len((x or "").split())) for i, x in docs for t, n in Counter((x or "").lower().split()).items()}
+    got = rows(post, "doc_id", "term", "tf", "dl")
+    assert len(got) == len(want) and set(got) == want
+    plan = plan_of(lx.term_postings(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
+    assert "Exchange" not in plan and "Aggregate" not in plan
