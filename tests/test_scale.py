@@ -53,3 +53,12 @@ def test_postings_are_counted_in_their_rows(spark):
     assert len(got) == len(want) and set(got) == want
     plan = plan_of(lx.term_postings(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
     assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_texts_are_hashed_before_collections_are_joined(spark, monkeypatch):
+    from quarry.functions import ordering
+    from quarry.plans import indexing
+    kept = []
+    monkeypatch.setattr(ordering, "materialize", lambda df, name: kept.append(dict(df.dtypes)) or df)
+    indexing.q_stale_by_hash(spark, SF_SMALL)
+    assert kept and all(t["text"] == "bigint" for t in kept)
