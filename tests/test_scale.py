@@ -62,3 +62,16 @@ def test_texts_are_hashed_before_collections_are_joined(spark, monkeypatch):
     monkeypatch.setattr(ordering, "materialize", lambda df, name: kept.append(dict(df.dtypes)) or df)
     indexing.q_stale_by_hash(spark, SF_SMALL)
     assert kept and all(t["text"] == "bigint" for t in kept)
+
+
+def test_a_store_is_told_by_its_texts_hashes(spark, monkeypatch):
+    from quarry import session
+    seen = []
+    monkeypatch.setattr(session, "memo_fingerprint", lambda df, compute: seen.append(plan_of(df)) or compute())
+    coll = bd.comment_collection(spark, SF_SMALL)
+    store = sc.open_store(coll)
+    side = [x for x in re.findall(r"Exchange (?:hash|Single|range)[^\n]*\n[^\n]*Project \[([^\n]*)\]", seen[0])]
+    assert all(" text#" not in f" {x.split('xxhash64')[0]}" for x in side)
+    assert lx.corpus_fingerprint(bd.comments(spark, SF_SMALL))[0] == store.rows.count()
+    want = rows(lx.stored_bm25_index(bd.comments(spark, SF_SMALL)).idf, "term", "df", "idf")
+    assert sorted(rows(store.index.idf, "term", "df", "idf")) == sorted(want)
