@@ -75,3 +75,22 @@ def test_a_store_is_told_by_its_texts_hashes(spark, monkeypatch):
     assert lx.corpus_fingerprint(bd.comments(spark, SF_SMALL))[0] == store.rows.count()
     want = rows(lx.stored_bm25_index(bd.comments(spark, SF_SMALL)).idf, "term", "df", "idf")
     assert sorted(rows(store.index.idf, "term", "df", "idf")) == sorted(want)
+
+
+def _block(m):
+    return sc.Block(np.arange(m), np.full((m, 1), np.nan), ["a", "b"], np.array([0, m, m + 1]), np.concatenate([np.arange(m), [0]]),
+                    np.linspace(1, 2, m + 1), 1.5, 0.75, 10.0)
+
+
+def test_a_slice_of_documents_is_bounded(monkeypatch):
+    texts = [["a", "b", "a"] * (i % 5) + ["c"] * (i % 3) for i in range(200)] + [["a"] * 900, None, []]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "tokens": pa.array(texts, type=pa.list_(pa.string())),
+                                        "v": pa.array([None] * len(texts), type=pa.list_(pa.float64())), "rv": [None] * len(texts)})
+    whole = list(sc._scored([batch], _block(9), False))
+    monkeypatch.setattr(sc, "CELLS", 45)
+    monkeypatch.setattr(sc, "TOKENS", 30)
+    parts = list(sc._scored([batch], _block(9), False))
+    for ids, lexical, *_ in parts:
+        assert len(ids) == 1 or (lexical.size <= 45 and sum(len(texts[i] or ()) for i in ids) <= 30)
+    for i in range(3):
+        np.testing.assert_allclose(np.concatenate([p[i] for p in parts]), np.concatenate([p[i] for p in whole]), rtol=1e-12)
