@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.sizing import bounded_broadcast, one_row_join
+from quarry.functions.sizing import bounded_broadcast, join_by_term, one_row_join
 from quarry.operators import dense as dn
 from quarry.operators import lexical as lx
 from quarry.operators import report as rp
@@ -114,9 +114,10 @@ def q_token_pool(spark, sf):
 def q_sparse_token_weights(spark, sf):
     """Largest weight of each term over its unmasked occurrences; the logit falls with the place in a sentence of four."""
     idx = lx.stored_bm25_index(bd.comments(spark, sf))
-    idf = bounded_broadcast(idx.idf.select("term", "idf"))
-    t = tokens_with_mask(spark, sf).withColumnRenamed("token", "term").join(idf, "term")
-    logits = t.select("doc_id", "term", "mask", ((F.col("idf") - 1) / (1 + F.pmod("pos", F.lit(4)))).alias("logit"))
+    place = (1 + F.pmod("pos", F.lit(4))).alias("place")
+    t = tokens_with_mask(spark, sf).withColumnRenamed("token", "term").select("doc_id", "term", "mask", place)
+    t = join_by_term(t, idx.idf.select("term", "df", "idf"))
+    logits = t.select("doc_id", "term", "mask", ((F.col("idf") - 1) / F.col("place")).alias("logit"))
     return sp.sparse_weights(logits, mask_col="mask").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

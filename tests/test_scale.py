@@ -96,6 +96,19 @@ def test_a_slice_of_documents_is_bounded(monkeypatch):
         np.testing.assert_allclose(np.concatenate([p[i] for p in parts]), np.concatenate([p[i] for p in whole]), rtol=1e-12)
 
 
+def test_terms_join_in_two_tiers(spark):
+    from quarry.functions.sizing import join_by_term
+    terms = [(f"t{i}", 1 + (i % 20) ** 2, float(i)) for i in range(300)]
+    given = [(d, f"t{(d * 7 + j) % 320}") for d in range(100) for j in range(9)]
+    occ, table = spark.createDataFrame(given, "doc_id long, term string"), spark.createDataFrame(terms, "term string, df long, x double")
+    own = {t: x for t, _, x in terms}
+    want = sorted((d, t, own[t]) for d, t in given if t in own)
+    for most in (0, 10, 100, 1000):
+        found = join_by_term(occ, table, most)
+        assert sorted(rows(found, "doc_id", "term", "x")) == want
+    assert "LeftAnti" in plan_of(join_by_term(occ, table, 100)) and "LeftAnti" not in plan_of(join_by_term(occ, table, 1000))
+
+
 def test_a_part_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     from quarry.operators import maintained as mt
     monkeypatch.setattr(mt, "TASK_DOCS", 50)
