@@ -121,3 +121,27 @@ def test_a_part_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     assert len(rows(index.chunks())) == len(docs)
     tokens = {r["collection"]: r["t"] for r in index.manifest().groupBy("collection").agg(F.sum("tokens").alias("t")).collect()}
     assert tokens == {"comments": 2700, "players": 0}
+
+
+def test_hits_are_summed_where_their_block_is(spark, tmp_path, monkeypatch):
+    """No exchange between the postings' blocks and the documents' scores."""
+    from quarry.operators import inverted as iv
+    monkeypatch.setattr(iv, "BLOCK_DOCS", 8)
+    post = spark.createDataFrame([(d, f"t{t}", 1.0 + (d * t) % 5) for d in range(200) for t in range(1 + d % 6)],
+                                 "doc_id long, term string, a double").withColumn("b", F.lit(0.0))
+    index = iv.build_inverted(post, 200, str(tmp_path / "idx"))
+    asked = spark.createDataFrame([(q, f"t{t}", 1.0 + q) for q in range(4) for t in range(q, 6)], "qid long, term string, w double")
+    found = iv.top_scores(index, asked, iv.weight_impact, 3)
+    plan = plan_of(found)
+    assert "Exchange" not in plan.split("SortMergeJoin")[0] and "SortMergeJoin" in plan
+    want = {}
+    for d in range(200):
+        for t in range(1 + d % 6):
+            for q in range(4):
+                if t >= q:
+                    want[q, d] = want.get((q, d), 0) + (1 + q) * (1.0 + (d * t) % 5)
+    got = {(q, d): s for q, d, s in rows(found, "qid", "doc_id", "score")}
+    assert all(want[x] == s for x, s in got.items())
+    for q in range(4):
+        best = sorted((-s, d) for (p, d), s in want.items() if p == q)[:3]
+        assert all(got[q, d] == -s for s, d in best)
