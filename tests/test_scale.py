@@ -96,6 +96,31 @@ def test_a_slice_of_documents_is_bounded(monkeypatch):
         np.testing.assert_allclose(np.concatenate([p[i] for p in parts]), np.concatenate([p[i] for p in whole]), rtol=1e-12)
 
 
+def test_equal_scores_are_held_k_at_a_time():
+    """Copies score the same; what is held for them doesn't grow with their number."""
+    k, m, rng = 4, 3, np.random.default_rng(5)
+    values = np.array([0.0, 0.25, 0.5, 0.5 + 1e-7, 0.5 + 6e-7])
+    for top in range(1, len(values) + 1):
+        ids = rng.permutation(4000)
+        score = values[rng.integers(0, top, (len(ids), m))]
+        live = rng.random(score.shape) < 0.9
+        best = sc._Best(m, k)
+        for lo in range(0, len(ids), 500):
+            part = slice(lo, lo + 500)
+            best.add(ids[part], score[part], live[part], score[part] / 2, score[part] / 4)
+            assert len(best.rows[0]) <= m * k * top
+        q, d, s, b, sn = best.rows
+        np.testing.assert_array_equal(np.stack([b, sn]), np.stack([s / 2, s / 4]))
+        for j in range(m):
+            want = sorted((-round(x, 6), i) for x, i, on in zip(score[:, j].tolist(), ids.tolist(), live[:, j]) if on)[:k]
+            got = sorted((-round(x, 6), i) for x, i in zip(s[q == j].tolist(), d[q == j].tolist()))[:k]
+            assert got == want
+    best = sc._Best(m, k)
+    none = np.zeros((2, m))
+    best.add(np.arange(2), none, none.astype(bool), none, none)
+    assert not len(best.rows[0])
+
+
 def test_terms_join_in_two_tiers(spark):
     from quarry.functions.sizing import join_by_term
     terms = [(f"t{i}", 1 + (i % 20) ** 2, float(i)) for i in range(300)]
